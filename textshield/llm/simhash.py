@@ -76,7 +76,7 @@ def block_choices(rows: int, budget: int) -> list[list[int]]:
     trie keeps a few dozen leaves; every choice is made, whatever the number.
     """
     want = max(0, rows.bit_length() - 5)
-    for blocks in range(budget + 1, BITS // 2):
+    for blocks in range(budget + 2, BITS // 2):
         width = BITS * (blocks - budget) // blocks
         if width >= want or blocks == budget + 5:
             break
