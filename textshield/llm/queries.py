@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, hilbert, simhash, toxicity
+from . import exact, hilbert, records, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _tokenizer(name: str) -> str:
+    """The text of a public tokenizer's file, a few MB."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+
+
+def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, index = records.write_and_index(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2)
+    return index.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -65,6 +80,7 @@ FROM t JOIN g USING (norm)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_records": op1_token_records,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op4_toxicity": op4_toxicity,
         "op7_hilbert_shards": op7_hilbert_shards,
