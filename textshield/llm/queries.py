@@ -6,10 +6,10 @@ import functools
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, hilbert, packing, records, simhash, toxicity
+from . import exact, hilbert, ledger, packing, records, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,21 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ledger.scan(_table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(count(k).alias(f"n_{k}") for k in ledger.KINDS),
+        F.sha2(listed.cast("binary"), 256).alias("base_sha256"),
+        listed.alias("spans"),
+    )
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert.shard(_table(spark, sf_dir, "documents"), n_shards=40)
     return placed.select(
@@ -89,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_toxicity": op4_toxicity,
+        "op6_secret_scan": op6_secret_scan,
         "op7_hilbert_shards": op7_hilbert_shards,
         "op10_exact_dedup": op10_exact_dedup,
     }
