@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, hilbert, ledger, packing, records, simhash, toxicity
+from . import exact, hilbert, ledger, packing, records, simhash, toxicity, wordtrie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op5_word_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = wordtrie.encode_digests(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return coded.withColumnRenamed("id", "doc_id")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ledger.scan(_table(spark, sf_dir, "documents"))
 
@@ -104,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_toxicity": op4_toxicity,
+        "op5_word_trie_bpe": op5_word_trie_bpe,
         "op6_secret_scan": op6_secret_scan,
         "op7_hilbert_shards": op7_hilbert_shards,
         "op10_exact_dedup": op10_exact_dedup,

@@ -39,9 +39,12 @@ def char_class(kinds: str) -> str:
 
 @functools.cache
 def word_pattern() -> re.Pattern:
-    """Fixed value: the byte-level word pattern, with its classes spelled out."""
+    """Fixed value: the byte-level word pattern, with its classes spelled out.
+
+    Letters come first, which is faster; no other branch begins with one.
+    """
     letter, number = char_class("L"), char_class("N")
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{_SPACE}{letter}{number}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+    return re.compile(f" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{_SPACE}{letter}{number}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
 class WordTokenizer:
