@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, hilbert, ledger, packing, records, simhash, toxicity, wordtrie
+from . import exact, hilbert, ledger, packing, projections, records, simhash, toxicity, wordtrie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,16 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = projections.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"),
+        "n_links",
+        F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -112,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_word_trie_bpe": op5_word_trie_bpe,
         "op6_secret_scan": op6_secret_scan,
         "op7_hilbert_shards": op7_hilbert_shards,
+        "op8_sorted_projections": op8_sorted_projections,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
