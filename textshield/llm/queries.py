@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, hilbert, ledger, packing, projections, records, simhash, toxicity, wordtrie
+from . import exact, hilbert, ledger, packing, projections, records, repeats, simhash, toxicity, wordtrie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,11 @@ def op8_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_table(spark, sf_dir, "documents"), 400, with_bytes=False)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -123,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secret_scan": op6_secret_scan,
         "op7_hilbert_shards": op7_hilbert_shards,
         "op8_sorted_projections": op8_sorted_projections,
+        "op9_prefix_free_repeats": op9_prefix_free_repeats,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
