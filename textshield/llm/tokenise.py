@@ -13,22 +13,28 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 
 import numpy as np
 
-#: Distinct words that a worker remembers at most.
-CACHE_WORDS = 250_000
+#: Distinct words that a worker remembers at most, twice.
+CACHE_WORDS = 150_000
 
 # The characters of Unicode's White_Space property.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+#: Texts of characters below this one are cut with small classes, which is faster.
+LATIN_END = 0x250
+BEYOND_LATIN = re.compile(f"[^\\x00-\\u{LATIN_END - 1:04x}]")
+
+
 @functools.cache
-def char_class(kinds: str) -> str:
-    """A class body for ``re`` with the characters of these general categories."""
+def char_class(kinds: str, end: int = sys.maxunicode + 1) -> str:
+    """A class body for ``re`` with the characters below ``end`` of these general categories."""
     runs, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] in kinds
+    for c in range(end + 1):
+        inside = c < end and unicodedata.category(chr(c))[0] in kinds
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -38,15 +44,37 @@ def char_class(kinds: str) -> str:
 
 
 @functools.cache
-def word_pattern() -> re.Pattern:
+def word_pattern(end: int = sys.maxunicode + 1) -> re.Pattern:
     """Fixed value: the byte-level word pattern, with its classes spelled out.
 
     Letters come first, which is faster; no other branch begins with one.
     """
-    letter, number = char_class("L"), char_class("N")
+    letter, number = char_class("L", end), char_class("N", end)
     return re.compile(f" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{_SPACE}{letter}{number}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
+class _Words(dict):
+    """Each word's ids as bytes, encoded when first asked for.
+
+    Two generations: when one is full it becomes the old one, out of which
+    words that are still in use come back.
+    """
+
+    def __init__(self, tokenizer, special: dict[str, bytes], code: str):
+        super().__init__()
+        self._encode, self._special, self._code, self._old = tokenizer.encode_batch_fast, special, code, {}
+
+    def __missing__(self, word: str | tuple) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self._old = dict(self)
+            self.clear()
+        ids = self._old.get(word)
+        if ids is None:
+            ids = self._special[word[0]] if isinstance(word, tuple) else array(self._code, self._encode([word], add_special_tokens=False)[0].ids).tobytes()
+        self[word] = ids
+        return ids
+
+
 class WordTokenizer:
     """Encodes whole texts; ids come as little-endian bytes of ``dtype``."""
 
@@ -64,36 +92,24 @@ class WordTokenizer:
         self._by_word = spec["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and plain
         self._special = {t["content"]: np.array([t["id"]], self.dtype).tobytes() for t in spec["added_tokens"]}
         self._special_re = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")") if self._special else None
-        self._known: dict[str, bytes] = {}
         if self._by_word:
             spec["pre_tokenizer"] = {**cut, "use_regex": False}
             spec["added_tokens"], spec["post_processor"] = [], None
-            self._words = Tokenizer.from_str(json.dumps(spec))
+            self._known = _Words(Tokenizer.from_str(json.dumps(spec)), self._special, "H" if self.dtype.itemsize == 2 else "I")
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if not self._by_word:
             return [np.array(e.ids, self.dtype).tobytes() for e in self._whole.encode_batch(texts, add_special_tokens=False)]
-        find, special = word_pattern().findall, self._special_re
+        small, large, special = word_pattern(LATIN_END).findall, word_pattern().findall, self._special_re
         out = []
-        for at in range(0, len(texts), 256):
-            cut = []
-            for t in texts[at : at + 256]:
-                if special is not None and special.search(t):
-                    parts = special.split(t)
-                    cut.append([w for i, p in enumerate(parts) for w in ([(p,)] if i % 2 else find(p))])
-                else:
-                    cut.append(find(t))
-            known = self._known
-            new = list({w for words in cut for w in words if w not in known})
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list({w for words in cut for w in words})
-            plain = [w for w in new if isinstance(w, str)]
-            for w, e in zip(plain, self._words.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
-            known.update((w, self._special[w[0]]) for w in new if not isinstance(w, str))
-            get = known.__getitem__
-            out += [b"".join(map(get, words)) for words in cut]
+        for t in texts:
+            find = large if BEYOND_LATIN.search(t) else small
+            if special is not None and special.search(t):
+                parts = special.split(t)
+                words = [w for i, p in enumerate(parts) for w in ([(p,)] if i % 2 else find(p))]
+            else:
+                words = find(t)
+            out.append(b"".join(map(self._known.__getitem__, words)))
         return out
 
 

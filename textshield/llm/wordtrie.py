@@ -21,6 +21,7 @@ import functools
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -30,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .tokenise import _SPACE, char_class
+from .tokenise import _SPACE, BEYOND_LATIN, LATIN_END, char_class
 
-#: Distinct words and pairs that a worker remembers at most.
-CACHE_WORDS, CACHE_PAIRS = 250_000, 1_000_000
+#: Distinct words (twice) and pairs that a worker remembers at most.
+CACHE_WORDS, CACHE_PAIRS = 120_000, 600_000
 
 
 @functools.cache
@@ -63,11 +64,10 @@ class TrieTokenizer:
         self._names = {i: t for t, i in self._ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special_re = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")")
-        letter, number = char_class("L"), char_class("N")
         # Fixed value: the file's word pattern, with its classes spelled out and
         # letters first, which is faster and as no other branch begins with one
         # the same.  It passes over white space, which so needs no replacing.
-        self._word_re = re.compile(f"[{letter}]+|[{number}]|'s|'t|'re|'ve|'m|'ll|'d|[^{_SPACE}{letter}{number}]+")
+        self._latin_re, self._word_re = (re.compile(f"[{letter}]+|[{number}]|'s|'t|'re|'ve|'m|'ll|'d|[^{_SPACE}{letter}{number}]+") for end in (LATIN_END, sys.maxunicode + 1) for letter, number in [(char_class("L", end), char_class("N", end))])
         self._rank = {(a, b): r for r, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
         self._symbols = byte_symbols()
         # tokens by their symbols, the end mark being part of the last one
@@ -77,6 +77,7 @@ class TrieTokenizer:
         self._words: dict[str | int, tuple[int, ...]] = {}
         self._ids_text: dict[str | int, str] = {}
         self._names_text: dict[str | int, str] = {}
+        self._old: tuple[dict, dict, dict] = ({}, {}, {})
 
     def _split(self, token: str) -> list[str]:
         if token.endswith(self._end) and len(token) > len(self._end):
@@ -171,25 +172,29 @@ class TrieTokenizer:
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part)
             # capital sigma by hand: lower() would look at its neighbours
-            out += self._word_re.findall(part.replace("Σ", "σ").lower())
+            part = part.replace("Σ", "σ").lower()
+            out += (self._word_re if BEYOND_LATIN.search(part) else self._latin_re).findall(part)
         return out
 
     def _learn(self, cut: list[list[str | int]]) -> None:
         """Encode the words that aren't remembered yet."""
-        known = self._words
+        known, ids_text, names_text = self._words, self._ids_text, self._names_text
         new = {w for words in cut for w in words if w not in known}
         if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            self._ids_text.clear()
-            self._names_text.clear()
+            # two generations: words in use come back from the old one
+            self._old = (known, ids_text, names_text)
+            self._words, self._ids_text, self._names_text = known, ids_text, names_text = {}, {}, {}
             new = {w for words in cut for w in words}
+        for w in [w for w in new if w in self._old[0]]:
+            known[w], ids_text[w], names_text[w] = (o[w] for o in self._old)
+        new = [w for w in new if w not in known]
         known.update(self.encode_words({w for w in new if isinstance(w, str)}))
         known.update((w, (w,)) for w in new if isinstance(w, int))
         names = self._names
         for w in new:
             ids = known[w]
-            self._ids_text[w] = " ".join(map(str, ids))
-            self._names_text[w] = " ".join([names[i] for i in ids])
+            ids_text[w] = " ".join(map(str, ids))
+            names_text[w] = " ".join([names[i] for i in ids])
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         cut = [self.words(t) for t in texts]
