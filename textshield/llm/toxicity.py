@@ -72,10 +72,12 @@ def _bag(text: str, s: Settings, known: dict[str, list[int]]) -> tuple[np.ndarra
     for w in _WORD.findall(text.lower()):
         f = known.get(w)
         if f is None:
+            if len(known) >= CACHE_WORDS // 10:
+                known.clear()
             f = known[w] = features(w, s)
         all_ += f
     index, count = np.unique(np.array(all_, np.int64), return_counts=True)
-    return index, (count / max(1, len(all_))).astype(np.float32)
+    return index.astype(np.int32), (count / max(1, len(all_))).astype(np.float32)
 
 
 def fit(texts: list[str], labels: list[int], s: Settings | None = None) -> Model:
