@@ -377,7 +377,8 @@ def html_roundtrip(spark, sf_dir):
     return f.select("page_id", html.reverse(F.col("skeleton"), F.col("text_map"), F.col("table_map")).alias("html"))
 
 
-@query()
+@query(r"""SELECT page_id, (i - 1)::INTEGER AS i, nodes[i] AS text FROM (SELECT page_id, list_filter(regexp_split_to_array(html,
+  '(?is)<!--.*?-->|<(?:script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript)\s*>|<[^>]*>'), lambda x: regexp_replace(x, '\s', '', 'g') <> '') AS nodes FROM pages), unnest(range(1, len(nodes) + 1)) AS r(i)""".replace("\\\\", "\\"))
 def html_text_nodes(spark, sf_dir):
     p = read_table(spark, sf_dir, "pages")
     return p.select("page_id", F.posexplode(html.text_nodes(F.col("html"))).alias("i", "text"))
