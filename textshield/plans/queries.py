@@ -315,13 +315,13 @@ def subject_pronouns(spark, sf_dir):
     return subjects.continue_documents(df).select("c_custkey", "text", F.size("subject_changes").alias("changes"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+\\b')) AS name FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')),
-c AS (SELECT doc_id, name, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT doc_id, max(n)::BIGINT AS n, count(*)::BIGINT AS names FROM c GROUP BY 1""".replace("\\\\", "\\"))
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\p{L}]+')) AS name FROM documents),
+c AS (SELECT doc_id, name, count(*) AS n FROM w WHERE regexp_full_match(name, '[A-Z][a-z]+') GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT doc_id, max(n)::BIGINT AS n, count(*)::BIGINT AS names FROM c GROUP BY 1""")
 def dominant_name(spark, sf_dir):
-    """How often the most frequent capitalised word occurs, and how many recur, in ASCII texts."""
-    d = read_table(spark, sf_dir, "documents").where(F.col("text").rlike(r"(?s)\A[\x00-\x7F]*\z"))
-    w = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+)\b"), 1)).alias("name"))
+    """How often the most frequent capitalised word occurs, and how many recur."""
+    d = read_table(spark, sf_dir, "documents")
+    w = d.select("doc_id", F.explode(F.split("text", r"[^\p{L}]+")).alias("name")).where(F.col("name").rlike("^[A-Z][a-z]+$"))
     c = w.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     return c.groupBy("doc_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("names"))
 
@@ -463,11 +463,10 @@ def qa_missing_fields(spark, sf_dir):
     return read_table(spark, sf_dir, "orders").select("o_orderkey", F.size(audit.missing_fields(have, ["a", "b", "c"])).alias("missing"))
 
 
-@query("SELECT o_orderkey, (length(o_orderpriority) // 4)::BIGINT AS own, sum(greatest(1, length(o_orderpriority) // 4)) OVER ()::BIGINT AS total FROM orders WHERE o_orderkey <= 1000")
+@query("SELECT lang, sum(greatest(1, length(text) // 4))::BIGINT AS total, sum(CASE WHEN length(text) // 4 > 500 THEN length(text) // 4 ELSE 0 END)::BIGINT AS in_long FROM documents GROUP BY lang")
 def token_sum(spark, sf_dir):
-    o = read_table(spark, sf_dir, "orders").where("o_orderkey <= 1000")
-    total = o.agg(F.sum(guards.tokens_of(F.col("o_orderpriority"))).alias("total"))
-    return o.select("o_orderkey", F.floor(F.length("o_orderpriority") / 4).cast("long").alias("own")).crossJoin(F.broadcast(total))  # one row
+    n = guards.tokens_of(F.col("text"))
+    return read_table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(n).alias("total"), F.sum(F.when(n > 500, n).otherwise(0)).alias("in_long"))
 
 
 # Names, prompts, chunks ---------------------------------------------------------
@@ -493,12 +492,12 @@ def prompt_choice(spark, sf_dir):
     return read_table(spark, sf_dir, "customer").select("c_custkey", backends.template_name(check, fmt).alias("template"))
 
 
-@query("SELECT doc_id, text AS message_03, true AS token_ok FROM documents WHERE length(text) >= 4000 AND regexp_matches(text, '\\p{L}')")
+@query("SELECT doc_id, text AS message_03, true AS token_ok FROM documents WHERE coalesce(text, '') <> ''")
 def proofread_pipeline(spark, sf_dir):
-    """Long documents through the whole pipeline: what was masked comes back."""
-    d = read_table(spark, sf_dir, "documents").where("length(text) >= 4000").where(F.col("text").rlike(r"\p{L}"))
+    """All documents through the pipeline without reformatting: what was masked comes back."""
+    d = read_table(spark, sf_dir, "documents")
     requests = d.select("doc_id", F.lit("general").alias("type_of_check"), F.lit("indonesia").alias("tenant"), F.lit("en").alias("locale"), F.lit("plain").alias("format"), F.col("text").alias("data"), F.col("doc_id").cast("string").alias("report_id"))
-    accepted, _ = proofread(requests, Config(reformat=False, min_chars=1, min_words=1))
+    accepted, _ = proofread(requests, Config(reformat=False, min_chars=0, min_words=0))
     return accepted.select("doc_id", "message_03", "token_ok")
 
 
