@@ -235,7 +235,9 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """
     parse = materialise(docs.where(F.octet_length("data") >= length).select("id", "th", "data").mapInArrow(_parse(length), "id long, th long, start long, windows int, trigger long, phrase long"))
     triggers = parse.groupBy("trigger").agg(F.count(F.lit(1)).alias("n"), F.min("phrase").alias("least"), F.max("phrase").alias("most")).where("n > 1")
-    seen = materialise(parse.join(triggers.select("trigger", (F.col("least") != F.col("most")).alias("differ")), "trigger"))
+    # a table of its own, so that the join can split a trigger that periodic text repeats
+    triggers = materialise(triggers.select("trigger", (F.col("least") != F.col("most")).alias("differ")))
+    seen = materialise(parse.join(triggers, "trigger"))
     whole = seen.where(~F.col("differ")).select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (length - 1)).alias("b"))
 
     edges = seen.where("differ").drop("differ")
