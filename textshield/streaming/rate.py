@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_COLUMNS = "key string, ts timestamp, count long, expire_at timestamp, allowed boolean"
+_FOLDED = "key string, us long, count long, end_us long, allowed boolean"
 
 
-def _fold(pdf: pd.DataFrame, key, end, count, limit: int, width) -> tuple[pd.DataFrame, object, object, int]:
-    keys, times = pdf["key"].tolist(), pdf["ts"].tolist()
+def _fold(pdf: pd.DataFrame, key, end, count, limit: int, width: int) -> tuple[pd.DataFrame, object, object, int]:
+    keys, times = pdf["key"].tolist(), pdf["us"].tolist()
     counts, ends = [], []
     for k, t in zip(keys, times, strict=True):
         if k != key or end is None or t >= end:
@@ -26,13 +26,22 @@ def _fold(pdf: pd.DataFrame, key, end, count, limit: int, width) -> tuple[pd.Dat
         count += 1
         counts.append(count)
         ends.append(end)
-    return pdf.assign(count=counts, expire_at=ends, allowed=[c <= limit for c in counts]), key, end, count
+    return pd.DataFrame({"key": keys, "us": times, "count": counts, "end_us": ends, "allowed": [c <= limit for c in counts]}), key, end, count
+
+
+def _timed(events: DataFrame, key_col: str, ts_col: str) -> DataFrame:
+    rows = events.select(F.col(key_col).cast("string").alias("key"), F.col(ts_col).cast("timestamp").alias("ts"))
+    return rows.where("key IS NOT NULL AND ts IS NOT NULL")
+
+
+def _shown(folded: DataFrame) -> DataFrame:
+    return folded.select("key", F.timestamp_micros("us").alias("ts"), "count", F.timestamp_micros("end_us").alias("expire_at"), "allowed")
 
 
 def rate_windows(events: DataFrame, key_col: str = "key", ts_col: str = "ts", seconds: int = 60, limit: int = 20) -> DataFrame:
     """(key, ts, count, expire_at, allowed) of every event with a key and a time."""
-    width = pd.Timedelta(seconds=seconds)
-    rows = events.select(F.col(key_col).cast("string").alias("key"), F.col(ts_col).cast("timestamp").alias("ts")).where("key IS NOT NULL AND ts IS NOT NULL")
+    width = seconds * 1_000_000
+    rows = _timed(events, key_col, ts_col).select("key", F.unix_micros("ts").alias("us"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, end, count = None, None, 0
@@ -40,28 +49,31 @@ def rate_windows(events: DataFrame, key_col: str = "key", ts_col: str = "ts", se
             out, key, end, count = _fold(pdf, key, end, count, limit, width)
             yield out
 
-    return rows.repartition("key").sortWithinPartitions("key", "ts").mapInPandas(run, _COLUMNS)
+    return _shown(rows.repartition("key").sortWithinPartitions("key", "us").mapInPandas(run, _FOLDED))
 
 
-def rate_stream(events: DataFrame, key_col: str = "key", ts_col: str = "ts", seconds: int = 60, limit: int = 20) -> DataFrame:
+def rate_stream(events: DataFrame, key_col: str = "key", ts_col: str = "ts", seconds: int = 60, limit: int = 20, lateness: str = "1 hour") -> DataFrame:
     """The same on a stream: one window of state for each key, dropped when it ends.
 
-    Events of a micro-batch are taken in order of time; one that comes later
-    than its window's end in another batch is counted on arrival.
+    A window ends in the events' own time, once the watermark, ``lateness``
+    behind the latest event, has passed it; so a replay counts as the live
+    stream did.  Events of a micro-batch are taken in order of time; one that
+    comes in a later batch than its successors counts in the window then open,
+    and one behind the watermark is dropped.
     """
-    width = pd.Timedelta(seconds=seconds)
-    rows = events.select(F.col(key_col).cast("string").alias("key"), F.col(ts_col).cast("timestamp").alias("ts"))
+    width = seconds * 1_000_000
+    rows = _timed(events, key_col, ts_col).withWatermark("ts", lateness).withColumn("us", F.unix_micros("ts"))
 
     def run(key, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
-        end, count = (pd.Timestamp(state.get[0], unit="us"), state.get[1]) if state.exists else (None, 0)
+        end, count = state.get if state.exists else (None, 0)
         # a key's rows of one micro-batch
-        pdf = pd.concat(list(pdfs)).sort_values("ts")
+        pdf = pd.concat(list(pdfs)).sort_values("us")
         out, _, end, count = _fold(pdf, key[0], end, count, limit, width)
-        state.update((int(end.value // 1000), count))
-        state.setTimeoutDuration(seconds * 1000)
+        state.update((end, count))
+        state.setTimeoutTimestamp(-(-end // 1000))
         yield out
 
-    return rows.groupBy("key").applyInPandasWithState(run, _COLUMNS, "end_us long, count long", "append", "ProcessingTimeTimeout")
+    return _shown(rows.groupBy("key").applyInPandasWithState(run, _FOLDED, "end_us long, count long", "append", "EventTimeTimeout"))
