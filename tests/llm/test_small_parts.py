@@ -1,12 +1,13 @@
 """Parts that need no Spark session, against plain versions."""
 
+import functools
 import itertools
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -65,15 +66,37 @@ def test_trie_tokenizer(trie):
     assert trie.written_batch(ODD) == [(" ".join(map(str, x)), t) for x, t in zip(want, text)]
 
 
+@functools.cache
+def both():
+    path = P.path("word_bpe_49k.json")
+    return TrieTokenizer(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
+@example("þ\U000142a7")  # a letter that Python's Unicode version doesn't know
+@example("\u1c89 \ua7cb\U0001f600 Straße")
 def test_trie_tokenizer_on_any_text(text):
-    trie = test_trie_tokenizer_on_any_text.__dict__.setdefault("trie", TrieTokenizer(open(P.path("word_bpe_49k.json"), encoding="utf-8").read()))
-    ref = trie.__dict__.setdefault("ref", Tokenizer.from_file(P.path("word_bpe_49k.json")))
+    trie, ref = both()
     text = text.encode("utf-8", "ignore").decode()
     assert trie.encode_batch([text])[0] == ref.encode(text, add_special_tokens=False).ids
 
 
+@functools.cache
+def both_bytes():
+    path = P.path("byte_bpe_50k.json")
+    return WordTokenizer(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=40))
+@example("a\U000142a7b \U000142a7")
+def test_word_tokenizer_on_any_text(text):
+    words, ref = both_bytes()
+    text = text.encode("utf-8", "ignore").decode()
+    assert np.frombuffer(words.encode_batch([text])[0], words.dtype).tolist() == ref.encode(text, add_special_tokens=False).ids
+
+
 def test_fingerprint():
     def plain(text):
         words = text.encode().lower().split()

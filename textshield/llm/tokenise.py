@@ -31,10 +31,11 @@ BEYOND_LATIN = re.compile(f"[^\\x00-\\u{LATIN_END - 1:04x}]")
 
 @functools.cache
 def char_class(kinds: str, end: int = sys.maxunicode + 1) -> str:
-    """A class body for ``re`` with the characters below ``end`` of these general categories."""
+    """A class body for ``re`` with the characters below ``end`` of these general categories (initials, or Cn)."""
     runs, start = [], None
     for c in range(end + 1):
-        inside = c < end and unicodedata.category(chr(c))[0] in kinds
+        name = unicodedata.category(chr(c)) if c < end else ""
+        inside = name != "" and (name == kinds if kinds == "Cn" else name[0] in kinds)
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -43,6 +44,26 @@ def char_class(kinds: str, end: int = sys.maxunicode + 1) -> str:
     return "".join(runs)
 
 
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]+")
+
+
+@functools.cache
+def _unassigned(end: int) -> re.Pattern:
+    return re.compile(f"[{char_class('Cn', end)}]")
+
+
+def newer_unicode(text: str) -> bool:
+    """Whether a text has characters that Python's Unicode version doesn't know.
+
+    The tokenizers library may know them, so it has to cut such texts itself.
+    Classes of higher planes are slow, so only characters of these meet them.
+    """
+    if _unassigned(1 << 16).search(text):
+        return True
+    astral = "".join(_ASTRAL.findall(text))
+    return bool(astral and _unassigned(sys.maxunicode + 1).search(astral))
+
+
 @functools.cache
 def word_pattern(end: int = sys.maxunicode + 1) -> re.Pattern:
     """Fixed value: the byte-level word pattern, with its classes spelled out.
@@ -103,7 +124,11 @@ class WordTokenizer:
         small, large, special = word_pattern(LATIN_END).findall, word_pattern().findall, self._special_re
         out = []
         for t in texts:
-            find = large if BEYOND_LATIN.search(t) else small
+            beyond = BEYOND_LATIN.search(t)
+            if beyond and newer_unicode(t):
+                out.append(np.array(self._whole.encode(t, add_special_tokens=False).ids, self.dtype).tobytes())
+                continue
+            find = large if beyond else small
             if special is not None and special.search(t):
                 parts = special.split(t)
                 words = [w for i, p in enumerate(parts) for w in ([(p,)] if i % 2 else find(p))]

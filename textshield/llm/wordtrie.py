@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .tokenise import _SPACE, BEYOND_LATIN, LATIN_END, char_class
+from .tokenise import _SPACE, BEYOND_LATIN, LATIN_END, char_class, newer_unicode
 
 #: Distinct words (twice) and pairs that a worker remembers at most.
 CACHE_WORDS, CACHE_PAIRS = 120_000, 600_000
@@ -63,6 +63,12 @@ class TrieTokenizer:
         self._ids: dict[str, int] = model["vocab"]
         self._names = {i: t for t, i in self._ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        from tokenizers import Regex, Tokenizer
+        from tokenizers.pre_tokenizers import Split
+
+        whole = Tokenizer.from_str(tokenizer_json)
+        cut = spec["pre_tokenizer"]["pretokenizers"][0]
+        self._normal, self._cut = whole.normalizer, Split(Regex(cut["pattern"]["Regex"]), "removed", invert=True)
         self._special_re = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")")
         # Fixed value: the file's word pattern, with its classes spelled out and
         # letters first, which is faster and as no other branch begins with one
@@ -169,6 +175,10 @@ class TrieTokenizer:
             if i % 2:
                 out.append(self._special[part])
                 continue
+            beyond = BEYOND_LATIN.search(part)
+            if beyond and newer_unicode(part):
+                out += [w for w, _ in self._cut.pre_tokenize_str(self._normal.normalize_str(part))]
+                continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part)
             # capital sigma by hand: lower() would look at its neighbours
