@@ -158,6 +158,37 @@ def test_plan_is_a_packing(lengths):
     assert made <= len(first_fit) + 1
 
 
+def plain_best_fit(lengths, size):
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r >= x]
+        if fits:
+            rooms[min(fits, key=rooms.__getitem__)] -= x
+        else:
+            rooms.append(size - x)
+    return sorted(rooms)
+
+
+def test_plan_fills_open_sequences_with_equal_pieces():
+    counts = np.zeros(1025, int)
+    counts[[600, 200]] = 1000, 2000
+    assert packing.plan(counts)[1] == 1000 == len(plain_best_fit([600] * 1000 + [200] * 2000, 1024))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), max_size=8))
+@example({35: 10, 12: 20})
+def test_plan_is_best_fit_after_the_reduction(pieces):
+    counts = np.zeros(61, int)
+    counts[list(pieces)] = list(pieces.values())
+    runs, made, fixed = packing.plan(counts)
+    rooms, rest = np.full(made, 60), []
+    for length, _, n, first, _ in runs.tolist():
+        rooms[first : first + n] -= length
+        rest += [length] * n if first >= fixed else []
+    assert sorted(rooms[fixed:].tolist()) == plain_best_fit(rest, 60)
+
+
 def test_secret_spans():
     text = 'éé password = "abcdefgh1" TOKEN:short12 api_key=ABCDEFGH. AKIAABCDEFGHIJKL ' + "0" * 31 + " " + "a" * 32
     spans = ledger.base_spans(text)

@@ -15,7 +15,7 @@ and taken out.  What is left is packed by best fit, longest first.
 
 from __future__ import annotations
 
-from collections import Counter, deque
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,27 +82,28 @@ def plan(counts: np.ndarray) -> tuple[np.ndarray, int, int]:
     fixed = made
     # best fit on what is left: sequences with equal room are interchangeable
     rooms: dict[int, deque] = {}
-    open_ = Counter()
+
+    def fill(long: int, first: int, number: int, room: int, each: int) -> None:
+        """Put ``each`` pieces one after another into every one of these sequences."""
+        for k in range(each):
+            put(long, number, first, size - room + k * long)
+        rooms.setdefault(room - each * long, deque()).append((first, number))
+
     for long in range(size, 0, -1):
+        # the next piece fits best where one has just gone, as long as there is room for it
         for room in range(long, size):
-            while left[long] and open_[room]:
+            while left[long] and rooms.get(room):
                 first, number = rooms[room].popleft()
-                n = int(min(left[long], number))
-                put(long, n, first, size - room)
+                each = min(room // long, int(left[long]))
+                n = min(int(left[long]) // each, number)
                 if n < number:
                     rooms[room].appendleft((first + n, number - n))
-                open_[room] -= n
-                rooms.setdefault(room - long, deque()).append((first, n))
-                open_[room - long] += n
+                fill(long, first, n, room, each)
         # new sequences take as many of this length as fit, one each in turn
         while left[long]:
-            each = size // long
-            n = max(1, int(left[long]) // each)
-            per = min(each, int(left[long]))
-            for k in range(per):
-                put(long, n, made, k * long)
-            rooms.setdefault(size - per * long, deque()).append((made, n))
-            open_[size - per * long] += n
+            each = min(size // long, int(left[long]))
+            n = int(left[long]) // each
+            fill(long, made, n, size, each)
             made += n
     return np.array(runs, np.int64).reshape(-1, 5), made, fixed
 
@@ -158,7 +159,7 @@ def pack(cut: DataFrame, size: int = 1024) -> DataFrame:
         counts[r["length"]] = r["n"]
     runs, _, _ = plan(counts)
     order = np.lexsort((runs[:, 1], runs[:, 0]))
-    # at most about size * size / 2 runs, however many pieces there are
+    # at most about size * size runs, however many pieces there are
     shared = spark.sparkContext.broadcast(runs[order])
     bases = by_task.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("base"))
     ranked = cut.join(materialise(bases), ["length", "task"]).withColumn("rank", F.col("base") + F.col("nth"))
