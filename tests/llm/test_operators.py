@@ -218,6 +218,23 @@ def test_vectors(spark):
     assert projections.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_in_a_dense_label(spark):
+    """Pairs of ids far apart in a label around one mean; neighbours in id are no links."""
+    rng = np.random.default_rng(8)
+    mean = rng.standard_normal(32)
+    x = mean / np.sqrt(mean @ mean) + 0.05 * rng.standard_normal((6000, 32))
+    x[3000:3200] = x[:200] + 0.0125 * rng.standard_normal((200, 32))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "hot") for i, v in enumerate(x)], "vec_id long, embedding array<float>, label string").repartition(3)
+    y = x.astype(float)
+    near = (y @ y.T) / np.outer(np.sqrt((y * y).sum(1)), np.sqrt((y * y).sum(1))) >= 0.98
+    np.fill_diagonal(near, False)
+    assert near.sum() > 300
+    root = simhash.spanning(len(y), iter([np.nonzero(near)]))
+    got = {r["id"]: (r["n_links"], r["component"]) for r in projections.near_duplicates(df).collect()}
+    assert got == {i: (int(near[i].sum()), int(root[i])) for i in range(len(y))}
+
+
 @pytest.mark.parametrize("most", [500, 1])
 def test_repeats(docs, empty, most, monkeypatch):
     monkeypatch.setattr(repeats, "DICTIONARY_PHRASES", most)

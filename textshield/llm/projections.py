@@ -6,11 +6,13 @@ within their label, each is compared with the ``window`` that come before it,
 and pairs whose cosine in double precision reaches the threshold are links.
 Links of all passes are united into components.
 
-A window is bounded, a dense group isn't.  So the passes only need to connect
-a group: links within a component are then counted in full, over pairs of tiles
-of its vectors, however many they are.  What can be missed is a link between
-two components that no pass brought together; for a cosine at the threshold
-the chance is that of differing early in every pass's order.
+A window is bounded, a dense group isn't, and two near vectors can lie apart in
+every pass.  So the passes decide no result, they only put near vectors next to
+each other: a label's vectors are cut into tiles, the groups that passes united
+first and the others in the first pass's order, and every pair of tiles is
+compared in full, unless the spread of both around their means leaves no room
+for a link.  No link is missed, whatever the passes brought together; where the
+tiles of a label aren't compact the products grow with the square of its rows.
 
 Equal vectors are one vector with a weight, so a vector that a third of all
 rows hold is compared once.
@@ -31,6 +33,9 @@ from .simhash import spanning
 SIGNS = 32
 #: Rows of a pass that are compared in one go.
 CHUNK = 4096
+#: Rows of a tile, and those of them that are multiplied with another tile in one go.
+SWEEP_ROWS = 4096
+BLOCK = 512
 
 
 def _signs(x: np.ndarray, pass_: int, seed: int) -> np.ndarray:
@@ -56,7 +61,7 @@ def _spread(passes: int, seed: int):
                 part = b.filter(pa.array(dims == dim))
                 x = _matrix(part.column("v"), dim)
                 for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([part.column("label"), part.column("dim"), pa.array(np.full(len(x), p, np.int32)), pa.array(_signs(x, p, seed)), part.column("rep"), part.column("v")], names=["label", "dim", "pass", "code", "rep", "v"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(x), p, np.int32)), pa.array(_signs(x, p, seed))], names=[*part.schema.names, "pass", "code"])
 
     return run
 
@@ -89,21 +94,49 @@ def _windows(window: int, threshold: float):
     return run
 
 
-def _weighted(batch: pa.RecordBatch, row: int, orders: str, payloads: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _weighted(batch: pa.RecordBatch, row: int, payloads: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, weights and vectors of a tile."""
-    ids = batch.column(orders)[row].values
     held = batch.column(payloads)[row].values
-    return ids.to_numpy(), held.field("w").to_numpy(), _matrix(held.field("v"), batch.column("dim")[row].as_py())
+    return held.field("rep").to_numpy(), held.field("w").to_numpy(), _matrix(held.field("v"), batch.column("dim")[row].as_py())
+
+
+def _apart(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether the angles around both means rule out any link."""
+    means, wide = [], 0.0
+    for z in (x, y):
+        unit = z / np.sqrt((z * z).sum(1))[:, None]
+        mean = unit.mean(0)
+        length = np.sqrt(mean @ mean)
+        if not length > 1e-6:
+            return False
+        means.append(mean / length)
+        wide += np.arccos(np.clip((unit @ means[-1]).min(), -1, 1))
+    return np.arccos(np.clip(means[0] @ means[1], -1, 1)) - wide > np.arccos(threshold) + 1e-6
+
+
+def _found(ids: np.ndarray, n: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    """(a, b, n): links of row a in this comparison, and the least row b they connect it to."""
+    own = np.flatnonzero((n > 0) | (root != np.arange(len(ids))))
+    return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]]), pa.array(n[own].astype(np.int64))], names=["a", "b", "n"])
 
 
 def _within(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(len(b)):
-                ids, w, x = _weighted(b, r, "orders", "payloads")
-                near = _near(x, x, threshold)
-                np.fill_diagonal(near, False)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near @ w)], names=["rep", "n"])
+                ids, w, x = _weighted(b, r, "payloads")
+                n = np.zeros(len(ids), np.int64)
+
+                def pairs(x=x, w=w, n=n):
+                    for s in range(0, len(x), BLOCK):
+                        near = _near(x[s : s + BLOCK], x, threshold)
+                        near[np.arange(len(near)), s + np.arange(len(near))] = False
+                        n[s : s + BLOCK] = near @ w
+                        i, j = np.nonzero(near)
+                        yield i + s, j
+
+                root = spanning(len(ids), pairs())
+                yield _found(ids, n, root)
 
     return run
 
@@ -112,10 +145,24 @@ def _across(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(len(b)):
-                ia, wa, x = _weighted(b, r, "orders", "payloads")
-                ib, wb, y = _weighted(b, r, "orders_b", "payloads_b")
-                near = _near(x, y, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ia, ib])), pa.array(np.concatenate([near @ wb, wa @ near]))], names=["rep", "n"])
+                ia, wa, x = _weighted(b, r, "payloads")
+                ib, wb, y = _weighted(b, r, "payloads_b")
+                if _apart(x, y, threshold):
+                    continue
+                n = np.zeros(len(x) + len(y), np.int64)
+
+                def pairs(x=x, y=y, wa=wa, wb=wb, n=n):
+                    for s in range(0, len(x), BLOCK):
+                        near = _near(x[s : s + BLOCK], y, threshold)
+                        if not near.any():
+                            continue
+                        n[s : s + len(near)] = near @ wb
+                        n[len(x) :] += wa[s : s + BLOCK] @ near
+                        i, j = np.nonzero(near)
+                        yield i + s, j + len(x)
+
+                root = spanning(len(n), pairs())
+                yield _found(np.concatenate([ia, ib]), n, root)
 
     return run
 
@@ -138,19 +185,25 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     usable = materialise(usable.withColumn("h", F.xxhash64("v")))
     classes = materialise(usable.groupBy("label", "h", "v").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("rep")).withColumn("dim", F.size("v")))
     rows = classes.count()
-    spread = classes.select("label", "dim", "rep", "v").mapInArrow(_spread(passes, seed), f"label {classes.schema['label'].dataType.simpleString()}, dim int, pass int, code long, rep long, v {classes.schema['v'].dataType.simpleString()}")
+    kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
+    spread = classes.select("label", "dim", "rep", "v").mapInArrow(_spread(passes, seed), f"label {kinds['label']}, dim int, rep long, v {kinds['v']}, pass int, code long")
     keys = ["dim", "label", "pass", "code", "rep"]
     ordered = spread.repartitionByRange(partitions_for(spark, rows * passes, 200_000), *keys).sortWithinPartitions(*keys)
-    roots = materialise(connected_components(ordered.mapInArrow(_windows(window, threshold), "a long, b long")))
-
-    members = classes.join(roots, classes.rep == roots.id).select("root", "dim", "rep", F.struct("w", "v").alias("held"))
-    cut = materialise(tiles(members, ["root", "dim"], "rep", "held", partitions_for(spark, rows, 20_000), rows=512))
-    within = cut.where("n > 1").select("dim", "orders", "payloads").mapInArrow(_within(threshold), "rep long, n long")
-    pairs = tile_pairs(cut, ["root", "dim"]).select("tile_a", "tile_b", "dim")
-    left = cut.select(F.col("tile_id").alias("tile_a"), "orders", "payloads")
-    right = cut.select(F.col("tile_id").alias("tile_b"), F.col("orders").alias("orders_b"), F.col("payloads").alias("payloads_b"))
-    across = materialise(pairs).join(left, "tile_a").join(right, "tile_b").mapInArrow(_across(threshold), "rep long, n long")
-    counts = materialise(within.unionByName(across).groupBy("rep").agg(F.sum("n").alias("n")))
+    united = materialise(connected_components(ordered.mapInArrow(_windows(window, threshold), "a long, b long")))
+
+    members = classes.join(united, classes.rep == united.id, "left").select("label", "dim", "rep", "w", "v", "root")
+    members = members.mapInArrow(_spread(1, seed), f"label {kinds['label']}, dim int, rep long, w long, v {kinds['v']}, root long, pass int, code long")
+    place = F.struct(F.col("root").isNull().alias("single"), F.coalesce("root", "code").alias("near"), "rep")
+    members = materialise(members.select("label", "dim", place.alias("place"), F.struct("rep", "w", "v").alias("held")))
+    cut = materialise(tiles(members, ["label", "dim"], "place", "held", partitions_for(spark, rows, 20_000), rows=SWEEP_ROWS))
+    within = cut.where("n > 1").select("dim", "payloads").mapInArrow(_within(threshold), "a long, b long, n long")
+    pairs = tile_pairs(cut, ["label", "dim"]).select("tile_a", "tile_b", "dim")
+    left = cut.select(F.col("tile_id").alias("tile_a"), "payloads")
+    right = cut.select(F.col("tile_id").alias("tile_b"), F.col("payloads").alias("payloads_b"))
+    across = materialise(pairs).join(left, "tile_a").join(right, "tile_b").mapInArrow(_across(threshold), "a long, b long, n long")
+    found = materialise(within.unionByName(across))
+    roots = materialise(connected_components(found.select("a", "b")))
+    counts = materialise(found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n")))
     named = classes.join(roots, classes.rep == roots.id, "left").join(counts, "rep", "left")
     named = materialise(named.select("label", "h", "v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component")))
     found = usable.join(named, ["label", "h", "v"]).select("id", "n_links", "component")
