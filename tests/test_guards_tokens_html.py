@@ -39,6 +39,20 @@ def test_language_detection(spark, sf):
     assert found.where("lang = detected").count() > 0.9 * found.count()
 
 
+def test_language_guard_in_proofread(spark):
+    german = "Der Bericht ist von der Leitung und wird nicht an die Kunden oder das Amt gesendet, weil er noch nicht fertig ist."
+    df = requests(spark, ("", "indonesia", "en", "", LONG, "1"), ("", "indonesia", "en", "", german, "2"), ("", "indonesia", "en", "", "zzz qqq " * 20, "3"), ("", "indonesia", "ID", "", LONG, "4"))
+    ok, bad = proofread(df, Config(check_language=True))
+    assert [r["i"] for r in ok.collect()] == [0]
+    assert {r["i"]: r["error"]["error"] for r in bad.collect()} == dict.fromkeys([1, 2, 3], "LOCALE_LANGUAGE_MISMATCH")
+
+
+def test_language_of_a_row_is_the_tables(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    both = d.join(language.detect(d), F.col("doc_id") == F.col("id"), "left").select("detected", language.detected(F.col("text"))["lang"].alias("own"))
+    assert both.where("not (detected <=> own)").count() == 0 and both.where("own is not null").count() > 100
+
+
 def test_token_tables(spark):
     old = spark.createDataFrame([(1, "[ORG_2]", "A"), (1, "[PERSON_5]", "B")], "doc_id int, token string, original string")
     new = spark.createDataFrame([(1, "[ORG_1]", "X"), (1, "[PERSON_1]", "Y"), (1, "[ORG_7]", "A"), (1, "[ORG_8]", "[ORG_1]"), (1, "bad", "z"), (1, "[ORG_9]", " ")], "doc_id int, token string, original string")

@@ -21,6 +21,7 @@ class Config:
     detect_sql: bool = False
     detect_html: bool = False
     reject_symbol_only: bool = False
+    check_language: bool = False
     #: Language guard.
     lang_min_chars: int = 80
     lang_min_confidence: float = 0.85

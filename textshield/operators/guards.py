@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import tables
 from ..functions.spans import TOKEN
+from . import language
 
 ERROR = "struct<message:string,error:string,status_code:int>"
 REQUEST_KEYS = ["type_of_check", "tenant", "locale", "format", "data", "report_id"]
@@ -118,6 +119,18 @@ def language_verdict(locale: Column, lang: Column, confidence: Column, chars: Co
     return F.struct((reason == "ok").alias("passes"), reason.alias("reason"))
 
 
+def language_error(locale: Column, text: Column, cfg: Config | None = None) -> Column:
+    """An error unless the text is surely in a language of the locale."""
+    c = F.coalesce(clean(text, tokens_too=False), F.lit(""))
+
+    def judge(found: Column) -> Column:
+        verdict = language_verdict(locale, found["lang"], found["confidence"], F.length(c), cfg)
+        message = F.concat(F.lit("text language '"), F.coalesce(found["lang"], F.lit("")), F.lit("' does not match locale '"), F.lower(locale), F.lit("'"))
+        return F.when(~verdict["passes"], error(message, "LOCALE_LANGUAGE_MISMATCH"))
+
+    return F.get(F.transform(F.array(language.detected(c)), judge), F.lit(0))
+
+
 def verdicts(df: DataFrame, cfg: Config | None = None) -> DataFrame:
     """Adds ``error``: the first guard that fails, else null.  All rows stay."""
     cfg = cfg or Config()
@@ -134,6 +147,7 @@ def verdicts(df: DataFrame, cfg: Config | None = None) -> DataFrame:
         F.when(symbol_only(data), error("text has no letters", "SYMBOL_ONLY")) if cfg.reject_symbol_only else none,
         over_limit(data, cfg.token_limit),
         semantic_error(semantic(data, cfg)),
+        language_error(F.col("locale"), data, cfg) if cfg.check_language else none,
     )
     return df.withColumn("error", found)
 

@@ -1,8 +1,8 @@
-"""Language by frequent words, with joins and groups only."""
+"""Language by frequent words: with joins and groups for a table, as an expression for a row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Frequent words by language.
@@ -28,3 +28,25 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     hits = words.join(table, "word").groupBy("id", "lang").agg(F.count(F.lit(1)).alias("n"))
     best = hits.groupBy("id").agg(F.max(F.struct("n", "lang")).alias("b"), F.sum("n").alias("all"))
     return best.select("id", F.col("b.lang").alias("detected"), (F.col("b.n") / F.col("all")).alias("confidence"))
+
+
+def detected(text: Column) -> Column:
+    """struct(lang, confidence) of one text, null without a frequent word.
+
+    The same language as ``detect``'s.  The confidence is the part of the words
+    known in any language that the language has, so that words which several
+    languages share don't lower it.
+    """
+    every = sorted({w for words in WORDS.values() for w in words})
+
+    def among(words: Column, own: list[str]) -> Column:
+        return F.filter(words, lambda w: w.isin(*own))
+
+    def judge(words: Column) -> Column:
+        counts = F.array(*(F.struct(F.size(among(words, own)).alias("n"), F.lit(lang).alias("lang")) for lang, own in WORDS.items()))
+        best = F.array_max(counts)
+        return F.struct(best["lang"].alias("lang"), (best["n"] / F.size(words)).alias("confidence"))
+
+    known = among(F.split(F.lower(text), r"[^\p{L}]+"), every)
+    # one element, so that the words are cut once
+    return F.get(F.transform(F.filter(F.array(known), lambda words: F.size(words) > 0), judge), F.lit(0))

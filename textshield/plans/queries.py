@@ -506,6 +506,6 @@ def proofread_flagship(spark, sf_dir):
     """Documents through every stage, with what was found and changed in each."""
     d = read_table(spark, sf_dir, "documents")
     requests = d.select("doc_id", F.lit("general").alias("type_of_check"), F.lit("indonesia").alias("tenant"), F.lit("en").alias("locale"), F.lit("plain").alias("format"), F.col("text").alias("data"), F.col("doc_id").cast("string").alias("report_id"))
-    accepted, _ = proofread(requests)
+    accepted, _ = proofread(requests, Config(check_language=True))
     return accepted.select("doc_id", F.size("tokens").alias("n_tokens"), F.col("changed_count").alias("n_changes"), "token_ok", F.length("message_final").alias("n_chars"))
 
