@@ -123,7 +123,7 @@ def test_toxicity(spark, docs, empty):
     model = toxicity.train(docs, labels)
     got = toxicity.score(docs, model).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
-    ids = [r["doc_id"] for r in got if r["doc_id"] is not None]
+    ids = [r["id"] for r in got if r["id"] is not None]
     held = {r[0]: r[1] for r in docs.select("doc_id", toxicity.held_out("doc_id")).collect()}
     assert all(held[i] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in ids) and held[None] is False
     assert toxicity.score(empty, toxicity.train(empty, labels.limit(0))).count() == 0
@@ -132,7 +132,7 @@ def test_toxicity(spark, docs, empty):
 def test_toxicity_separates_held_out_rows(spark):
     d, g = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.train(d, g)
-    rows = toxicity.score(d, model).join(g, "doc_id").where(toxicity.held_out("doc_id")).select("score", "toxic").collect()
+    rows = toxicity.score(d, model).withColumnRenamed("id", "doc_id").join(g, "doc_id").where(toxicity.held_out("doc_id")).select("score", "toxic").collect()
     s, y = np.array([r["score"] for r in rows]), np.array([r["toxic"] for r in rows])
     ranks = np.argsort(np.argsort(s))
     auc = (ranks[y == 1].mean() - (y.sum() - 1) / 2) / (y == 0).sum()
@@ -250,7 +250,7 @@ def test_repeats(docs, empty, most, monkeypatch):
     assert repeats.remove_repeats(empty, 400).count() == 0
 
 
-def test_exact(docs, empty):
+def wanted_groups(docs):
     rows = [(i, re.sub(r"[\x20\x09-\x0D]", "", t), t) for i, t in local(docs)]
     groups = defaultdict(list)
     for i, n, t in rows:
@@ -259,18 +259,51 @@ def test_exact(docs, empty):
     for i, n, _ in rows:
         keep = min(groups[n], key=lambda x: (x[0], x[1], x[2] or 0))[2]
         want[(i, keep, len(groups[n]), i == keep, hashlib.sha256(n.encode()).hexdigest())] += 1
-    for bucket_rows in (4096, 2):
-        got = exact.exact_duplicates(docs, bucket_rows=bucket_rows).collect()
-        assert Counter((r["id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
+    return want
+
+
+def as_counter(found):
+    return Counter((r["id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in found.collect())
+
+
+def test_exact(docs, empty):
+    for bucket_rows in (512, 2):
+        assert as_counter(exact.exact_duplicates(docs, bucket_rows=bucket_rows)) == wanted_groups(docs)
     assert exact.exact_duplicates(empty).count() == 0
 
 
+def test_exact_compares_bytes_in_chains(docs, monkeypatch):
+    """With a hash that many texts share, and with hot ones."""
+    monkeypatch.setattr(exact, "hashed", lambda norm: F.xxhash64(F.length(norm) % 3))
+    assert as_counter(exact.exact_duplicates(docs)) == wanted_groups(docs)
+    monkeypatch.setattr(exact, "hot_rows", lambda total: 1)
+    assert as_counter(exact.exact_duplicates(docs)) == wanted_groups(docs)
+
+
+def test_exact_deals_hot_texts_over_owners(docs, monkeypatch):
+    monkeypatch.setattr(exact, "hot_rows", lambda total: 1)
+    assert as_counter(exact.exact_duplicates(docs)) == wanted_groups(docs)
+
+
+def test_index_finds_later_rows(spark, docs, tmp_path):
+    path = str(tmp_path / "index")
+    exact.build_index(docs.where("doc_id < 40"), path=path, bucket_rows=2)
+    known = {n for _, _, _, _, n in wanted_groups(docs.where("doc_id < 40"))}
+    got = exact.lookup(docs, path).collect()
+    assert len(got) == docs.count() and all((r["keep_id"] is not None) == (r["text_sha256"] in known) for r in got)
+
+
 def test_directory_doubles(spark):
-    hashes = spark.range(2000).select(F.xxhash64("id").alias("h")).unionByName(spark.range(300).select(F.col("id").alias("h"))).distinct()
-    rows = exact.directory(hashes, 64).collect()
-    sizes = Counter((r["depth"], r["bucket"]) for r in rows)
-    assert len(rows) == hashes.count() and max(sizes.values()) <= 64
-    assert all(((r["h"] & (2**64 - 1)) >> (64 - r["depth"])) == r["bucket"] for r in rows)
+    hashes = spark.range(2000).select(F.xxhash64("id").alias("h")).unionByName(spark.range(300).select(F.shiftleft("id", 45).alias("h"))).distinct()
+    slots, deep = exact.directory(hashes, 64)
+    of = {r["slot"]: (r["bucket"], r["depth"]) for r in slots.collect()}
+    rows = [r["h"] & (2**64 - 1) for r in hashes.collect()]
+    sizes = Counter(of[h >> (64 - deep)] for h in rows)
+    assert max(sizes.values()) <= 64 and len({d for _, d in sizes}) > 2
+    assert all((h >> (64 - d)) << (deep - d) == b for h in rows for b, d in [of[h >> (64 - deep)]])
+    slots, deep = exact.directory(hashes, 8, most_bits=5)
+    assert deep == 5 and slots.count() <= 32
+    assert exact.directory(hashes.limit(0))[0].count() == 0
 
 
 def test_components(spark):

@@ -23,11 +23,14 @@ def _own_root() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors can both reach.
 
-    It lies under ``spark.checkpoint.dir``.  Where that is unset (tests on one
-    machine) one temporary folder is made for the process.
+    It lies under ``spark.checkpoint.dir``.  Where that is unset and Spark runs
+    on one machine (tests) one temporary folder is made for the process; on a
+    cluster an unset one is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = _own_root()
     return f"{root.rstrip('/')}/textshield-{uuid.uuid4().hex}"
 
@@ -44,6 +47,24 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_rows(total: int | None) -> int:
+    """Keys of more rows count as hot; there are at most 1,000 of them."""
+    return max(1000, (total or 0) // 1000)
+
+
+def join_hot(rows: DataFrame, entries: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of ``rows`` with ``entries``, which has each key once.
+
+    ``hot``: the keys of so many rows that one task shouldn't get them all; the
+    caller bounds their number, and their entries are broadcast.  The other
+    keys' rows are dealt by key.
+    """
+    hot = F.broadcast(hot)
+    few = F.broadcast(entries.join(hot, key, "left_semi"))
+    many = rows.join(few, key) if how == "inner" else rows.join(hot, key, "left_semi").join(few, key, how)
+    return many.unionByName(rows.join(hot, key, "left_anti").join(entries.hint("merge"), key, how))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, text_or_empty
+from .common import hot_rows, join_hot, materialise, shared_dir, text_or_empty
 
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -68,7 +68,10 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: Rules | None = None,
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     named = source.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("blob"), "text")
     paths = materialise(named.select("id", "blob"))
-    fresh = paths.groupBy("blob").agg(F.min("id").alias("id"))
+    counts = materialise(paths.groupBy("blob").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0]
+    hot = counts.where(F.col("n") > hot_rows(total)).select("blob")
+    fresh = counts.select("blob", "id")
     known = _read(spark, ledger)
     if known is not None:
         fresh = fresh.join(known.where(F.col("rules") == rules.version).select("blob"), "blob", "left_anti")
@@ -84,8 +87,9 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: Rules | None = None,
     # rows repeated with id and text would else enter the ledger twice
     rows = rows.groupBy("blob").agg(F.max("spans").alias("spans"))
     rows.select("blob", F.lit(rules.version).alias("rules"), "spans").write.mode("append").option("compression", "zstd").parquet(ledger)
-    found = _read(spark, ledger).where((F.col("rules") == rules.version) & (F.size("spans") > 0)).select("blob", "spans")
-    return paths.join(found, "blob", "left").select("id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    # two scans at once may both have entered a blob
+    found = _read(spark, ledger).where((F.col("rules") == rules.version) & (F.size("spans") > 0)).groupBy("blob").agg(F.max("spans").alias("spans"))
+    return join_hot(paths, materialise(found), "blob", hot, "left").select("id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def _read(spark, ledger: str) -> DataFrame | None:
@@ -99,17 +103,21 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     """``docs`` with the spans of ``scan`` replaced by ``mark``; other rows as they are.
 
     Rows are matched by id and content.  Overlapping spans are replaced as one.
+    A null text stays null; repeated rows are all replaced; an empty table gives
+    no rows; other columns stay as they are, whatever their names.
     """
-    spans = found.where(F.size("spans") > 0).select(F.col("id").alias("_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_blob"])
-    keyed = docs.withColumn("_key", F.sha2(text_or_empty(text_col).cast("binary"), 256))
-    joined = keyed.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_blob")), "left")
+    spans = found.where(F.size("spans") > 0).select("id", "blob", "spans").groupBy("id", "blob").agg(F.max("spans").alias("spans"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("key"))
+    joined = keyed.join(spans, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("blob")), "left")
+    text = F.col("row")[text_col]
     merged = F.aggregate(
-        F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b")))),
+        F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b")))),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, s: F.struct(
-            F.when(s["a"] >= acc["at"], F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["a"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+            F.when(s["a"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["a"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
             F.greatest(acc["at"], s["b"]).alias("at"),
         ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), merged).otherwise(F.col(text_col))).select(*docs.columns)
+    clean = F.when(F.col("spans").isNotNull(), merged).otherwise(text)
+    return joined.select(*(clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
