@@ -47,7 +47,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+    return scored.select(F.col("id").alias("doc_id"), toxicity.held_out("id").alias("held_out"), "score", "predicted")
 
 
 def op5_word_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

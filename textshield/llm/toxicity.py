@@ -20,8 +20,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_or_empty
 
@@ -35,6 +36,8 @@ class Settings:
     #: Labelled rows of each class that the model is fitted on, at most.
     train_clean_rows: int = 3000
     train_toxic_rows: int = 1000
+    #: Their texts' bytes, at most; rows beyond it are left out.
+    train_bytes: int = 64 << 20
     buckets: int = 1 << 18
     dim: int = 8
     least_gram: int = 3
@@ -147,35 +150,40 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on labelled rows that aren't held out.
 
     At most ``train_clean_rows`` and ``train_toxic_rows`` rows are used, those
-    whose ids hash lowest; so the driver holds a bounded number of texts, whatever
-    the tables' size.  An id with labels of both kinds is left out.
+    whose ids hash lowest, as far as their texts have no more than
+    ``train_bytes``; so what the driver holds is bounded, whatever the tables'
+    size.  An id with labels of both kinds is left out; of several texts of one
+    id the least is taken.  Null ids and labels teach nothing; without labels
+    every text gets the same score.
     """
     s = settings or Settings()
     ids = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.min(label_col).alias("least"), F.max(label_col).alias("most")).where("least = most")
     ids = ids.select(F.col(id_col).alias("_id"), F.col("least").cast("int").alias("_y"), F.xxhash64(F.col(id_col), F.lit(s.seed)).alias("_h"))
     # as many rows as the two bounds allow, so small enough to broadcast
     chosen = ids.where("_y = 0").orderBy("_h").limit(s.train_clean_rows).unionByName(ids.where("_y = 1").orderBy("_h").limit(s.train_toxic_rows))
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t")).join(F.broadcast(chosen), "_id").select("_id", "_t", "_y").dropDuplicates(["_id"]).collect()
+    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t")).join(F.broadcast(chosen), "_id").groupBy("_id", "_y", "_h").agg(F.min("_t").alias("_t"))
+    # a window over the few rows that were chosen
+    rows = rows.withColumn("_b", F.sum(F.octet_length("_t")).over(Window.orderBy("_h", "_id"))).where(F.col("_b") <= s.train_bytes).select("_id", "_t", "_y").collect()
     rows.sort(key=lambda r: r["_id"])
     return fit([r["_t"] for r in rows], [r["_y"] for r in rows], s)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
-    """(``keep`` columns or id), score, predicted for every row.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, whole: bool = False) -> DataFrame:
+    """id (with ``whole`` the row, as a struct), score, predicted for every row.
 
     Null and empty texts are scored too: a text without words has the bias
-    alone.  Repeated rows get the same score; an empty table gives no rows.
+    alone.  Repeated rows get the same score; an empty table gives no rows;
+    other columns don't count, whatever their names.
     """
-    keep = keep or [id_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, text_or_empty(text_col).alias("_text"))
-    fields = source.drop("_text").schema
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double", "predicted int"])
+    kept = F.struct("*").alias("row") if whole else F.col(id_col).alias("id")
+    source = docs.select(kept, text_or_empty(text_col).alias("text"))
+    schema = T.StructType([source.schema[0], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value, {}
         for b in batches:
             p = score_texts(model, b.column(b.num_columns - 1).to_pylist(), known)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*b.schema.names[:-1], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[b.schema.names[0], "score", "predicted"])
 
     return source.mapInArrow(run, schema)
