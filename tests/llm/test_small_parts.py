@@ -15,7 +15,7 @@ from textshield.llm import ledger, packing, records, repeats, simhash, toxicity
 from textshield.llm.tokenise import WordTokenizer
 from textshield.llm.wordtrie import TrieTokenizer
 
-ODD = ["", "<|endoftext|>", "a<|endoftext|> b <|startoftext|><|endoftext|>c  \n\n d", "it's  we'll\t\tx  y'S", "\x1c\x1d x\x85y", "½ ²³ x", "日本語テキスト 123", "á é é", "\U0001f600 emoji", "   ", "ſ K ǅ", "ΑΣ ΣΑΣ όσος İstanbul", "मनीष है", "don't!!! ... --- ###", "a" * 3000, "trailing ", " lead"]
+ODD = ["", "<|endoftext|>", "a<|endoftext|> b <|startoftext|><|endoftext|>c  \n\n d", "it's  we'll\t\tx  y'S", "\x1c\x1d x\x85y", "½ ²³ x", "日本語テキスト 123", "á é é", "\U0001f600 emoji", "   ", "ſ K ǅ", "ΑΣ ΣΑΣ όσος İstanbul", "मनीष है", "don't!!! ... --- ###", "a" * 3000, "trailing ", " lead", "two\nlines, end.", "\nfirst", "x\n\ny", "a\tb c\t d \te", "word,  two", "É,é ça: 12,", "x\x85 y", "one.\nTwo! three?"]
 
 
 @pytest.fixture(scope="module")
@@ -89,7 +89,7 @@ def both_bytes():
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(max_size=40))
+@given(st.one_of(st.text(max_size=40), st.text("aB1 \n\t.,é'\u3000", max_size=30)))
 @example("a\U000142a7b \U000142a7")
 def test_word_tokenizer_on_any_text(text):
     words, ref = both_bytes()

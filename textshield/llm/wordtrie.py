@@ -31,24 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .tokenise import _SPACE, BEYOND_LATIN, LATIN_END, char_class, newer_unicode
+from .tokenise import _SPACE, BEYOND_LATIN, LATIN_END, byte_symbols, char_class, newer_unicode
 
 #: Distinct words (twice) and pairs that a worker remembers at most.
 CACHE_WORDS, CACHE_PAIRS = 120_000, 600_000
 
 
-@functools.cache
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out, extra = {b: chr(b) for b in plain}, 0
-    for b in range(256):
-        if b not in out:
-            out[b] = chr(256 + extra)
-            extra += 1
-    return [out[b] for b in range(256)]
-
-
 class TrieTokenizer:
     """Encodes and decodes as the tokenizers library does with this file."""
 
