@@ -66,3 +66,29 @@ def test_requests(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"tenant": "x", "data": "y", "odd": 1}\nno json\n')
     rows = io.read_requests(spark, str(tmp_path / "r.json")).collect()
     assert rows[0]["tenant"] == "x" and rows[0]["raw"].startswith("{") and rows[1]["tenant"] is None
+
+
+def test_stages_are_written_and_the_hook_runs(spark, tmp_path):
+    from textshield.config import Config
+    from textshield.plans.pipeline import proofread
+    from textshield.sources.io import write_stages
+
+    data = "surat untuk a@b.co.id dikirim hari ini oleh petugas kantor kepada semua orang di sana"
+    page = f"<p>{data}</p>"
+    rows = [("general", "indonesia", "id", "plain", data, "r1"), ("general", "indonesia", "id", "html", page, "r2")]
+    requests = spark.createDataFrame(rows, "type_of_check string, tenant string, locale string, format string, data string, report_id string")
+    cfg = Config(reformat=False, mirror=True)
+    accepted, _ = proofread(requests, cfg)
+    seen = []
+    done = write_stages(accepted, str(tmp_path / "s"), cfg, after_final=lambda final: seen.append(final.count()))
+    assert seen == [2] and done["after_final"] and all(done.values())
+    read = lambda name: spark.read.parquet(str(tmp_path / "s" / name))
+    assert {r["report_id"] for r in read("html_freeze").collect()} == {"r2"} and read("html_reverse").first()["html_final"] == page
+    assert read("masking").where("message_01 like '%[EMAIL_0]%'").count() == 2
+    assert read("final_mirror").columns == ["_id", "report_id", "toc_type", "tenant", "locale", "message_01", "layers", "created_at", "created_at2"]
+
+    def broken(final):
+        raise ValueError
+
+    assert write_stages(accepted, str(tmp_path / "t"), Config(reformat=False), after_final=broken)["after_final"] is False
+    assert write_stages(accepted, str(tmp_path / "u"), Config(db_disabled=True)) == {}

@@ -28,7 +28,7 @@ def pieces(text: Column, pattern: str) -> Column:
 
     Classes are Unicode's; marks in the text itself are dropped.
     """
-    clean = F.translate(text, MARK, "")
+    clean = F.replace(text, F.lit(MARK), F.lit(""))
     return F.split(F.regexp_replace(clean, f"(?U)({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
 
 
@@ -42,7 +42,9 @@ def find_spans(text: Column, pattern: str, cat: str | Column) -> Column:
         span = F.struct(acc["at"].alias("st"), end.alias("en"), cat.alias("cat"), part.alias("val"))
         return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(pieces(text, pattern), empty, step, lambda acc: acc["spans"])
+    found = F.aggregate(pieces(text, pattern), empty, step, lambda acc: acc["spans"])
+    none = F.when(text.isNotNull(), F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(f"(?U){pattern}"), found).otherwise(none)
 
 
 def overlaps(span: Column, others: Column) -> Column:
@@ -76,7 +78,8 @@ def splice(text: Column, spans: Column, replacements: Column) -> Column:
 
 def replace_matches(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
     """Every match replaced by ``new(match)``; the text is evaluated once."""
-    return F.array_join(F.transform(pieces(text, pattern), lambda p, i: F.when(i % 2 == 1, new(p)).otherwise(p)), "")
+    changed = F.array_join(F.transform(pieces(text, pattern), lambda p, i: F.when(i % 2 == 1, new(p)).otherwise(p)), "")
+    return F.when(text.rlike(f"(?U){pattern}"), changed).otherwise(text)
 
 
 CHANGE = "struct<`from`:string,`to`:string,st:int,en:int,via:string>"
@@ -99,7 +102,8 @@ def replace_logged(s: Column, pattern: str, new: Callable[[Column], Column], via
 
         return let(F.when(acc["hit"], F.coalesce(new(part), part)).otherwise(part), put)
 
-    return F.aggregate(pieces(s["text"], pattern), start, step, lambda acc: F.struct(acc["out"].alias("text"), acc["changes"].alias("changes")))
+    changed = F.aggregate(pieces(s["text"], pattern), start, step, lambda acc: F.struct(acc["out"].alias("text"), acc["changes"].alias("changes")))
+    return F.when(s["text"].rlike(f"(?U){pattern}"), changed).otherwise(s)
 
 
 def logged(text: Column) -> Column:

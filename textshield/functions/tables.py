@@ -11,7 +11,8 @@ MONTHS_EN_SHORT = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep"
 MONTH_NUMBER = {m.lower(): i + 1 for months in (MONTHS_EN, MONTHS_ID, MONTHS_FR) for i, m in enumerate(months)} | {"fevrier": 2, "aout": 8, "decembre": 12}
 ANY_MONTH = "|".join(dict.fromkeys([*MONTHS_EN, *MONTHS_ID, *MONTHS_FR, *MONTHS_FR_PLAIN]))
 
-# Fixed values. Calling codes in use, as ranges; the shorter is tried first.
+# Fixed values. Calling codes in use, with runs of them written as low-high (a
+# list of over 200 entries is built from this rule); the shorter is tried first.
 _CODES = """1 7 20 27 30-34 36 39-41 43-49 51-58 60-66 81 82 84 86 90-95 98
 211-213 216 218 220-258 260-269 290 291 297-299 350-359 370-378 380-383 385-387 389
 420 421 423 500-509 590-599 670 672-683 685-692 800 808 850 852 853 855 856 870 878
@@ -31,9 +32,14 @@ _EN, _EN3 = "(?:" + "|".join(MONTHS_EN) + ")", "(?:" + "|".join(MONTHS_EN_SHORT)
 _EN3T = _EN3.replace("Sep", "Sep(?:t)?")
 _TO = "(?:to|–|-)"
 
+#: The first of the third-layer patterns (one fixed value: name, at, domain
+#: with a dot), begun only where a name begins or a match has just ended, so
+#: that a long run of letters isn't tried from each of them.
+EMAIL_LIKE = r"(?:\G|(?<![a-zA-Z0-9_.+-]))[a-zA-Z0-9_.+-]++@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
+
 # Fixed values. Third-layer patterns in order; all ignore case.
 PATTERNS = [
-    (r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+", "EMAIL"),
+    (EMAIL_LIKE, "EMAIL"),
     (r"https?://\S+|www\.\S+", "URL"),
     (r"(?<!\w)@[A-Za-z0-9_](?:[A-Za-z0-9_.-]{1,29})\b", "SOCMED_ACCOUNT"),
     (r"(?<!\w)#[A-Za-z0-9_]{1,50}\b", "KEYWORD"),
@@ -65,8 +71,10 @@ PATTERNS = [
 #: An addition: an English month and year alone is a date too.
 EXTRA_PATTERNS = [(rf"\b{_EN}\s+\d{{4}}\b", "DATE")]
 
+_STEM = "(?:" + "|".join(dict.fromkeys([*MONTHS_ID_SHORT, *MONTHS_EN_SHORT])) + ")"
+
 # Fixed values. A text without any of these can't hold the category.
-NEEDED = {"EMAIL": "@", "SOCMED_ACCOUNT": "@", "URL": "(?i)https?://|www\\.", "NIK": "[0-9]{16}", "NPWP": "[0-9]\\.[0-9]{3}\\.", "IP_ADDRESS": "[0-9]\\.[0-9]", "ADDRESS": "(?i)jl\\.|jalan", "ORG": "(?i)tbk", "PHONE_NUMBER": "[0-9]"}
+NEEDED = {"DATE": rf"(?iuU)\d\s+{_STEM}|{_STEM}[a-z]*\s+\d|from\s+\d|\d[/-]\d", "EMAIL": "@", "SOCMED_ACCOUNT": "@", "URL": "(?i)https?://|www\\.", "NIK": "[0-9]{16}", "NPWP": "[0-9]\\.[0-9]{3}\\.", "IP_ADDRESS": "[0-9]\\.[0-9]", "ADDRESS": "(?i)jl\\.|jalan", "ORG": "(?i)tbk", "PHONE_NUMBER": "[0-9]"}
 
 # Fixed values. Titles (pattern, written form) in order, and phrases that are none.
 TITLES = [
@@ -90,7 +98,15 @@ NAME_STOPWORDS = ["Percobaan", "Trial", "Based", "Kemudian", "Selanjutnya", "Pad
 RANGE_FROM = r"(?:from|dari|sejak|depuis)"
 RANGE_TO = r"(?:until|to|sampai|hingga|sd\.?|s\.d\.?|au|à|jusqu['’]?\s*à|jusqu['’]?a)"
 
+# Fixed values. Lines and brackets whose digits are no phone numbers, by tenant.
+TH_CARD_LINE = r"(?im)^\s*+ID\s*+Card\s*+Number\s*+:\s*+\d[\d\s\-]{8,}\d\s*$"
+TH_DATE_LINE = r"(?im)^\s*+(?:Date\s++of\s++Birth|ID\s++Issued\s++Date|ID\s++Expired\s++Date)\s*+:.*$"
+TH_YEAR_PAIR = r"\b\d{4}\s*+\(\s*+\d{4}\s*+\)"
+TH_ADDRESS_LINE = r"(?im)^\s*+Registered\s++Address\s*+:.*$"
+MY_CARD = r"(?i)Identity\s*+Card\s*+number\s*+\([^)]{6,40}\)"
+
 # Fixed values. Front door.
 LOCALES, TENANTS, FORMATS = ["en", "id", "ms"], ["indonesia", "malaysia", "thailand"], ["plain", "html", "markdown"]
 REGION = {"id": "ID", "ms": "MY", "en": "US"}
+REGION_CODE = {"ID": "62", "MY": "60", "US": "1", "TH": "66"}
 LOCALE_LANGS = {"id": ["id"], "ms": ["ms"], "en": ["en"]}

@@ -35,6 +35,23 @@ def stage_rows(df: DataFrame, columns: list[str], now: Column) -> DataFrame:
     return df.select(document_id("report_id").alias("_id"), *columns, local_iso(now).alias("created_at"), local_long(now).alias("created_at2"))
 
 
+def stage_tables(accepted: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """Each stage's rows, from what ``proofread`` accepted; the HTML stages have the rows of that format."""
+    rows = accepted.withColumn("toc_type", F.col("type_of_check"))
+    keys = ["report_id", "toc_type", "tenant", "locale"]
+    pages = rows.where("format = 'html'").withColumns({"report_id_html": F.concat(F.col("report_id"), F.lit("_html")), "html_tag": F.lit(True), "body_html": F.col("data")})
+    prompt = rows.withColumns({"llm_prompt": F.col("message_01"), "llm_meta": F.create_map(F.lit("token_ok"), F.col("token_ok").cast("string"))})
+    masked = [*keys, "message_01", "layers"]
+    return {
+        "html_freeze": stage_rows(pages, ["report_id_html", *keys, "html_tag", "body_html", "skeleton", "text_map", "table_map"], now),
+        "masking": stage_rows(rows, [*keys, "body", "message_01", "layers", "order"], now),
+        "generative": stage_rows(prompt, [*masked, "message_02", "llm_prompt", "llm_meta"], now),
+        "unmask": stage_rows(rows, [*masked, "message_02", "message_03", "layered_maps"], now),
+        "final": stage_rows(rows, [*masked, "message_02", "message_03", "message_final"], now),
+        "html_reverse": stage_rows(pages, ["report_id_html", *keys, "html_tag", "html_final"], now),
+    }
+
+
 def mirror(stage: DataFrame) -> DataFrame:
     """The nine columns that may be copied, with the source's id and times."""
     return stage.select(*MIRROR_COLUMNS)

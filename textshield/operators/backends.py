@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.spans import find_spans
+from ..functions.spans import SPAN, find_spans, let
 from .masking import apply_spans, token_list
 from .tokens import preserved_strict
 
 # Gazetteer of the default tagger.
-ORGS = r"\b(?:[A-Z][\w&]+\s+)+(?:Inc|Ltd|Corp|Bank|University|Group)\b"
+ORGS = r"\b(?:[A-Z][\w&]+\s+){1,8}(?:Inc|Ltd|Corp|Bank|University|Group)\b"
 PLACES = ["Jakarta", "Bandung", "Surabaya", "Bangkok", "Kuala Lumpur", "Singapore", "Indonesia", "Malaysia", "Thailand"]
 
 
@@ -42,6 +42,42 @@ def mask_names(df: DataFrame, backend: NerBackend | None = None, state_col: str
     return df.withColumn(state_col, apply_spans(F.col(state_col), lambda t: filtered(backend.spans(t), t), None, "ner_"))
 
 
+def spans_by_chunk(text: Column, backend: NerBackend, most: int = 510, overlap: int = 50) -> Column:
+    """A tagger's spans, found window by window and told in the whole text's places; each once."""
+
+    def windows(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - overlap - 1, F.lit(0)), F.lit(most - overlap))
+
+        def tagged(first: Column) -> Column:
+            at = F.get(words, first)["st"]
+            end = F.get(words, F.least(first + most, F.size(words)) - 1)["en"]
+            own = let(F.substring(text, at + 1, end - at), backend.spans)
+            return F.transform(own, lambda s: F.struct((s["st"] + at).cast("int").alias("st"), (s["en"] + at).cast("int").alias("en"), s["cat"].alias("cat"), s["val"].alias("val")))
+
+        return F.when(F.size(words) > 0, F.array_distinct(F.flatten(F.transform(starts, tagged)))).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    return let(find_spans(text, r"\S+", "WORD"), windows)
+
+
+class Chunked:
+    """A tagger that sees windows of words only, as models with a bounded input need."""
+
+    def __init__(self, backend: NerBackend, most: int = 510, overlap: int = 50):
+        self._backend, self._most, self._overlap = backend, most, overlap
+
+    def spans(self, text: Column) -> Column:
+        return spans_by_chunk(text, self._backend, self._most, self._overlap)
+
+
+def mask_by_tenant(df: DataFrame, english: NerBackend, by_tenant: dict[str, NerBackend], tenant_col: str = "tenant", state_col: str = "_m") -> DataFrame:
+    """The English tagger's layer, then that of the row's tenant on what it left; indices count on."""
+    out = mask_names(df, english, state_col)
+    for tenant, backend in by_tenant.items():
+        own = apply_spans(F.col(state_col), lambda t, b=backend: filtered(b.spans(t), t), None, "ner_")
+        out = out.withColumn(state_col, F.when(F.lower(F.trim(tenant_col)) == tenant, own).otherwise(F.col(state_col)))
+    return out
+
+
 def template_name(check: Column, fmt: Column) -> Column:
     """employment, reference or address check, else general; plain or markup."""
     kind = F.replace(F.lower(F.coalesce(check, F.lit(""))), F.lit("_"), F.lit("-"))

@@ -55,7 +55,22 @@ def payload_shape(raw: Column, allowed: list[str] | None = None) -> Column:
 
 
 def forbidden_key(raw: Column) -> Column:
-    return F.coalesce(F.exists(F.json_object_keys(raw), lambda k: k.startswith("$")), F.lit(False)) | F.coalesce(raw.rlike(r'[{,]\s*"\$'), F.lit(False))
+    """Whether a key at any depth begins with a dollar sign; values don't count."""
+    keys = F.regexp_replace(raw, r'("(?:[^"\\]|\\.)*+"\s*:)|"(?:[^"\\]|\\.)*+"', "$1")
+    return F.coalesce(keys.rlike(r'[{,]\s*"\$'), F.lit(False))
+
+
+def validate_and_scan(raw: Column, allowed: list[str] | None = None, reject_markup: bool = True, markup: bool = True, statements: bool = True) -> Column:
+    """struct(error, data): shape, then keys and content; without ``reject_markup`` tags are stripped from data instead."""
+    data = F.get_json_object(raw, "$.data")
+    reason = F.when(forbidden_key(raw), "forbidden key")
+    if markup and reject_markup:
+        reason = F.coalesce(reason, F.when(has_markup(raw), "html/xss"))
+    if statements:
+        reason = F.coalesce(reason, F.when(has_sql(data), "sql-like"))
+    malicious = F.when(reason.isNotNull(), error(F.concat(F.lit("malicious_payload: "), reason), "MALICIOUS_PAYLOAD", 400))
+    found = F.coalesce(payload_shape(raw, allowed), malicious)
+    return F.struct(found.alias("error"), F.when(found.isNull(), data if reject_markup else strip_markup(data)).alias("data"))
 
 
 def has_markup(text: Column) -> Column:
@@ -90,7 +105,11 @@ def semantic(text: Column, cfg: Config | None = None) -> Column:
 
 
 def semantic_error(verdict: Column) -> Column:
-    return F.when(verdict["reason"] == "too_short", error("text is too short", "TEXT_TOO_SHORT")).when(verdict["reason"] == "too_few_words", error("text has too few words", "TEXT_TOO_FEW_WORDS"))
+    """The error of a verdict that doesn't pass; a reason of another detector falls in one class."""
+    named = F.when(verdict["reason"] == "too_short", error("text is too short", "TEXT_TOO_SHORT"))
+    named = named.when(verdict["reason"] == "too_few_words", error("text has too few words", "TEXT_TOO_FEW_WORDS"))
+    named = named.when(verdict["reason"] == "not_meaningful", error("text has no meaning to check", "TEXT_NOT_MEANINGFUL"))
+    return F.when(~verdict["passes"], named.otherwise(error("text can't be checked", "TEXT_INVALID_SEMANTIC")))
 
 
 def tokens_of(text: Column) -> Column:

@@ -12,6 +12,7 @@ WORDS = {
     "de": "der die das den dem des ein eine einer und ist in zu mit von auf für nicht sich auch als an es im wird aus er sie wir ihr oder aber wie".split(),
     "es": "el la los las un una unos de del y en que es por para con no se su al lo como más pero sus le ya o este sí porque".split(),
     "id": "yang dan di ini itu dengan untuk tidak dari dalam akan pada juga saya ke karena tersebut bisa ada mereka lebih kata sudah atau saat oleh menjadi".split(),
+    "sw": "na ya wa kwa ni katika la za cha kuwa hii huo hiyo yake wake kama lakini pia sana watu baada huu hivyo mtu siku".split(),
     "ms": "yang dan di ini itu dengan untuk tidak dari dalam akan pada juga saya ke kerana boleh ialah beliau telah kepada adalah sebagai oleh".split(),
 }
 
@@ -49,4 +50,7 @@ def detected(text: Column) -> Column:
 
     known = among(F.split(F.lower(text), r"[^\p{L}]+"), every)
     # one element, so that the words are cut once
-    return F.get(F.transform(F.filter(F.array(known), lambda words: F.size(words) > 0), judge), F.lit(0))
+    found = F.get(F.transform(F.filter(F.array(known), lambda words: F.size(words) > 0), judge), F.lit(0))
+    # Thai is told by its letters and has no code of its own
+    thai = F.length(F.regexp_replace(text, r"[^\u0E00-\u0E7F]", "")) * 2 > F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    return F.when(thai, F.struct(F.lit("").alias("lang"), F.lit(1.0).alias("confidence"))).otherwise(found)

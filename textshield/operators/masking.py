@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables
-from ..functions.spans import SPAN, TOKEN, find_spans, greedy, let, overlaps, pieces, splice
+from ..functions.spans import SPAN, TOKEN, find_spans, greedy, let, overlaps, pieces, replace_matches, splice
 
 TOKENS = "array<struct<layer:string,token:string,cat:string,val:string>>"
-_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# a domain name has at most 127 labels; an unbounded group would recurse in Java
+_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,126}\.[A-Za-z]{2,}"
 _CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d.])"
 _PHONE = r"\(?\+\d{1,3}\)?[\s.-]?(?:\(?\d{1,4}\)?[\s.-]?){1,5}\d{2,4}"
 _DIGITS = r"\+?\d[\d\-\s]{4,19}\d"
@@ -36,7 +37,7 @@ def pii_spans(text: Column) -> Column:
 
 def phone_spans(text: Column) -> Column:
     """Layer 2, numbers with a calling code in use; brackets around it belong to it."""
-    codes = F.array(*map(F.lit, tables.calling_codes()))
+    codes = F.split(F.lit(" ".join(tables.calling_codes())), " ")
 
     def known(s: Column) -> Column:
         d = F.regexp_replace(s["val"], r"\D", "")
@@ -53,12 +54,19 @@ def digit_spans(text: Column) -> Column:
 
 def pattern_spans(text: Column, extra: bool = True) -> Column:
     """Layer 3: the pattern table, cheap tests first."""
-    found = []
-    for pattern, cat in [*tables.PATTERNS, *(tables.EXTRA_PATTERNS if extra else [])]:
-        needed = tables.NEEDED.get(cat, "[0-9]" if cat == "DATE" else None)
-        spans = find_spans(text, f"(?iu){pattern}", cat)
-        found.append(F.when(text.rlike(needed), spans) if needed else spans)
-    return _all(*found)
+    found: list[tuple[int, Column]] = []
+    by_cat: dict[str, list[tuple[int, Column]]] = {}
+    for at, (pattern, cat) in enumerate([*tables.PATTERNS, *(tables.EXTRA_PATTERNS if extra else [])]):
+        by_cat.setdefault(cat, []).append((at, find_spans(text, f"(?iu){pattern}", cat)))
+    # a category's cheap test stands before all its patterns
+    for cat, spans in by_cat.items():
+        every = _all(*(s for _, s in spans))
+        needed = tables.NEEDED.get(cat)
+        first = min(at for at, _ in spans)
+        # a date has digits, which few texts have
+        wanted = text.rlike("(?U)\\d") & text.rlike(needed) if cat == "DATE" else text.rlike(needed) if needed else None
+        found.append((first, every if wanted is None else F.when(wanted, every)))
+    return _all(*(s for _, s in sorted(found, key=lambda x: x[0])))
 
 
 def _all(*arrays: Column) -> Column:
@@ -150,6 +158,27 @@ def mask_legacy(text: Column, kind: str, start: int = 1) -> Column:
     return let(spans, lambda s: let(F.transform(s, lambda x, i: F.concat(F.lit("{{" + kind + "_"), (i + start).cast("string"), F.lit("}}"))), lambda n: F.struct(splice(text, s, n).alias("text"), F.map_from_arrays(n, F.transform(s, lambda x: x["val"])).alias("map"), (F.size(s) + start).alias("next"))))
 
 
+def normalise_phones(text: Column, region: Column, e164: bool = True) -> Column:
+    """Numbers with a calling code, and those of the region that begin with 0, in one form.
+
+    E.164 is a plus and digits; the national form has 0 for the region's own
+    code and leaves numbers of other regions as E.164.  What is no possible
+    number stays.
+    """
+    code = F.try_element_at(F.create_map(*(F.lit(x) for kv in tables.REGION_CODE.items() for x in kv)), region)
+    codes = F.split(F.lit(" ".join(tables.calling_codes())), " ")
+
+    def one(p: Column) -> Column:
+        digits = F.regexp_replace(p, r"\D", "")
+        full = F.when(p.contains("+"), digits).when(digits.startswith("0") & code.isNotNull(), F.concat(code, F.substring(digits, F.lit(2), F.length(digits))))
+        known = F.exists(F.array(*(F.left(full, F.lit(n)) for n in (1, 2, 3))), lambda c: F.array_contains(codes, c))
+        own = F.concat(F.lit("0"), F.substring(full, F.length(code) + 1, F.length(full)))
+        shown = F.concat(F.lit("+"), full) if e164 else F.when(full.startswith(code), own).otherwise(F.concat(F.lit("+"), full))
+        return F.when(F.length(full).between(7, 15) & known, shown).otherwise(p)
+
+    return replace_matches(text, rf"{_PHONE}|(?<![\d+])0\d(?:[ .-]?\d){{6,12}}(?!\d)", one)
+
+
 def region_of(locale: Column) -> Column:
     table = F.create_map(*(F.lit(x) for kv in tables.REGION.items() for x in kv))
     return F.coalesce(F.try_element_at(table, F.lower(F.trim(locale))), F.lit("ID"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables
-from ..functions.spans import let, logged, replace_logged
+from ..functions.spans import let, logged, replace_logged, replace_matches
 
 _DONE = r"\(\+\d{1,3}\)\s*\d[\d ]*\d"
 _DATE_OR_IP = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b|\b(?:\d{1,3}\.){3}\d{1,3}\b"
@@ -25,7 +25,7 @@ Pass = tuple[str, Callable[[Column], Column], str]
 
 
 def _codes() -> Column:
-    return F.array(*map(F.lit, tables.calling_codes()))
+    return F.split(F.lit(" ".join(tables.calling_codes())), " ")
 
 
 def _only_digits(s: Column) -> Column:
@@ -98,14 +98,14 @@ def _first_code(d: Column) -> Column:
 def phone_passes() -> list[Pass]:
     steps: list[Pass] = []
     skip = lambda p: p.rlike(rf"^(?:{_DONE}|{_DATE_OR_IP})$")
-    steps.append((rf"{_DONE}|\+\d{{1,3}}(?:[\s.()-]*\d)+", lambda p: F.when(p.startswith("+"), with_code(p)).otherwise(p), "cc-as-zero"))
+    steps.append((rf"{_DONE}|\+\d{{1,3}}(?:[\s.()-]*+\d)++", lambda p: F.when(p.startswith("+"), with_code(p)).otherwise(p), "cc-as-zero"))
 
     def spaced(p: Column) -> Column:
         d = _only_digits(p)
         ok = ~skip(p) & F.length(d).between(7, 13) & p.rlike(r"\D") & _first_code(d).isNotNull()
         return F.when(ok, with_code(F.concat(F.lit("+"), d))).otherwise(p)
 
-    steps.append((rf"{_DONE}|{_DATE_OR_IP}|(?<!\d)\d{{1,3}}(?:[\s.()-]*\d){{6,}}(?!\d)", spaced, "cc-plain-spaced"))
+    steps.append((rf"{_DONE}|{_DATE_OR_IP}|(?<!\d)\d{{1,3}}(?:[\s.()-]*+\d){{6,}}+(?!\d)", spaced, "cc-plain-spaced"))
 
     def plain(p: Column) -> Column:
         cc = _first_code(p)
@@ -128,14 +128,29 @@ def phone_passes() -> list[Pass]:
     return steps
 
 
+def _month_place(name: Column) -> Column:
+    """The month's place among all names, 1 to 36 (English, Indonesian, French); 0: no month."""
+    plain = [n.lower().translate(_PLAIN) for n in (*tables.MONTHS_EN, *tables.MONTHS_ID, *tables.MONTHS_FR)]
+    return F.array_position(F.split(F.lit(" ".join(plain)), " "), F.translate(F.lower(name), "éû", "eu"))
+
+
+_PLAIN = str.maketrans("éû", "eu")
+
+
 def _month(name: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for kv in tables.MONTH_NUMBER.items() for x in kv))
-    return F.try_element_at(table, F.lower(name))
+    place = _month_place(name)
+    return F.when(place > 0, F.pmod(place - 1, F.lit(12)) + 1).cast("int")
+
+
+def _own_name(name: Column) -> Column:
+    """The month's name in the language it is in already."""
+    shown = [n[:1].upper() + n[1:] for n in (*tables.MONTHS_EN, *tables.MONTHS_ID, *tables.MONTHS_FR)]
+    return F.get(F.split(F.lit(" ".join(shown)), " "), (_month_place(name) - 1).cast("int"))
 
 
 def month_name(locale: Column, month: Column) -> Column:
     def pick(names: list[str]) -> Column:
-        return F.get(F.array(*(F.lit(n[:1].upper() + n[1:]) for n in names)), month - 1)
+        return F.get(F.split(F.lit(" ".join(n[:1].upper() + n[1:] for n in names)), " "), month - 1)
 
     low = F.lower(F.coalesce(locale, F.lit("")))
     return F.when(low.startswith("id"), pick(tables.MONTHS_ID)).when(low.startswith("fr"), pick(tables.MONTHS_FR)).otherwise(pick(tables.MONTHS_EN))
@@ -150,13 +165,13 @@ def _part(p: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(p, f"(?iu)^{pattern}$", group)
 
 
-def _dated(p: Column, locale: Column, day: Column, month: Column, year: Column, keep_zero: bool = False) -> Column:
-    """D Month YYYY, or a mark to review what is no day."""
+def _dated(p: Column, locale: Column, day: Column, month: Column, year: Column, keep_zero: bool | Column = False, own: Column | None = None) -> Column:
+    """D Month YYYY, or a mark to review what is no day; the month in the locale's language or by its ``own`` name."""
 
     def body(x: Column) -> Column:
         d, m, y = x["d"], x["m"], x["y"]
-        shown = day if keep_zero else d.cast("string")
-        name = month_name(locale, m)
+        shown = F.when(F.lit(keep_zero) if isinstance(keep_zero, bool) else keep_zero, day).otherwise(d.cast("string"))
+        name = month_name(locale, m) if own is None else own
         good = F.concat(shown, F.lit(" "), name, F.lit(" "), year)
         flag = F.concat(F.lit(f"{REVIEW} "), name, F.lit(" "), year)
         return F.when(m.isNull() | ~m.between(1, 12), p).when((d >= 1) & (d <= days_in_month(y, m)), good).otherwise(flag)
@@ -166,22 +181,28 @@ def _dated(p: Column, locale: Column, day: Column, month: Column, year: Column,
 
 def date_passes(locale: Column) -> list[Pass]:
     steps: list[Pass] = []
-    a = rf"\b({_MONTH})\s+(\d{{1,2}})(?:\s*,\s*|\s+)(\d{{4}})\b"
+    a = rf"\b({_MONTH})\s+(\d{{1,2}})(?:\s*+,\s*+|\s++)(\d{{4}})\b"
     steps.append((_quiet(a), lambda p: _dated(p, locale, _part(p, a, 2), _month(_part(p, a, 1)), _part(p, a, 3)), "datefmt_name"))
     b = rf"\b(\d{{1,2}})\s+({_MONTH})\s+(\d{{4}})\b"
     steps.append((_quiet(b), lambda p: _dated(p, locale, _part(p, b, 1), _month(_part(p, b, 2)), _part(p, b, 3), keep_zero=True), "datefmt_dayfirst"))
     c = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b"
     steps.append((_quiet(c), lambda p: _dated(p, locale, _part(p, c, 1), _part(p, c, 2).try_cast("int"), _part(p, c, 3)), "datefmt"))
     for pattern, d, m, y in [
-        (rf"\b({_MONTH})\s+(\d{{4}})\s*,?\s+(\d{{1,2}})\b", 3, 1, 2),
-        (rf"\b(\d{{1,2}})\s+(\d{{4}})\s*,?\s*({_MONTH})\b", 1, 3, 2),
-        (rf"\b(\d{{4}})\s*,?\s*({_MONTH})\s+(\d{{1,2}})\b", 3, 2, 1),
-        (rf"\b(\d{{4}})\s+(\d{{1,2}})\s*,?\s*({_MONTH})\b", 2, 3, 1),
+        (rf"\b({_MONTH})\s++(\d{{4}})(?:\s*+,\s++|\s++)(\d{{1,2}})\b", 3, 1, 2),
+        (rf"\b(\d{{1,2}})\s++(\d{{4}})\s*+,?+\s*+({_MONTH})\b", 1, 3, 2),
+        (rf"\b(\d{{4}})\s*+,?+\s*+({_MONTH})\s++(\d{{1,2}})\b", 3, 2, 1),
+        (rf"\b(\d{{4}})\s++(\d{{1,2}})\s*+,?+\s*+({_MONTH})\b", 2, 3, 1),
     ]:
-        steps.append((_quiet(pattern), lambda p, x=pattern, d=d, m=m, y=y: _dated(p, locale, _part(p, x, d), _month(_part(p, x, m)), _part(p, x, y)), "datefmt_reorder"))
-    e = rf"\b(\d{{4}})\s*,?\s*({_MONTH})\b(?!\s+\d)"
+
+        def reorder(p: Column, x: str = pattern, d: int = d, m: int = m, y: int = y) -> Column:
+            day = _part(p, x, d)
+            keeps = day.rlike("^0[0-9]$") & ~F.coalesce(F.lower(locale).startswith("id"), F.lit(False))
+            return _dated(p, locale, day, _month(_part(p, x, m)), _part(p, x, y), keep_zero=keeps, own=_own_name(_part(p, x, m)))
+
+        steps.append((_quiet(pattern), reorder, "datefmt_reorder"))
+    e = rf"\b(\d{{4}})\s*+,?+\s*+({_MONTH})\b(?!\s+\d)"
     steps.append((_quiet(e), lambda p: F.concat(month_name(locale, _month(_part(p, e.replace(r'(?!\s+\d)', ''), 2))), F.lit(" "), _part(p, e.replace(r"(?!\s+\d)", ""), 1)), "monthyear_yearfirst"))
-    f = rf"\b({_MONTH})\s*,?\s*(\d{{4}})\b"
+    f = rf"\b({_MONTH})\s*+,?+\s*+(\d{{4}})\b"
     steps.append((_quiet(f), lambda p: F.concat(month_name(locale, _month(_part(p, f, 1))), F.lit(" "), _part(p, f, 2)), "monthyear_monthfirst"))
     steps.append((rf"\b[1-9] (?:{'|'.join(dict.fromkeys([*tables.MONTHS_EN, *tables.MONTHS_ID, *(m.capitalize() for m in tables.MONTHS_FR)]))}) \d{{4}}\b", lambda p: F.when(p.rlike("^0"), p).otherwise(F.concat(F.lit("0"), p)), "date_zero_pad"))
     g = rf"\b({tables.RANGE_FROM})\b\s+({_MONTH})\s+(\d{{4}})\s+({tables.RANGE_TO})\s+({_MONTH})\s+(\d{{4}})\b"
@@ -221,13 +242,82 @@ def title_passes() -> list[Pass]:
     return steps
 
 
-def reformat_documents(df: DataFrame, text_col: str = "text", locale_col: str = "locale", final_col: str = "final") -> DataFrame:
+#: What stands for digits and the plus sign where phone passes mustn't look.
+_SHIELD = "".join(map(chr, range(0xE000, 0xE00B)))
+_OPEN = "0123456789+"
+
+
+def protect(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """Every match (that is ``wanted``) with its digits shielded; ``restore`` brings them back."""
+    shield = lambda p: F.translate(p, _OPEN, _SHIELD)
+    return replace_matches(text, pattern, shield if wanted is None else lambda p: F.when(wanted(p), shield(p)).otherwise(p))
+
+
+def restore(text: Column) -> Column:
+    return F.translate(text, _SHIELD, _OPEN)
+
+
+def tenant_allows(tenant: Column, name: str) -> Column:
+    """Labelled numbers are a tenant's own business; an unnamed tenant has all rules."""
+    return F.lower(F.trim(F.coalesce(tenant, F.lit("")))).isin("", name)
+
+
+def protect_thai(text: Column) -> Column:
+    """Numbers of identity cards, pairs of Buddhist and common years on lines of dates, registered addresses."""
+    out = protect(text, tables.TH_CARD_LINE)
+    out = replace_matches(out, tables.TH_DATE_LINE, lambda line: protect(line, tables.TH_YEAR_PAIR))
+    return protect(out, tables.TH_ADDRESS_LINE)
+
+
+def _card_digits(p: Column) -> Column:
+    return _only_digits(F.regexp_extract(p, r"\(([^)]*)\)$", 1))
+
+
+def compact_card(p: Column) -> Column:
+    """An identity card's twelve digits without what stands between them."""
+    return F.when(F.length(_card_digits(p)) == 12, F.concat(F.regexp_extract(p, r"^([^(]*\()", 1), _card_digits(p), F.lit(")"))).otherwise(p)
+
+
+def protect_malaysian(text: Column) -> Column:
+    return protect(text, tables.MY_CARD, lambda p: F.length(_card_digits(p)) == 12)
+
+
+def without_doubled_codes(text: Column) -> Column:
+    """(+(+62) and ((+62) are (+62)."""
+    return F.regexp_replace(F.regexp_replace(text, r"\(\+\(\+(\d{1,3})\)", "(+$1)"), r"\(\(\+(\d{1,3})\)", "(+$1)")
+
+
+def reformat_documents(df: DataFrame, text_col: str = "text", locale_col: str = "locale", final_col: str = "final", tenant_col: str | None = None) -> DataFrame:
     """Adds the final text, the changes (spans as of their pass) and changed_count.
 
-    A null text stays null and has no changes.
+    A null text stays null and has no changes.  Without ``tenant_col`` the
+    tenant counts as unnamed.  Labelled card numbers, year pairs and addresses
+    are shielded from the phone passes; a text that holds characters of the
+    shield itself is not.
     """
+    tenant = F.col(tenant_col) if tenant_col else F.lit("")
     out = df.withColumn("_r", logged(F.coalesce(F.col(text_col), F.lit(""))))
-    for pattern, new, via in [*phone_passes(), *date_passes(F.col(locale_col)), *title_passes()]:
-        out = out.withColumn("_r", replace_logged(F.col("_r"), pattern, new, via))
+    out = out.withColumn("_held", ~F.col("_r.text").rlike(f"[{_SHIELD}]"))
+
+    def run(passes: list[Pass]) -> None:
+        nonlocal out
+        for pattern, new, via in passes:
+            out = out.withColumn("_r", replace_logged(F.col("_r"), pattern, new, via))
+
+    def rewritten(text: Column) -> None:
+        nonlocal out
+        out = out.withColumn("_r", F.struct(text.alias("text"), F.col("_r.changes").alias("changes")))
+
+    plus, *phones = phone_passes()
+    run([plus])
+    thai, malaysian = (F.col("_held") & tenant_allows(tenant, name) for name in ("thailand", "malaysia"))
+    rewritten(F.when(thai, protect_thai(F.col("_r.text"))).otherwise(F.col("_r.text")))
+    out = out.withColumn("_r", F.when(tenant_allows(tenant, "malaysia"), replace_logged(F.col("_r"), tables.MY_CARD, compact_card, "my_nric_compact")).otherwise(F.col("_r")))
+    rewritten(F.when(malaysian, protect_malaysian(F.col("_r.text"))).otherwise(F.col("_r.text")))
+    run(phones)
+    clean = without_doubled_codes(F.col("_r.text"))
+    rewritten(F.when(F.col("_held"), restore(clean)).otherwise(clean))
+    run([*date_passes(F.col(locale_col)), *title_passes()])
+    out = out.drop("_held")
     final = F.when(F.col(text_col).isNotNull(), F.col("_r.text"))
     return out.withColumn("changes", F.col("_r.changes")).withColumn(final_col, final).drop("_r").withColumn("changed_count", F.size("changes"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tables
 from ..functions.spans import let
 
-_TITLED = rf"\b((?:{'|'.join(tables.SUBJECT_TITLES)})\s+[A-Z][\w'-]+(?:\s+[A-Z][\w'-]+)*)\b"
+_TITLED = rf"\b((?:{'|'.join(tables.SUBJECT_TITLES)})\s+[A-Z][\w'-]+(?:\s+[A-Z][\w'-]+){{0,200}})\b"
 _SPACED = r"(?<=[.!?])\s+"
 
 

@@ -51,6 +51,25 @@ def unmask_set(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_co
     return rebuilt.select(id_col, F.array_join(F.transform("parts", lambda x: x["p"]), "").alias("text"))
 
 
+def integrate(docs: DataFrame, old: DataFrame, new: DataFrame, id_col: str = "doc_id", text_col: str = "masked") -> tuple[DataFrame, DataFrame]:
+    """A tagger's finds brought into masked texts: (texts, layers).
+
+    ``old``: (doc_id, token, original) of the tokens already there; ``new``:
+    the same and ``type``, as the tagger numbered them.  Finds are sanitised,
+    numbered on after the old ones and put in outside of tokens; layers come
+    back under the new tokens, their type marked as a model's.  Texts without
+    a usable find stay as they are and have no layer.
+    """
+    pairs = new.select("doc_id", "token", "original")
+    fresh = reindex(sanitise(pairs, old).dropDuplicates(["doc_id", "original"]), old)
+    maps = fresh.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("new_token", "original"))).alias("map"))  # one text's tokens
+    joined = docs.join(maps.withColumnRenamed("doc_id", id_col), id_col, "left")
+    texts = joined.withColumn(text_col, F.when(F.col("map").isNull(), F.col(text_col)).otherwise(apply_outside(F.col(text_col), F.col("map")))).drop("map")
+    kind = F.concat(F.rtrim(F.coalesce(F.nullif("type", F.lit("")), F.lit("NER"))), F.lit(" / model"))
+    layers = new.join(fresh.select("doc_id", "original", "new_token"), ["doc_id", "original"]).select("doc_id", kind.alias("type"), F.col("new_token").alias("token"), "original").distinct()
+    return texts, layers
+
+
 def apply_outside(text: Column, token_to_value: Column) -> Column:
     """Values become tokens, the longest value first, but never inside a token."""
     entries = F.array_sort(F.transform(F.map_entries(token_to_value), lambda e: F.struct((-F.length(e["value"])).alias("n"), e["value"].alias("v"), e["key"].alias("k"))))

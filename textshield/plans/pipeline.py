@@ -28,7 +28,7 @@ def proofread(requests: DataFrame, cfg: Config | None = None, ner: backends.NerB
     rows = backends.rewrite(rows, cfg, rewriter, "message_01") if cfg.rewrite else rows.withColumns({"message_02": F.col("message_01"), "token_ok": F.lit(True)})
     rows = rows.withColumn("message_03", masking.unmask(F.col("message_02"), F.col("layered_maps")) if cfg.unmask else F.col("message_02"))
     if cfg.reformat:
-        rows = reformat.reformat_documents(rows, "message_03", "locale", "message_final")
+        rows = reformat.reformat_documents(rows, "message_03", "locale", "message_final", "tenant")
     else:
         rows = rows.withColumn("message_final", F.col("message_03"))
     restored = html.reverse(F.col("skeleton"), html.chosen_map(F.col("message_final"), F.col("text_map")), F.col("table_map"))

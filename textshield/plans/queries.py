@@ -16,7 +16,7 @@ from ..functions.spans import find_spans, greedy
 from ..functions.tables import MONTHS_EN, MONTHS_FR, MONTHS_ID, calling_codes
 from ..operators import audit, backends, guards, html, language, masking, reformat, subjects, tokens
 from ..sources.io import read_table
-from ..streaming.rate import rate_windows
+from ..streaming.rate import rate_windows, rejected
 from .pipeline import proofread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -251,6 +251,44 @@ def country_code_lookup(spark, sf_dir):
     return cut.join(codes, "cc").groupBy("c_custkey", "d").agg(F.min_by("cc", F.length("cc")).alias("cc"))
 
 
+@query("""WITH k AS (SELECT c_custkey, lpad(c_custkey::VARCHAR, 8, '0') AS k, ['thailand', 'malaysia', ''][c_custkey % 3 + 1] AS tenant FROM customer)
+SELECT c_custkey, CASE WHEN tenant = 'malaysia' THEN 'x' ELSE 'ID Card Number: 6281' || k || '1' END AS thai_card,
+  CASE WHEN tenant = 'malaysia' THEN 'x' ELSE 'Date of Birth: 24 September 2543 (2000)' END AS thai_date, CASE WHEN tenant = 'malaysia' THEN 'x' ELSE 'Registered Address: 10/142 (1502B) Soi 62812' || k END AS thai_address,
+  CASE WHEN tenant = 'thailand' THEN 'x' ELSE 'Identity Card number (9001' || k || ')' END AS my_card, tenant <> 'thailand' AS compacted,
+  'Call (+62) 812 ' || substr(k, 1, 4) || ' ' || substr(k, 5, 4) AS phone FROM k""")
+def reformat_protected(spark, sf_dir):
+    """Labelled card numbers, year pairs and addresses of the row's tenant stay; the phone beside them doesn't."""
+    c = read_table(spark, sf_dir, "customer")
+    key = F.lpad(F.col("c_custkey").cast("string"), 8, "0")
+    tenant = F.get(F.array(*map(F.lit, ["thailand", "malaysia", ""])), (F.col("c_custkey") % 3).cast("int"))
+    lines = F.concat_ws("\n", F.concat(F.lit("ID Card Number: 6281"), key, F.lit("1")), F.lit("Date of Birth: 24 September 2543 (2000)"), F.concat(F.lit("Registered Address: 10/142 (1502B) Soi 62812"), key), F.concat(F.lit("Identity Card number (9001 "), F.left(key, F.lit(4)), F.lit("-"), F.right(key, F.lit(4)), F.lit(")")), F.concat(F.lit("Call +62812"), key))
+    out = reformat.reformat_documents(c.select("c_custkey", lines.alias("text"), F.lit("en").alias("locale"), tenant.alias("tenant")), tenant_col="tenant")
+    line = lambda i: F.get(F.split("final", "\n"), F.lit(i))
+    return out.select(
+        "c_custkey",
+        F.when(F.col("tenant") == "malaysia", "x").otherwise(line(0)).alias("thai_card"),
+        F.when(F.col("tenant") == "malaysia", "x").otherwise(line(1)).alias("thai_date"),
+        F.when(F.col("tenant") == "malaysia", "x").otherwise(line(2)).alias("thai_address"),
+        F.when(F.col("tenant") == "thailand", "x").otherwise(line(3)).alias("my_card"),
+        F.exists("changes", lambda x: x["via"] == "my_nric_compact").alias("compacted"),
+        line(4).alias("phone"),
+    )
+
+
+@query("SELECT c_custkey, 'a (+62) 1' || c_custkey || ' b (+60) c ((62) d' AS text FROM customer")
+def doubled_codes(spark, sf_dir):
+    text = F.concat(F.lit("a (+(+62) 1"), F.col("c_custkey").cast("string"), F.lit(" b ((+60) c ((62) d"))
+    return read_table(spark, sf_dir, "customer").select("c_custkey", reformat.without_doubled_codes(text).alias("text"))
+
+
+@query("""SELECT c_custkey, 'Call +62812' || k || ' or +6581234567 or 12' AS e164, 'Call 0812' || k || ' or +6581234567 or 12' AS national FROM (SELECT c_custkey, lpad(c_custkey::VARCHAR, 8, '0') AS k FROM customer)""")
+def phones_normalised(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer")
+    key = F.lpad(F.col("c_custkey").cast("string"), 8, "0")
+    text = F.concat(F.when(F.col("c_custkey") % 2 == 0, "Call +62 812-").otherwise("Call 0812 "), F.left(key, F.lit(4)), F.lit("-"), F.right(key, F.lit(4)), F.lit(" or +65 8123 4567 or 12"))
+    return c.select("c_custkey", masking.normalise_phones(text, F.lit("ID")).alias("e164"), masking.normalise_phones(text, F.lit("ID"), e164=False).alias("national"))
+
+
 # Dates ----------------------------------------------------------------------
 
 
@@ -353,12 +391,55 @@ def guard_verdicts(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", guards.symbol_only(t).alias("symbol_only"), t.rlike("<[^>]+>").alias("tags"), guards.tokens_of(t).alias("tokens"))
 
 
-@query("""SELECT event_id, list_sort(list_filter(json_keys(props), lambda k: k NOT IN ('k')))::VARCHAR AS extra FROM events WHERE false""")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'INVALID_JSON_PAYLOAD' WHEN 1 THEN 'UNKNOWN_FIELDS' END AS code, CASE event_id % 4 WHEN 0 THEN 'payload is not an object' WHEN 1 THEN 'unknown fields: a, b' END AS message FROM events""")
 def payload_unknown_fields(spark, sf_dir):
-    """Events whose JSON is no object: none."""
+    """Every event's payload against the one key it may have; some are widened or cut first."""
     e = read_table(spark, sf_dir, "events")
-    bad = e.where(F.json_object_keys("props").isNull() & F.col("props").isNotNull())
-    return bad.select("event_id", F.col("props").alias("extra"))
+    k = F.col("event_id") % 4
+    raw = F.when(k == 0, F.lit("[1, 2]")).when(k == 1, F.lit('{"b": 1, "k": 2, "a": {"k": 3}}')).otherwise(F.lit('{"k": "a, b"}'))
+    found = guards.payload_shape(raw, ["k"])
+    return e.select("event_id", found["error"].alias("code"), found["message"].alias("message"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'malicious_payload: forbidden key' WHEN 1 THEN 'malicious_payload: sql-like' WHEN 2 THEN 'malicious_payload: html/xss' WHEN 3 THEN 'unknown fields: other' END AS message,
+  CASE WHEN event_id % 6 >= 4 THEN 'number ' || event_id || ' costs $5' END AS data,
+  CASE WHEN event_id % 6 = 2 THEN 'bold ' || event_id WHEN event_id % 6 >= 4 THEN 'number ' || event_id || ' costs $5' END AS stripped FROM events""")
+def payload_scan(spark, sf_dir):
+    """Payloads with a forbidden key, a statement, tags or an unknown field, and plain ones; with tags rejected and stripped."""
+    k, n = F.col("event_id") % 6, F.col("event_id").cast("string")
+    data = F.concat(F.lit('{"data": "number '), n, F.lit(' costs $5"'))
+    raw = (
+        F.when(k == 0, F.concat(data, F.lit(', "report_id": {"$where": 1}}')))
+        .when(k == 1, F.lit('{"data": "drop it all"}'))
+        .when(k == 2, F.concat(F.lit('{"data": "<b>bold</b> '), n, F.lit('"}')))
+        .when(k == 3, F.concat(data, F.lit(', "other": 1}')))
+        .otherwise(F.concat(data, F.lit(', "locale": "$en"}')))
+    )
+    strict, lax = guards.validate_and_scan(raw), guards.validate_and_scan(raw, reject_markup=False)
+    return read_table(spark, sf_dir, "events").select("event_id", strict["error"]["message"].alias("message"), strict["data"].alias("data"), lax["data"].alias("stripped"))
+
+
+@query("""SELECT c_custkey, ['TEXT_TOO_SHORT', 'TEXT_TOO_FEW_WORDS', 'TEXT_NOT_MEANINGFUL', 'TEXT_INVALID_SEMANTIC', NULL][c_custkey % 5 + 1] AS error FROM customer""")
+def semantic_errors(spark, sf_dir):
+    """The four classes of texts that can't be checked, and one that can."""
+    reasons = F.array(*map(F.lit, ["too_short", "too_few_words", "not_meaningful", "noise", "length_only_ok"]))
+    reason = F.get(reasons, (F.col("c_custkey") % 5).cast("int"))
+    verdict = F.struct((reason == "length_only_ok").alias("passes"), reason.alias("reason"))
+    return read_table(spark, sf_dir, "customer").select("c_custkey", guards.semantic_error(verdict)["error"].alias("error"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'LOCALE_LANGUAGE_MISMATCH' WHEN 2 THEN 'LOCALE_LANGUAGE_MISMATCH' ELSE NULL END AS error FROM customer""")
+def language_guard(spark, sf_dir):
+    """The language guard as the last verdict: English, Swahili and Thai sent as English, Indonesian as Indonesian."""
+    k = F.col("c_custkey")
+    said = F.array(*map(F.lit, [
+        "the report of the company was not what we would have said about it, and they know it is not so",
+        "hii ni taarifa ya watu wa mji huu na siku za baada ya kuwa katika hiyo kama vile yake na wake pia",
+        "รายงานฉบับนี้เป็นเรื่องของบริษัทและลูกค้า ของเรา ที่ ได้ ทำ งาน ร่วม กัน มา นาน แล้ว และ จะ ทำ ต่อ ไป อีก นาน มาก ครับ",
+        "laporan ini tidak akan dari mereka karena sudah ada pada saat itu juga dan bisa menjadi lebih untuk yang lebih",
+    ]))
+    rows = read_table(spark, sf_dir, "customer").select("c_custkey", F.lit("general").alias("type_of_check"), F.lit("indonesia").alias("tenant"), F.when(k % 4 == 3, "id").otherwise("en").alias("locale"), F.lit("plain").alias("format"), F.get(said, (k % 4).cast("int")).alias("data"))
+    return guards.verdicts(rows, Config(check_language=True, lang_min_confidence=0.6)).select("c_custkey", F.col("error.error").alias("error"))
 
 
 @query("SELECT event_type, count(*)::BIGINT AS n, count(*) FILTER (len(list_filter(json_keys(props), lambda k: k <> 'k')) > 0)::BIGINT AS with_extra FROM events GROUP BY 1")
@@ -405,7 +486,7 @@ SELECT lang, detected, count(*)::BIGINT AS n FROM b GROUP BY 1, 2""")
 def lang_detect_confusion(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     found = language.detect(d)
-    return d.join(found, d.doc_id == found.id).groupBy("lang", "detected").agg(F.count(F.lit(1)).alias("n"))
+    return d.select("doc_id", "lang").join(found, F.col("doc_id") == F.col("id")).groupBy("lang", "detected").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Persistence and rates ----------------------------------------------------------
@@ -420,6 +501,16 @@ def rate_limit_fixed_window(spark, sf_dir):
     return w.groupBy("key").agg(F.max("count").alias("most"), F.sum(F.when(F.col("count") == 1, 1).otherwise(0)).alias("windows"), F.sum(F.when(~F.col("allowed"), 1).otherwise(0)).alias("rejected"), F.max(F.unix_seconds("expire_at")).alias("last_end"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+w AS (SELECT key, i, ts, 1::BIGINT AS count, ts + INTERVAL 1 DAY AS expire_at FROM e WHERE i = 1
+ UNION ALL SELECT e.key, e.i, e.ts, CASE WHEN e.ts >= w.expire_at THEN 1 ELSE w.count + 1 END, CASE WHEN e.ts >= w.expire_at THEN e.ts + INTERVAL 1 DAY ELSE w.expire_at END FROM w JOIN e ON e.key = w.key AND e.i = w.i + 1)
+SELECT key, count(*)::BIGINT AS rejected, sum(floor(date_sub('microsecond', ts, expire_at) / 1000000))::BIGINT AS wait FROM w WHERE count > 5 GROUP BY key""")
+def rate_limit_retry_after(spark, sf_dir):
+    """Rejected events and how long they are told to wait."""
+    w = rejected(rate_windows(read_table(spark, sf_dir, "events"), "user_id", "ts", 86400, 5))
+    return w.groupBy("key").agg(F.count(F.lit(1)).alias("rejected"), F.sum("retry_after").alias("wait"))
+
+
 @query("""SELECT user_id AS report_id, arg_max(event_type, event_id) FILTER (event_id % 3 = 0) AS kind, arg_max(value, event_id) FILTER (value > 50) AS value, min(event_id)::BIGINT AS created_at FROM events GROUP BY user_id""")
 def summary_upsert(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
@@ -433,7 +524,7 @@ def latest_per_key(spark, sf_dir):
     return audit.latest_per_key(e, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
-@query("""SELECT sha256(o_orderkey::VARCHAR) AS _id, o_orderkey::VARCHAR AS report_id, 'general' AS toc_type, 'indonesia' AS tenant, 'id' AS locale, o_orderpriority AS message_01,
+@query("""SELECT sha256(o_orderkey::VARCHAR) AS _id, o_orderkey::VARCHAR AS report_id, 'general' AS toc_type, 'indonesia' AS tenant, 'id' AS locale, o_orderpriority AS message_01, '[]' AS layers,
   strftime(o_orderdate + INTERVAL 7 HOUR, '%Y-%m-%dT%H:%M:%S') || '+07:00' AS created_at,
   strftime(o_orderdate + INTERVAL 7 HOUR, '%d') || ' ' || %s[month(o_orderdate + INTERVAL 7 HOUR)] || ' ' || strftime(o_orderdate + INTERVAL 7 HOUR, '%Y %H:%M:%S') || ' WIB' AS created_at2 FROM orders""".replace("%s[", f"{ID}["))
 def mirror_projection(spark, sf_dir):
@@ -442,7 +533,7 @@ def mirror_projection(spark, sf_dir):
         F.lit("raw").alias("body"), F.col("o_orderpriority").alias("message_01"), F.lit("[]").alias("layers"), F.array().cast("array<string>").alias("order"), "o_orderdate",
     )
     stage = audit.stage_rows(o, ["report_id", "toc_type", "tenant", "locale", "body", "message_01", "layers", "order"], F.col("o_orderdate").cast("timestamp"))
-    return audit.mirror(stage).drop("layers")
+    return audit.mirror(stage)
 
 
 @query("SELECT page_id, sha1(html) AS sha1_hex, to_base64(unhex(sha1(html))) AS sha1_base64 FROM pages")
@@ -479,6 +570,67 @@ def ner_masking(spark, sf_dir):
     return backends.mask_names(df).select("c_custkey", F.col("_m.text").alias("masked"))
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Visit [LOC_0] and [LOC_1], then [ORG_0] by ' ELSE 'Visit [LOC_0] and Chiang Mai, then [ORG_0] by ' END || c_custkey AS masked FROM customer")
+def ner_by_tenant(spark, sf_dir):
+    """The English tagger, then the tenant's own on what it left."""
+
+    class Thai:
+        def spans(self, text):
+            return find_spans(text, r"\bChiang Mai\b", "LOC")
+
+    text = F.concat(F.lit("Visit Bangkok and Chiang Mai, then Example Bank by "), F.col("c_custkey").cast("string"))
+    tenant = F.when(F.col("c_custkey") % 2 == 0, "thailand").otherwise("malaysia")
+    df = read_table(spark, sf_dir, "customer").select("c_custkey", tenant.alias("tenant"), masking.empty_state(text).alias("_m"))
+    return backends.mask_by_tenant(df, backends.Gazetteer(), {"thailand": Thai()}).select("c_custkey", F.col("_m.text").alias("masked"))
+
+
+@query("SELECT c_custkey, 60::INTEGER AS spans, true AS in_place, 7 * 59 + 5 + 7 AS last_end FROM customer")
+def ner_spans_by_chunk(spark, sf_dir):
+    """Sixty names found in windows of 16 words: each once, at its place in the whole text."""
+    text = F.concat(F.repeat(F.lit("x Bali "), 59), F.lit("here Jakarta"))
+
+    class Islands:
+        def spans(self, t):
+            return find_spans(t, r"\b(?:Bali|Jakarta)\b", "LOC")
+
+    found = backends.spans_by_chunk(text, Islands(), most=16, overlap=4)
+    rows = read_table(spark, sf_dir, "customer").select("c_custkey", text.alias("t"), found.alias("s"))
+    return rows.select("c_custkey", F.size("s").alias("spans"), F.forall("s", lambda s: F.substring(F.col("t"), s["st"] + 1, s["en"] - s["st"]) == s["val"]).alias("in_place"), F.array_max(F.transform("s", lambda s: s["en"])).alias("last_end"))
+
+
+@query("""SELECT c_custkey AS doc_id, 'Hello [NAME_0] from ' || CASE WHEN c_custkey % 3 = 0 THEN '[ORG_2]' ELSE '[ORG_0]' END || ', [NAME_0] of [ORG_1]' AS masked,
+  CASE WHEN c_custkey % 3 = 0 THEN '[ORG_2]' ELSE '[ORG_0]' END AS token, 'Acme ' || c_custkey AS original, 'NER / model' AS type FROM customer""")
+def ner_integration(spark, sf_dir):
+    """Finds numbered on after what is masked, put in outside of tokens, under their new names."""
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("Acme "), F.col("c_custkey").cast("string")).alias("acme"))
+    docs = c.select("doc_id", F.concat(F.lit("Hello [NAME_0] from "), F.col("acme"), F.lit(", [NAME_0] of [ORG_1]")).alias("masked"))
+    old = c.select("doc_id", F.lit("[NAME_0]").alias("token"), F.lit("Rizal").alias("original")).unionByName(c.where("doc_id % 3 = 0").select("doc_id", F.lit("[ORG_1]").alias("token"), F.lit("Beta").alias("original")))
+    new = c.select("doc_id", F.lit("").alias("type"), F.lit("[ORG_7]").alias("token"), F.col("acme").alias("original"))
+    new = new.unionByName(c.select("doc_id", F.lit("").alias("type"), F.lit("[PERSON_0]").alias("token"), F.lit("Rizal").alias("original")))
+    texts, layers = tokens.integrate(docs, old, new)
+    return texts.join(layers, "doc_id").select("doc_id", "masked", "token", "original", "type")
+
+
+@query("""WITH c AS (SELECT c_custkey::VARCHAR AS report_id, translate(c_custkey::VARCHAR, '0123456789', 'abcdefghij') AS k FROM customer),
+t AS (SELECT report_id, 'tulis surat ke u' || k || '@contoh.co.id untuk keterangan yang lebih lengkap tentang laporan ini segera' AS raw, 'tulis surat ke [EMAIL_0] untuk keterangan yang lebih lengkap tentang laporan ini segera' AS masked FROM c)
+SELECT stage, report_id, sha256(report_id) AS _id, CASE stage WHEN 'masking' THEN masked WHEN 'generative' THEN masked ELSE raw END AS message
+FROM t, (VALUES ('masking'), ('generative'), ('unmask'), ('final')) s(stage)""")
+def stage_rows(spark, sf_dir):
+    """What each stage of the pipeline stores of a request."""
+    c = read_table(spark, sf_dir, "customer")
+    letters = F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij")
+    data = F.concat(F.lit("tulis surat ke u"), letters, F.lit("@contoh.co.id untuk keterangan yang lebih lengkap tentang laporan ini segera"))
+    requests = c.select(F.lit("general").alias("type_of_check"), F.lit("indonesia").alias("tenant"), F.lit("id").alias("locale"), F.lit("plain").alias("format"), data.alias("data"), F.col("c_custkey").cast("string").alias("report_id"))
+    accepted, _ = proofread(requests, Config(reformat=False))
+    tables = audit.stage_tables(accepted, F.timestamp_seconds(F.lit(0)))
+    shown = {"masking": "message_01", "generative": "message_02", "unmask": "message_03", "final": "message_final"}
+    parts = [tables[name].select(F.lit(name).alias("stage"), "report_id", "_id", F.col(m).alias("message")) for name, m in shown.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("SELECT doc_id, greatest(1, ceil((greatest(w - 50, 1)) / 460.0))::INTEGER AS chunks FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM documents)")
 def ner_chunks(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", F.size(tokens.chunks(F.col("text"))).alias("chunks"))

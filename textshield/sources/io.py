@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..operators.audit import mirror, writes
+from ..operators.audit import mirror, stage_tables, writes
 from ..schema import REQUEST
 
 
@@ -49,6 +51,33 @@ def append_mirror(stage: DataFrame, path: str, cfg: Config) -> bool:
     return True
 
 
+def write_stages(accepted: DataFrame, path: str, cfg: Config, now: Column | None = None, after_final: Callable[[DataFrame], None] | None = None) -> dict[str, bool]:
+    """Write what ``proofread`` accepted as one table for each stage; which writes ran.
+
+    The rows are computed once, into ``accepted``, and the stages read that.
+    Text stages are mirrored if the configuration says so.  ``after_final``
+    gets the final stage's rows once they are written; what it raises undoes
+    nothing and is told as False.
+    """
+    spark = accepted.sparkSession
+    if not writes(cfg)["guarded"]:
+        return {}
+    accepted.write.mode("overwrite").parquet(f"{path}/accepted")
+    tables = stage_tables(spark.read.parquet(f"{path}/accepted"), now if now is not None else F.current_timestamp())
+    done = {}
+    for name, rows in tables.items():
+        done[name] = append(rows, f"{path}/{name}", cfg)
+        if not name.startswith("html"):
+            done[f"{name}_mirror"] = append_mirror(rows, f"{path}/{name}_mirror", cfg)
+    if after_final is not None:
+        try:
+            after_final(spark.read.parquet(f"{path}/final"))
+            done["after_final"] = True
+        except Exception:
+            done["after_final"] = False
+    return done
+
+
 def write_sheet(rows: DataFrame, path: str) -> None:
     """Report rows as CSV with a header."""
     rows.write.mode("append").option("header", True).option("escape", '"').csv(path)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +19,25 @@ _FOLDED = "key string, us long, count long, end_us long, allowed boolean"
 
 
 def _fold(pdf: pd.DataFrame, key, end, count, limit: int, width: int) -> tuple[pd.DataFrame, object, object, int]:
-    keys, times = pdf["key"].tolist(), pdf["us"].tolist()
-    counts, ends = [], []
-    for k, t in zip(keys, times, strict=True):
-        if k != key or end is None or t >= end:
-            key, end, count = k, t + width, 0
-        count += 1
-        counts.append(count)
-        ends.append(end)
-    return pd.DataFrame({"key": keys, "us": times, "count": counts, "end_us": ends, "allowed": [c <= limit for c in counts]}), key, end, count
+    """Windows of sorted rows; key, end and count are those of the window still open."""
+    keys, times = pdf["key"].to_numpy(), pdf["us"].to_numpy()
+    counts, ends = np.empty(len(times), np.int64), np.empty(len(times), np.int64)
+    cuts = [*np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)] if len(keys) else []
+    at = 0
+    for stop in cuts:
+        own = times[at:stop]
+        if keys[at] != key:
+            key, end, count = keys[at], None, 0
+        i = 0
+        while i < len(own):
+            if end is None or own[i] >= end:
+                end, count = int(own[i]) + width, 0
+            j = int(np.searchsorted(own, end, "left"))
+            counts[at + i : at + j] = np.arange(count + 1, count + 1 + j - i)
+            ends[at + i : at + j] = end
+            count, i = count + j - i, j
+        at = stop
+    return pd.DataFrame({"key": keys, "us": times, "count": counts, "end_us": ends, "allowed": counts <= limit}), key, end, count
 
 
 def _timed(events: DataFrame, key_col: str, ts_col: str) -> DataFrame:
@@ -52,6 +63,12 @@ def rate_windows(events: DataFrame, key_col: str = "key", ts_col: str = "ts", se
     return _shown(rows.repartition("key").sortWithinPartitions("key", "us").mapInPandas(run, _FOLDED))
 
 
+def rejected(windows: DataFrame) -> DataFrame:
+    """Events over the limit, with the whole seconds to wait until their window ends."""
+    wait = F.greatest(F.lit(0), F.floor((F.unix_micros("expire_at") - F.unix_micros("ts")) / 1_000_000)).cast("long")
+    return windows.where(~F.col("allowed")).select("key", "ts", "count", wait.alias("retry_after"))
+
+
 def rate_stream(events: DataFrame, key_col: str = "key", ts_col: str = "ts", seconds: int = 60, limit: int = 20, lateness: str = "1 hour") -> DataFrame:
     """The same on a stream: one window of state for each key, dropped when it ends.
 
