@@ -181,7 +181,7 @@ def test_plan_fills_open_sequences_with_equal_pieces():
 def test_plan_is_best_fit_after_the_reduction(pieces):
     counts = np.zeros(61, int)
     counts[list(pieces)] = list(pieces.values())
-    runs, made, fixed = packing.plan(counts)
+    runs, made, fixed = packing.reduced_plan(counts)
     rooms, rest = np.full(made, 60), []
     for length, _, n, first, _ in runs.tolist():
         rooms[first : first + n] -= length
@@ -189,6 +189,55 @@ def test_plan_is_best_fit_after_the_reduction(pieces):
     assert sorted(rooms[fixed:].tolist()) == plain_best_fit(rest, 60)
 
 
+def fewest(lengths, size):
+    """The least number of sequences, by trying every set that could hold the longest piece."""
+
+    @functools.cache
+    def best(rest):
+        if not rest:
+            return 0
+        first, others = rest[0], rest[1:]
+        found = len(rest)
+        for n in range(min(len(others), 5) + 1):
+            for pick in set(itertools.combinations(range(len(others)), n)):
+                if first + sum(others[i] for i in pick) <= size:
+                    found = min(found, 1 + best(tuple(x for i, x in enumerate(others) if i not in pick)))
+        return found
+
+    return best(tuple(sorted(lengths, reverse=True)))
+
+
+def test_plan_is_never_worse_than_best_fit():
+    rng = np.random.default_rng(6)
+    for _ in range(1000):
+        size = int(rng.integers(20, 120))
+        lengths = rng.integers(1, size + 1, int(rng.integers(1, 60)))
+        if rng.random() < 0.5:
+            lengths = rng.choice(lengths[:6], len(lengths))
+        counts = np.bincount(lengths, minlength=size + 1)
+        assert packing.plan(counts)[1] <= len(plain_best_fit(lengths.tolist(), size))
+
+
+def test_reduction_loses_no_optimum():
+    rng = np.random.default_rng(7)
+    triples = 0
+    for _ in range(300):
+        size = 30
+        lengths = rng.integers(5, 20, 8).tolist()
+        counts = np.bincount(lengths, minlength=size + 1)
+        runs, _, fixed = packing.reduced_plan(counts)
+        held = {}
+        rest = []
+        for length, _, n, first, _ in runs.tolist():
+            for q in range(first, first + n):
+                held.setdefault(q, []).append(length)
+        for q, parts in held.items():
+            rest += parts if q >= fixed else []
+            triples += len(parts) == 3 and q < fixed
+        assert fixed + fewest(rest, size) == fewest(lengths, size)
+    assert triples
+
+
 def test_secret_spans():
     text = 'éé password = "abcdefgh1" TOKEN:short12 api_key=ABCDEFGH. AKIAABCDEFGHIJKL ' + "0" * 31 + " " + "a" * 32
     spans = ledger.base_spans(text)

@@ -9,8 +9,12 @@ Reduction (Martello and Toth, 1990): take the longest piece left.  A set with
 it dominates every other set that could stand there if the others' remaining
 members fit in place of its own: alone, if nothing else fits beside it; with
 one partner, if no choice of other pieces that fits beside it is longer in
-total than that partner.  Such sets are fixed for as many pieces as there are,
-and taken out.  What is left is packed by best fit, longest first.
+total than that partner; with two, if no three others fit, the first is the
+longest that fits at all and the second is at least as long as the shorter one
+of any two that fit.  Such sets are fixed for as many pieces as there are, and
+taken out.  What is left is packed by best fit, longest first.  Best fit is
+erratic, so the whole is packed by best fit alone too, and the plan with fewer
+sequences is taken.
 """
 
 from __future__ import annotations
@@ -27,6 +31,10 @@ from .common import materialise, text_or_empty
 from .tokenise import word_tokenizer
 
 
+#: A plan of sequences of 1,024 tokens has at most half a million runs (21 MB).
+MOST_PLAN_BYTES = 256 << 20
+
+
 def _most_beside(counts: np.ndarray, room: int, taken: int) -> int:
     """The largest total up to ``room`` of other pieces; ``taken``: a length of which one is used."""
     sums, mask = 1, (1 << (room + 1)) - 1
@@ -43,7 +51,32 @@ def _most_beside(counts: np.ndarray, room: int, taken: int) -> int:
     return sums.bit_length() - 1
 
 
+def _two_beside(counts: np.ndarray, room: int, longest: int) -> int | None:
+    """The second partner of a dominating set of three, beside the longest that fits; counts without the first piece."""
+    lengths = np.flatnonzero(counts[: room + 1])
+    few = np.repeat(lengths, np.minimum(counts[lengths], 3))
+    if len(few) >= 3 and few[:3].sum() <= room:
+        return None  # three others fit
+    rest = counts[: room - longest + 1].copy()
+    if longest <= room - longest:
+        rest[longest] -= 1
+    fits = np.flatnonzero(rest > 0)
+    if not len(fits):
+        return None
+    # the longest piece for which another, at least as long, fits with it
+    above = np.append(lengths[1:], room + 1)
+    mates = np.where(counts[lengths] > 1, lengths, above)
+    shorter = lengths[lengths + mates <= room]
+    return int(fits[-1]) if not len(shorter) or shorter[-1] <= fits[-1] else None
+
+
 def plan(counts: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """The better of ``reduced_plan`` with and without its reduction."""
+    reduced, plain = reduced_plan(counts), reduced_plan(counts, reduce=False)
+    return reduced if reduced[1] <= plain[1] else plain
+
+
+def reduced_plan(counts: np.ndarray, reduce: bool = True) -> tuple[np.ndarray, int, int]:
     """Runs (length, first rank, number, first sequence, offset); sequences; fixed ones.
 
     ``counts[n]``: pieces of n tokens; sequences hold ``len(counts) - 1``.
@@ -61,7 +94,7 @@ def plan(counts: np.ndarray) -> tuple[np.ndarray, int, int]:
         used[length] += number
         left[length] -= number
 
-    for long in range(size, 0, -1):
+    for long in range(size, 0, -1) if reduce else ():
         while left[long]:
             room = size - long
             inside = np.flatnonzero(left[: room + 1])
@@ -73,7 +106,18 @@ def plan(counts: np.ndarray) -> tuple[np.ndarray, int, int]:
                 continue
             partner = int(inside[-1])
             if partner != room and partner < _most_beside(left, room, long):
-                break
+                others = left.copy()
+                others[long] -= 1
+                second = _two_beside(others, room, partner)
+                if second is None:
+                    break
+                # one set at a time where a length has several parts in it
+                n = int(min(left[long], left[partner], left[second])) if len({long, partner, second}) == 3 else 1
+                put(long, n, made, 0)
+                put(partner, n, made, long)
+                put(second, n, made, long + partner)
+                made += n
+                continue
             # taking sets out leaves others fewer choices, so the rule holds on
             n = int(left[long]) // 2 if partner == long else int(min(left[long], left[partner]))
             put(long, n, made, 0)
@@ -159,7 +203,9 @@ def pack(cut: DataFrame, size: int = 1024) -> DataFrame:
         counts[r["length"]] = r["n"]
     runs, _, _ = plan(counts)
     order = np.lexsort((runs[:, 1], runs[:, 0]))
-    # at most about size * size runs, however many pieces there are
+    # at most about size * size runs of five numbers, however many pieces there are
+    if runs.nbytes > MOST_PLAN_BYTES:
+        raise ValueError(f"a plan of {runs.nbytes} bytes")
     shared = spark.sparkContext.broadcast(runs[order])
     bases = by_task.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("base"))
     ranked = cut.join(materialise(bases), ["length", "task"]).withColumn("rank", F.col("base") + F.col("nth"))
