@@ -385,10 +385,10 @@ def guard_error_codes(spark, sf_dir):
     return guards.verdicts(rows).select("c_custkey", F.col("error.error").alias("error"))
 
 
-@query(r"""SELECT doc_id, NOT regexp_matches(text, '\p{L}') AS symbol_only, regexp_matches(text, '<[^>]+>') AS tags, greatest(1, length(text) // 4)::INTEGER AS tokens FROM documents""")
+@query(r"""SELECT doc_id, NOT regexp_matches(text, '\p{L}') AS symbol_only, regexp_matches(text, '<[^>]+>') OR regexp_matches(text, '(?i)javascript:|<script\b|\bon\w+\s*=') AS tags, greatest(1, length(text) // 4)::INTEGER AS tokens FROM documents""")
 def guard_verdicts(spark, sf_dir):
     t = F.col("text")
-    return read_table(spark, sf_dir, "documents").select("doc_id", guards.symbol_only(t).alias("symbol_only"), t.rlike("<[^>]+>").alias("tags"), guards.tokens_of(t).alias("tokens"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", guards.symbol_only(t).alias("symbol_only"), guards.has_markup(t).alias("tags"), guards.tokens_of(t).alias("tokens"))
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'INVALID_JSON_PAYLOAD' WHEN 1 THEN 'UNKNOWN_FIELDS' END AS code, CASE event_id % 4 WHEN 0 THEN 'payload is not an object' WHEN 1 THEN 'unknown fields: a, b' END AS message FROM events""")
