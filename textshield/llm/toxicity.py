@@ -69,18 +69,18 @@ def features(word: str, s: Settings) -> list[int]:
     return found
 
 
-def _bag(text: str, s: Settings, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _bag(text: str, s: Settings, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Different features of a text and their shares."""
-    all_: list[int] = []
+    all_ = [np.empty(0, np.int32)]
     for w in _WORD.findall(text.lower()):
         f = known.get(w)
         if f is None:
             if len(known) >= CACHE_WORDS // 10:
                 known.clear()
-            f = known[w] = features(w, s)
-        all_ += f
-    index, count = np.unique(np.array(all_, np.int64), return_counts=True)
-    return index.astype(np.int32), (count / max(1, len(all_))).astype(np.float32)
+            f = known[w] = np.array(features(w, s), np.int32)
+        all_.append(f)
+    index, count = np.unique(np.concatenate(all_), return_counts=True)
+    return index, (count / max(1, int(count.sum()))).astype(np.float32)
 
 
 def fit(texts: list[str], labels: list[int], s: Settings | None = None) -> Model:
@@ -90,14 +90,15 @@ def fit(texts: list[str], labels: list[int], s: Settings | None = None) -> Model
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return Model([0.0] * s.buckets, (20.0 if len(y) and y[0] else -20.0), s)
-    known: dict[str, list[int]] = {}
+    known: dict[str, np.ndarray] = {}
     bags = [_bag(t, s, known) for t in texts]
     known.clear()
     rows = np.zeros(s.buckets, np.int64)
     for index, _ in bags:
         rows[index] += 1
     taught = rows >= s.least_rows
-    bags = [(index[taught[index]], share[taught[index]]) for index, share in bags]
+    for i, (index, share) in enumerate(bags):  # one by one: the driver holds them once
+        bags[i] = index[taught[index]], share[taught[index]]
     table = np.zeros((s.buckets, s.dim), np.float32)  # what no text taught has no say
     moved = np.full(s.buckets, s.damping, np.float32)
     out = rng.normal(0, 1, (s.dim, 2)).astype(np.float32)
@@ -165,7 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # a window over the few rows that were chosen
     rows = rows.withColumn("_b", F.sum(F.octet_length("_t")).over(Window.orderBy("_h", "_id"))).where(F.col("_b") <= s.train_bytes).select("_id", "_t", "_y").collect()
     rows.sort(key=lambda r: r["_id"])
-    return fit([r["_t"] for r in rows], [r["_y"] for r in rows], s)
+    texts, kinds = [r["_t"] for r in rows], [r["_y"] for r in rows]
+    del rows
+    return fit(texts, kinds, s)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, whole: bool = False) -> DataFrame:
