@@ -152,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     At most ``train_clean_rows`` and ``train_toxic_rows`` rows are used, those
     whose ids hash lowest, as far as their texts have no more than
-    ``train_bytes``; so what the driver holds is bounded, whatever the tables'
-    size.  An id with labels of both kinds is left out; of several texts of one
+    ``train_bytes``; so the one task that fits them holds a bounded number,
+    whatever the tables' size, and the driver gets the weights alone.  An id with labels of both kinds is left out; of several texts of one
     id the least is taken.  Null ids and labels teach nothing; without labels
     every text gets the same score.
     """
@@ -164,11 +164,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = ids.where("_y = 0").orderBy("_h").limit(s.train_clean_rows).unionByName(ids.where("_y = 1").orderBy("_h").limit(s.train_toxic_rows))
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t")).join(F.broadcast(chosen), "_id").groupBy("_id", "_y", "_h").agg(F.min("_t").alias("_t"))
     # a window over the few rows that were chosen
-    rows = rows.withColumn("_b", F.sum(F.octet_length("_t")).over(Window.orderBy("_h", "_id"))).where(F.col("_b") <= s.train_bytes).select("_id", "_t", "_y").collect()
-    rows.sort(key=lambda r: r["_id"])
-    texts, kinds = [r["_t"] for r in rows], [r["_y"] for r in rows]
-    del rows
-    return fit(texts, kinds, s)
+    rows = rows.withColumn("_b", F.sum(F.octet_length("_t")).over(Window.orderBy("_h", "_id"))).where(F.col("_b") <= s.train_bytes).select("_id", "_t", "_y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taught = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+        model = fit([t for _, t, _ in taught], [y for _, _, y in taught], s)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight]), pa.array([model.bias])], names=["weight", "bias"])
+
+    found = rows.coalesce(1).mapInArrow(run, "weight array<double>, bias double").first()
+    return Model(found["weight"], found["bias"], s) if found else fit([], [], s)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, whole: bool = False) -> DataFrame:
