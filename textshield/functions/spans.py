@@ -32,19 +32,49 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(clean, f"(?U)({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
 
 
+#: Items that a fold takes at a time.
+RUN = 1024
+#: Characters of the blocks that ``splice`` cuts texts into.
+BLOCK = 1024
+
+
+def fold(items: Column, state: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column]) -> Column:
+    """The integers that ``emit(state, item)`` gives along the items; nulls are left out.
+
+    ``step(state, item)`` is the state for the next item.  Spark copies what an
+    aggregate has gathered at each of its steps.  So the items are taken in
+    runs: the numbers of a run are noted in a short string, and put with the
+    rest once for each run.
+    """
+
+    def one(acc: Column, item: Column) -> Column:
+        noted = F.coalesce(F.concat(emit(acc["s"], item).cast("string"), F.lit(",")), F.lit(""))
+        return F.struct(step(acc["s"], item).alias("s"), F.concat(acc["noted"], noted).alias("noted"))
+
+    def over(every: Column) -> Column:
+        def run(acc: Column, k: Column) -> Column:
+            own = F.aggregate(F.slice(every, k * RUN + 1, F.lit(RUN)), F.struct(acc["s"].alias("s"), F.lit("").alias("noted")), one)
+            return let(own, lambda r: F.struct(r["s"].alias("s"), F.concat(acc["noted"], r["noted"]).alias("noted")))
+
+        runs = F.sequence(F.lit(0), F.floor(F.size(every) / RUN).cast("int"))
+        return F.aggregate(runs, F.struct(state.alias("s"), F.lit("").alias("noted")), run, lambda acc: acc["noted"])
+
+    return F.transform(F.filter(F.split(let(items, over), ","), lambda x: x != ""), lambda x: x.cast("int"))
+
+
 def find_spans(text: Column, pattern: str, cat: str | Column) -> Column:
     """All matches of a pattern, left to right, as spans.  Null text: null."""
     cat = F.lit(cat) if isinstance(cat, str) else cat
-    empty = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
-    def step(acc: Column, part: Column) -> Column:
-        end = (acc["at"] + F.length(part)).cast("int")
-        span = F.struct(acc["at"].alias("st"), end.alias("en"), cat.alias("cat"), part.alias("val"))
-        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def located(parts: Column) -> Column:
+        # twice the place, and in the last bit whether the next piece is a match
+        step = lambda at, p: (at + F.length(p) * 2).bitwiseXOR(F.lit(1))
+        starts = fold(parts, F.lit(0), step, lambda at, p: F.when(at.bitwiseAND(1) == 1, F.shiftright(at, 1)))
+        matches = F.filter(parts, lambda p, i: i % 2 == 1)
+        return F.zip_with(starts, matches, lambda st, p: F.struct(st.alias("st"), (st + F.length(p)).alias("en"), cat.alias("cat"), p.alias("val")))
 
-    found = F.aggregate(pieces(text, pattern), empty, step, lambda acc: acc["spans"])
     none = F.when(text.isNotNull(), F.array().cast(f"array<{SPAN}>"))
-    return F.when(text.rlike(f"(?U){pattern}"), found).otherwise(none)
+    return F.when(text.rlike(f"(?U){pattern}"), let(pieces(text, pattern), located)).otherwise(none)
 
 
 def overlaps(span: Column, others: Column) -> Column:
@@ -52,28 +82,58 @@ def overlaps(span: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (span["st"] < o["en"]) & (o["st"] < span["en"]))
 
 
-def greedy(spans: Column) -> Column:
-    """Spans in order of start, then the longest, then as listed, each if it starts at or after the end of the last taken."""
-    listed = F.transform(spans, lambda s, i: F.struct(s["st"].alias("st"), (s["st"] - s["en"]).alias("neg"), i.alias("i"), s.alias("s")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("took"))
+def greedy(spans: Column, old: Column | None = None) -> Column:
+    """Spans in order of start, then the longest, then as listed, each if it starts at or after the end of the last taken.
+
+    Those that share a place with one of ``old`` (disjoint spans) count as not there.
+    """
+
+    def choose(every: Column) -> Column:
+        listed = F.array_sort(F.transform(every, lambda s, i: F.struct(s["st"].alias("st"), (-s["en"]).alias("neg"), i.alias("i"))))
+        taken = fold(listed, F.lit(0), lambda at, e: F.when(e["st"] >= at, -e["neg"]).otherwise(at), lambda at, e: F.when(e["st"] >= at, e["i"]))
+        return F.transform(taken, lambda i: F.get(every, i))
+
+    return let(spans if old is None else let(spans, lambda x: F.when((F.size(old) > 0) & (F.size(x) > 0), _clear_of(x, old)).otherwise(x)), choose)
 
-    def step(acc: Column, x: Column) -> Column:
-        free = x["st"] >= acc["at"]
-        return F.struct(F.when(free, x["s"]["en"]).otherwise(acc["at"]).alias("at"), F.when(free, F.array_append(acc["took"], x["s"])).otherwise(acc["took"]).alias("took"))
 
-    return F.aggregate(F.array_sort(listed), start, step, lambda acc: acc["took"])
+def _clear_of(spans: Column, old: Column) -> Column:
+    """Those of the spans, as listed, that share no place with the old ones.
+
+    Two passes over both kinds in order of start: forward, no old span may reach
+    beyond the start; backward, none may start before the end.
+    """
+    # old ones come first among equal starts and have -1 as their place in the list
+    both = F.concat(F.transform(spans, lambda s, i: F.struct(s["st"].alias("st"), i.alias("i"), s["en"].alias("en"))), F.transform(old, lambda s: F.struct(s["st"].alias("st"), F.lit(-1).alias("i"), s["en"].alias("en"))))
+
+    def passes(ordered: Column) -> Column:
+        known = lambda e: e["i"] < 0
+        free = lambda ok, e: F.when(~known(e), F.when(ok, e["i"]))
+        before = fold(ordered, F.lit(0), lambda end, e: F.when(known(e), e["en"]).otherwise(end), lambda end, e: free(e["st"] >= end, e))
+        after = fold(F.reverse(ordered), F.lit(2**31 - 1), lambda at, e: F.when(known(e), e["st"]).otherwise(at), lambda at, e: free(e["en"] <= at, e))
+        return F.transform(F.array_sort(F.array_intersect(before, after)), lambda i: F.get(spans, i))
+
+    return let(F.array_sort(both), passes)
 
 
 def splice(text: Column, spans: Column, replacements: Column) -> Column:
-    """The text with each (ordered, disjoint) span replaced by the string at its index."""
-    pairs = F.zip_with(spans, replacements, lambda s, r: F.struct(s.alias("s"), r.alias("r")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each (ordered, disjoint) span replaced by the string at its index.
+
+    A place far into a text is found by counting from the text's start, so the
+    text is cut into blocks first and places are counted from a block's start.
+    """
 
-    def step(acc: Column, x: Column) -> Column:
-        s, r = x["s"], x["r"]
-        return F.struct(s["en"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["st"] - acc["at"]), r).alias("out"))
+    def put(blocks: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            first = F.floor(a / BLOCK).cast("int")
+            own = F.array_join(F.slice(blocks, first + 1, F.floor((b - 1) / BLOCK).cast("int") - first + 1), "")
+            return F.when(b > a, F.substring(own, a - first * BLOCK + 1, b - a)).otherwise("")
 
-    return F.aggregate(pairs, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+        end = lambda i: F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["en"])
+        parts = F.transform(spans, lambda s, i: F.concat(between(end(i), s["st"]), F.get(replacements, i)))
+        last = end(F.size(spans))
+        return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{BLOCK}}})"), 1), put)).otherwise(text)
 
 
 def replace_matches(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
@@ -91,19 +151,15 @@ def replace_logged(s: Column, pattern: str, new: Callable[[Column], Column], via
     The column is referred to twice, so a chain of these stays a chain of
     projections, each small enough to analyse.
     """
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.lit("").alias("out"), s["changes"].alias("changes"))
-
-    def step(acc: Column, part: Column) -> Column:
-        def put(after: Column) -> Column:
-            end = (acc["at"] + F.length(part)).cast("int")
-            change = F.struct(part.alias("from"), after.alias("to"), acc["at"].alias("st"), end.alias("en"), F.lit(via).alias("via"))
-            changed = acc["hit"] & (after != part)
-            return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.concat(acc["out"], after).alias("out"), F.when(changed, F.array_append(acc["changes"], change)).otherwise(acc["changes"]).alias("changes"))
 
-        return let(F.when(acc["hit"], F.coalesce(new(part), part)).otherwise(part), put)
+    def put(parts: Column) -> Column:
+        changed = lambda x: x["new"] != x["old"]
+        starts = fold(parts, F.lit(0), lambda at, x: at + F.length(x["old"]), lambda at, x: F.when(changed(x), at))
+        found = F.zip_with(starts, F.filter(parts, changed), lambda at, x: F.struct(x["old"].alias("from"), x["new"].alias("to"), at.alias("st"), (at + F.length(x["old"])).alias("en"), F.lit(via).alias("via")))
+        return F.struct(F.array_join(F.transform(parts, lambda x: x["new"]), "").alias("text"), F.concat(s["changes"], found).alias("changes"))
 
-    changed = F.aggregate(pieces(s["text"], pattern), start, step, lambda acc: F.struct(acc["out"].alias("text"), acc["changes"].alias("changes")))
-    return F.when(s["text"].rlike(f"(?U){pattern}"), changed).otherwise(s)
+    parts = F.transform(pieces(s["text"], pattern), lambda p, i: F.struct(p.alias("old"), F.when(i % 2 == 1, F.coalesce(new(p), p)).otherwise(p).alias("new")))
+    return F.when(s["text"].rlike(f"(?U){pattern}"), let(parts, put)).otherwise(s)
 
 
 def logged(text: Column) -> Column:

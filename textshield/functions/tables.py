@@ -99,10 +99,10 @@ RANGE_FROM = r"(?:from|dari|sejak|depuis)"
 RANGE_TO = r"(?:until|to|sampai|hingga|sd\.?|s\.d\.?|au|à|jusqu['’]?\s*à|jusqu['’]?a)"
 
 # Fixed values. Lines and brackets whose digits are no phone numbers, by tenant.
-TH_CARD_LINE = r"(?im)^\s*+ID\s*+Card\s*+Number\s*+:\s*+\d[\d\s\-]{8,}\d\s*$"
-TH_DATE_LINE = r"(?im)^\s*+(?:Date\s++of\s++Birth|ID\s++Issued\s++Date|ID\s++Expired\s++Date)\s*+:.*$"
+TH_CARD_LINE = r"(?im)^[^\S\r\n]*+ID\s*+Card\s*+Number\s*+:\s*+\d[\d\s\-]{8,}\d\s*$"
+TH_DATE_LINE = r"(?im)^[^\S\r\n]*+(?:Date\s++of\s++Birth|ID\s++Issued\s++Date|ID\s++Expired\s++Date)\s*+:.*$"
 TH_YEAR_PAIR = r"\b\d{4}\s*+\(\s*+\d{4}\s*+\)"
-TH_ADDRESS_LINE = r"(?im)^\s*+Registered\s++Address\s*+:.*$"
+TH_ADDRESS_LINE = r"(?im)^[^\S\r\n]*+Registered\s++Address\s*+:.*$"
 MY_CARD = r"(?i)Identity\s*+Card\s*+number\s*+\([^)]{6,40}\)"
 
 # Fixed values. Front door.

@@ -2,7 +2,8 @@
 
 The source is cut into markup and text by one pattern (comments, raw-text
 elements whole, tags), so the pieces joined are the source again and markup
-inside a script is no markup.  Tables that hold no table are frozen first.
+inside a script is no markup.  Tables are frozen first: each gets a number in
+document order, nested ones too, and the outermost make room for their token.
 """
 
 from __future__ import annotations
@@ -10,11 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import TOKEN, let, pieces
+from ..functions.spans import fold, let, pieces
 from .masking import unmask
 
-_TABLE = r"(?is)<table\b(?:(?!<table\b).)*?</table\s*>"
-_MARKUP = r"(?is)<!--.*?-->|<(?:script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript)\s*>|<[^>]*>|\[TABLE_\d+\]"
+_RAW = r"<!--.*?-->|<(?:script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript)\s*>"
+#: What opens or closes a table, and what may hold such a tag that is none.
+_TABLE = rf"(?is){_RAW}|<table\b[^>]*>|</table\s*>"
+_MARKUP = rf"(?is){_RAW}|<[^>]*>|\[TABLE_\d+\]"
+
+
 
 
 def _numbered(kind: str, n: Column) -> Column:
@@ -30,30 +35,91 @@ def text_nodes(html: Column) -> Column:
     return F.transform(_texts(pieces(html, _MARKUP)), lambda x: x["p"])
 
 
+def table_places(parts: Column) -> Column:
+    """array of struct(i, j) by i: the pieces that open and close a table, nested ones too.
+
+    A closing tag belongs to the last open one; one without is no table's, and
+    neither is an opening tag that nothing closes.  A tag's level is the number
+    of tables open around it, its own included.  At one level opening and
+    closing tags alternate, so in order of level and place each closing tag
+    stands right behind its own.
+    """
+    tags = F.filter(F.transform(parts, lambda p, i: F.struct(F.lower(F.left(p, F.lit(7))).alias("tag"), i.alias("i"))), lambda x: (x["i"] % 2 == 1) & ((x["tag"] == "</table") | x["tag"].startswith("<table")))
+    opens = lambda x: x["tag"] != "</table"
+
+    def depth_after(depth: Column, x: Column) -> Column:
+        return F.when(opens(x), depth + 1).otherwise(F.greatest(depth - 1, F.lit(0)))
+
+    def paired(events: Column) -> Column:
+        def pair(e: Column, k: Column) -> Column:
+            after = F.get(events, k + 1)
+            return F.when((e["level"] > 0) & e["opens"] & ~after["opens"] & (after["level"] == e["level"]), F.struct(e["i"].alias("i"), after["i"].alias("j")))
+
+        return F.array_sort(F.filter(F.transform(events, pair), lambda x: x.isNotNull()))
+
+    def levelled(tags: Column) -> Column:
+        # a closing tag that closes nothing has level 0
+        levels = fold(tags, F.lit(0), depth_after, lambda depth, x: F.when(opens(x), depth + 1).otherwise(depth))
+        return let(F.array_sort(F.zip_with(levels, tags, lambda n, x: F.struct(n.alias("level"), x["i"].alias("i"), opens(x).alias("opens")))), paired)
+
+    return let(tags, levelled)
+
+
 def freeze(html: Column) -> Column:
-    """struct(skeleton, text_map, table_map, text_format)."""
+    """struct(skeleton, text_map, table_map, text_format).
+
+    The table map has every table with its source; a table within another is
+    part of the outer one's source, so only outermost tables have their token
+    in the skeleton.
+    """
+
+    def with_texts(rest: Column, table_map: Column) -> Column:
+        def body(parts: Column) -> Column:
+            blank = lambda p: F.regexp_replace(p, r"(?U)\s+", "") == ""
+            # every second piece is markup; the others that aren't blank are numbered, from 1
+            marked = F.transform(parts, lambda p, i: F.struct(((i % 2 == 0) & ~blank(p)).alias("text"), p.alias("p")))
 
-    def with_tables(t: Column) -> Column:
-        tables = F.filter(t, lambda p, i: i % 2 == 1)
-        names = F.transform(tables, lambda p, i: _numbered("TABLE", i + 1))
-        rest = F.array_join(F.transform(t, lambda p, i: F.when(i % 2 == 1, _numbered("TABLE", ((i + 1) / 2).cast("int"))).otherwise(p)), "")
+            def numbered(marked: Column) -> Column:
+                numbers = fold(marked, F.lit(0), lambda n, x: F.when(x["text"], n + 1).otherwise(n), lambda n, x: F.when(x["text"], n + 1).otherwise(0))
+                return let(F.zip_with(numbers, marked, lambda n, x: F.struct(F.when(n > 0, _numbered("TEXT", n)).alias("name"), x["p"].alias("p"))), told)
 
-        def with_texts(parts: Column) -> Column:
-            def body(texts: Column) -> Column:
-                where = F.map_from_entries(F.transform(texts, lambda x, k: F.struct(x["i"], _numbered("TEXT", k + 1))))
-                skeleton = let(where, lambda w: F.array_join(F.transform(parts, lambda p, i: F.coalesce(F.try_element_at(w, i), p)), ""))
+            def told(named: Column) -> Column:
+                texts = F.filter(named, lambda x: x["name"].isNotNull())
                 return F.struct(
-                    skeleton.alias("skeleton"),
-                    F.map_from_entries(F.transform(texts, lambda x, k: F.struct(_numbered("TEXT", k + 1), x["p"]))).alias("text_map"),
-                    F.map_from_arrays(names, tables).alias("table_map"),
+                    F.array_join(F.transform(named, lambda x: F.coalesce(x["name"], x["p"])), "").alias("skeleton"),
+                    F.map_from_entries(texts).alias("text_map"),
+                    table_map.alias("table_map"),
                     F.array_join(F.transform(texts, lambda x: x["p"]), "\n").alias("text_format"),
                 )
 
-            return let(_texts(parts), body)
+            return let(marked, numbered)
+
+        return let(pieces(rest, _MARKUP), body)
+
+    def with_tables(parts: Column) -> Column:
+        between = lambda a, b: F.array_join(F.slice(parts, a + 1, F.greatest(b - a, F.lit(0))), "")
+
+        def body(places: Column) -> Column:
+            return let(F.transform(places, lambda t, k: F.struct(t["i"].alias("i"), t["j"].alias("j"), _numbered("TABLE", k + 1).alias("name"))), placed)
+
+        def placed(named: Column) -> Column:
+            # tables that begin behind the end of all before them
+            state = F.struct(F.lit(0).alias("k"), F.lit(-1).alias("end"))
+            first = fold(named, state, lambda s, t: F.struct((s["k"] + 1).alias("k"), F.greatest(s["end"], t["j"]).alias("end")), lambda s, t: F.when(t["i"] > s["end"], s["k"]))
+            outer = F.transform(first, lambda k: F.get(named, k))
+
+            def put(o: Column) -> Column:
+                before = F.transform(o, lambda t, k: F.concat(between(F.when(k == 0, 0).otherwise(F.get(o, k - 1)["j"] + 1), t["i"]), t["name"]))
+                rest = F.concat(F.array_join(before, ""), between(F.get(o, F.size(o) - 1)["j"] + 1, F.size(parts)))
+                return F.struct(F.when(F.size(o) > 0, rest).otherwise(F.array_join(parts, "")).alias("rest"), F.map_from_entries(F.transform(named, lambda t: F.struct(t["name"], between(t["i"], t["j"] + 1)))).alias("map"))
+
+            return let(outer, put)
 
-        return let(pieces(rest, _MARKUP), with_texts)
+        return let(table_places(parts), body)
 
-    return let(pieces(html, _TABLE), with_tables)
+    # a text without a table is one piece
+    parts = F.when(html.rlike("(?i)</table"), pieces(html, _TABLE)).otherwise(pieces(html, "(?!)"))
+    return let(let(parts, with_tables), lambda t: with_texts(t["rest"], t["map"]))
 
 
 def reverse(skeleton: Column, text_map: Column, table_map: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables
-from ..functions.spans import SPAN, TOKEN, find_spans, greedy, let, overlaps, pieces, replace_matches, splice
+from ..functions.spans import SPAN, TOKEN, find_spans, greedy, let, pieces, replace_matches, splice
 
 TOKENS = "array<struct<layer:string,token:string,cat:string,val:string>>"
 # a domain name has at most 127 labels; an unbounded group would recurse in Java
@@ -82,15 +82,26 @@ def apply_spans(state: Column, spans, layer: str | None, prefix: str = "", first
 
     def body(s: Column) -> Column:
         def chosen(text: Column) -> Column:
-            return let(token_spans(text), lambda old: greedy(F.filter(F.coalesce(spans(text), F.array().cast(f"array<{SPAN}>")), lambda x: ~overlaps(x, old))))
+            return let(token_spans(text), lambda old: greedy(F.coalesce(spans(text), F.array().cast(f"array<{SPAN}>")), old))
 
         def replace(took: Column) -> Column:
-            def number(x: Column, i: Column) -> Column:
-                before = F.size(F.filter(s["tokens"], lambda t: t["cat"] == x["cat"])) + F.size(F.filter(F.slice(took, F.lit(1), i), lambda t: t["cat"] == x["cat"])) + first
-                name = F.lit(layer) if layer else F.concat(F.lit(prefix), x["cat"])
-                return F.struct(name.alias("layer"), F.concat(F.lit("["), x["cat"], F.lit("_"), before.cast("string"), F.lit("]")).alias("token"), x["cat"].alias("cat"), x["val"].alias("val"))
+            # by category, then place, so that an index is the distance from the category's first
+            def number(ordered: Column) -> Column:
+                cats = F.transform(ordered, lambda x: x["cat"])
+                known = F.transform(F.array_distinct(cats), lambda c: F.struct(c.alias("cat"), (F.size(F.filter(s["tokens"], lambda t: t["cat"] == c)) - F.array_position(cats, c).cast("int") + 1 + first).alias("base")))
 
-            new = F.transform(took, number)
+                def named(bases: Column) -> Column:
+                    def one(x: Column, k: Column) -> Column:
+                        index = F.get(F.filter(bases, lambda b: b["cat"] == x["cat"]), F.lit(0))["base"] + k
+                        name = F.lit(layer) if layer else F.concat(F.lit(prefix), x["cat"])
+                        return F.struct(x["i"].alias("i"), F.struct(name.alias("layer"), F.concat(F.lit("["), x["cat"], F.lit("_"), index.cast("string"), F.lit("]")).alias("token"), x["cat"].alias("cat"), x["val"].alias("val")).alias("t"))
+
+                    return F.transform(F.array_sort(F.transform(ordered, one)), lambda y: y["t"])
+
+                return let(known, named)
+
+            ordered = F.array_sort(F.transform(took, lambda x, i: F.struct(x["cat"].alias("cat"), i.alias("i"), x["val"].alias("val"))))
+            new = F.when(F.size(took) > 0, let(ordered, number)).otherwise(F.array().cast(TOKENS))
             return let(new, lambda n: F.struct(splice(s["text"], took, F.transform(n, lambda t: t["token"])).alias("text"), F.concat(s["tokens"], n).alias("tokens")))
 
         return let(chosen(s["text"]), replace)
