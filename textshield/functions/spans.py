@@ -38,43 +38,41 @@ RUN = 1024
 BLOCK = 1024
 
 
-def fold(items: Column, state: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column]) -> Column:
-    """The integers that ``emit(state, item)`` gives along the items; nulls are left out.
+def let_sql(value: Column, name: str, body: str) -> Column:
+    """``let`` with the body in SQL, where ``name`` is the value.
 
-    ``step(state, item)`` is the state for the next item.  Spark copies what an
-    aggregate has gathered at each of its steps.  So the items are taken in
-    runs: the numbers of a run are noted in a short string, and put with the
-    rest once for each run.
+    Each part of an expression that Python puts together is a call into the JVM;
+    SQL text is one, and these bodies occur for every pattern.
     """
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), F.lit(0))
 
-    def one(acc: Column, item: Column) -> Column:
-        noted = F.coalesce(F.concat(emit(acc["s"], item).cast("string"), F.lit(",")), F.lit(""))
-        return F.struct(step(acc["s"], item).alias("s"), F.concat(acc["noted"], noted).alias("noted"))
 
-    def over(every: Column) -> Column:
-        def run(acc: Column, k: Column) -> Column:
-            own = F.aggregate(F.slice(every, k * RUN + 1, F.lit(RUN)), F.struct(acc["s"].alias("s"), F.lit("").alias("noted")), one)
-            return let(own, lambda r: F.struct(r["s"].alias("s"), F.concat(acc["noted"], r["noted"]).alias("noted")))
+def fold_sql(items: str, state: str, step: str, emit: str) -> str:
+    """SQL of the integers that ``emit`` gives along the items; nulls are left out.
 
-        runs = F.sequence(F.lit(0), F.floor(F.size(every) / RUN).cast("int"))
-        return F.aggregate(runs, F.struct(state.alias("s"), F.lit("").alias("noted")), run, lambda acc: acc["noted"])
-
-    return F.transform(F.filter(F.split(let(items, over), ","), lambda x: x != ""), lambda x: x.cast("int"))
+    In ``step``, the state for the next item, and in ``emit`` the item is ``x``
+    and the state ``a.s``.  ``items`` is a name.  Spark copies what an aggregate
+    has gathered at each of its steps.  So the items are taken in runs: the
+    numbers of a run are noted in a short string, and put with the rest once for
+    each run; the time grows with the items, not with their square.
+    """
+    one = f"(a, x) -> named_struct('s', {step}, 'noted', concat(a.noted, coalesce(concat(cast({emit} AS STRING), ','), '')))"
+    own = f"aggregate(slice({items}, k * {RUN} + 1, {RUN}), named_struct('s', acc.s, 'noted', ''), {one})"
+    run = f"(acc, k) -> get(transform(array({own}), r -> named_struct('s', r.s, 'noted', concat(acc.noted, r.noted))), 0)"
+    noted = f"aggregate(sequence(0, size({items}) DIV {RUN}), named_struct('s', {state}, 'noted', ''), {run}, acc -> acc.noted)"
+    return f"transform(filter(split({noted}, ','), n -> n != ''), n -> cast(n AS INT))"
 
 
-def find_spans(text: Column, pattern: str, cat: str | Column) -> Column:
-    """All matches of a pattern, left to right, as spans.  Null text: null."""
-    cat = F.lit(cat) if isinstance(cat, str) else cat
+#: Starts of matches among pieces: the state is twice the place, and in the last bit whether the next piece is a match.
+_STARTS = fold_sql("parts", "0", "(a.s + length(x) * 2) ^ 1", "CASE WHEN a.s & 1 = 1 THEN shiftright(a.s, 1) END")
 
-    def located(parts: Column) -> Column:
-        # twice the place, and in the last bit whether the next piece is a match
-        step = lambda at, p: (at + F.length(p) * 2).bitwiseXOR(F.lit(1))
-        starts = fold(parts, F.lit(0), step, lambda at, p: F.when(at.bitwiseAND(1) == 1, F.shiftright(at, 1)))
-        matches = F.filter(parts, lambda p, i: i % 2 == 1)
-        return F.zip_with(starts, matches, lambda st, p: F.struct(st.alias("st"), (st + F.length(p)).alias("en"), cat.alias("cat"), p.alias("val")))
 
+def find_spans(text: Column, pattern: str, cat: str) -> Column:
+    """All matches of a pattern, left to right, as spans.  Null text: null."""
+    span = f"(st, p) -> named_struct('st', st, 'en', st + length(p), 'cat', '{cat}', 'val', p)"
+    found = let_sql(pieces(text, pattern), "parts", f"zip_with({_STARTS}, filter(parts, (p, i) -> i % 2 = 1), {span})")
     none = F.when(text.isNotNull(), F.array().cast(f"array<{SPAN}>"))
-    return F.when(text.rlike(f"(?U){pattern}"), let(pieces(text, pattern), located)).otherwise(none)
+    return F.when(text.rlike(f"(?U){pattern}"), found).otherwise(none)
 
 
 def overlaps(span: Column, others: Column) -> Column:
@@ -82,37 +80,36 @@ def overlaps(span: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (span["st"] < o["en"]) & (o["st"] < span["en"]))
 
 
-def greedy(spans: Column, old: Column | None = None) -> Column:
-    """Spans in order of start, then the longest, then as listed, each if it starts at or after the end of the last taken.
-
-    Those that share a place with one of ``old`` (disjoint spans) count as not there.
-    """
+_LISTED = "array_sort(transform(spans, (s, i) -> named_struct('st', s.st, 'neg', -s.en, 'i', i)))"
+_TAKEN = fold_sql("listed", "0", "CASE WHEN x.st >= a.s THEN -x.neg ELSE a.s END", "CASE WHEN x.st >= a.s THEN x.i END")
+_CHOSEN = f"get(transform(array({_LISTED}), listed -> transform({_TAKEN}, i -> get(spans, i))), 0)"
 
-    def choose(every: Column) -> Column:
-        listed = F.array_sort(F.transform(every, lambda s, i: F.struct(s["st"].alias("st"), (-s["en"]).alias("neg"), i.alias("i"))))
-        taken = fold(listed, F.lit(0), lambda at, e: F.when(e["st"] >= at, -e["neg"]).otherwise(at), lambda at, e: F.when(e["st"] >= at, e["i"]))
-        return F.transform(taken, lambda i: F.get(every, i))
+# Both kinds in order of start; old ones come first among equal starts and have -1 as their place in the list.
+_BOTH = "array_sort(concat(transform(v.spans, (s, i) -> named_struct('st', s.st, 'i', i, 'en', s.en)), transform(v.old, s -> named_struct('st', s.st, 'i', -1, 'en', s.en))))"
+_BEFORE = fold_sql("both", "0", "CASE WHEN x.i < 0 THEN x.en ELSE a.s END", "CASE WHEN x.i >= 0 AND x.st >= a.s THEN x.i END")
+_AFTER = fold_sql("back", str(2**31 - 1), "CASE WHEN x.i < 0 THEN x.st ELSE a.s END", "CASE WHEN x.i >= 0 AND x.en <= a.s THEN x.i END")
+_CLEAR = f"""CASE WHEN size(v.old) > 0 AND size(v.spans) > 0 THEN get(transform(array({_BOTH}), both ->
+  transform(array_sort(array_intersect({_BEFORE}, get(transform(array(reverse(both)), back -> {_AFTER}), 0))), i -> get(v.spans, i))), 0) ELSE v.spans END"""
 
-    return let(spans if old is None else let(spans, lambda x: F.when((F.size(old) > 0) & (F.size(x) > 0), _clear_of(x, old)).otherwise(x)), choose)
 
+def greedy(spans: Column, old: Column | None = None) -> Column:
+    """Spans in order of start, then the longest, then as listed, each if it starts at or after the end of the last taken.
 
-def _clear_of(spans: Column, old: Column) -> Column:
-    """Those of the spans, as listed, that share no place with the old ones.
-
-    Two passes over both kinds in order of start: forward, no old span may reach
-    beyond the start; backward, none may start before the end.
+    Those that share a place with one of ``old`` (disjoint spans) count as not
+    there.  That takes two passes over both kinds: forward, no old span may
+    reach beyond the start; backward, none may start before the end.
     """
-    # old ones come first among equal starts and have -1 as their place in the list
-    both = F.concat(F.transform(spans, lambda s, i: F.struct(s["st"].alias("st"), i.alias("i"), s["en"].alias("en"))), F.transform(old, lambda s: F.struct(s["st"].alias("st"), F.lit(-1).alias("i"), s["en"].alias("en"))))
+    if old is not None:
+        spans = let_sql(F.struct(spans.alias("spans"), old.alias("old")), "v", _CLEAR)
+    return let_sql(spans, "spans", _CHOSEN)
 
-    def passes(ordered: Column) -> Column:
-        known = lambda e: e["i"] < 0
-        free = lambda ok, e: F.when(~known(e), F.when(ok, e["i"]))
-        before = fold(ordered, F.lit(0), lambda end, e: F.when(known(e), e["en"]).otherwise(end), lambda end, e: free(e["st"] >= end, e))
-        after = fold(F.reverse(ordered), F.lit(2**31 - 1), lambda at, e: F.when(known(e), e["st"]).otherwise(at), lambda at, e: free(e["en"] <= at, e))
-        return F.transform(F.array_sort(F.array_intersect(before, after)), lambda i: F.get(spans, i))
 
-    return let(F.array_sort(both), passes)
+# Between two places a and b, from a block of the text on.
+_BETWEEN = f"""CASE WHEN {{b}} > {{a}} THEN substring(array_join(slice(blocks, {{a}} DIV {BLOCK} + 1, ({{b}} - 1) DIV {BLOCK} - {{a}} DIV {BLOCK} + 1), ''), {{a}} % {BLOCK} + 1, {{b}} - {{a}}) ELSE '' END"""
+_END = "CASE WHEN i = 0 THEN 0 ELSE get(v.spans, i - 1).en END"
+_SPLICED = f"""CASE WHEN size(v.spans) > 0 THEN get(transform(array(regexp_extract_all(v.text, '(?s)(.{{1,{BLOCK}}})', 1)), blocks -> concat(
+  array_join(transform(v.spans, (s, i) -> concat({_BETWEEN.format(a=f"({_END})", b="s.st")}, get(v.new, i))), ''),
+  substring(v.text, element_at(v.spans, -1).en + 1, length(v.text)))), 0) ELSE v.text END"""
 
 
 def splice(text: Column, spans: Column, replacements: Column) -> Column:
@@ -121,19 +118,7 @@ def splice(text: Column, spans: Column, replacements: Column) -> Column:
     A place far into a text is found by counting from the text's start, so the
     text is cut into blocks first and places are counted from a block's start.
     """
-
-    def put(blocks: Column) -> Column:
-        def between(a: Column, b: Column) -> Column:
-            first = F.floor(a / BLOCK).cast("int")
-            own = F.array_join(F.slice(blocks, first + 1, F.floor((b - 1) / BLOCK).cast("int") - first + 1), "")
-            return F.when(b > a, F.substring(own, a - first * BLOCK + 1, b - a)).otherwise("")
-
-        end = lambda i: F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["en"])
-        parts = F.transform(spans, lambda s, i: F.concat(between(end(i), s["st"]), F.get(replacements, i)))
-        last = end(F.size(spans))
-        return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
-
-    return F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{BLOCK}}})"), 1), put)).otherwise(text)
+    return let_sql(F.struct(text.alias("text"), spans.alias("spans"), replacements.alias("new")), "v", _SPLICED)
 
 
 def replace_matches(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
@@ -142,6 +127,7 @@ def replace_matches(text: Column, pattern: str, new: Callable[[Column], Column])
     return F.when(text.rlike(f"(?U){pattern}"), changed).otherwise(text)
 
 
+_CHANGED = fold_sql("v.parts", "0", "a.s + length(x.old)", "CASE WHEN x.new != x.old THEN a.s END")
 CHANGE = "struct<`from`:string,`to`:string,st:int,en:int,via:string>"
 
 
@@ -152,14 +138,11 @@ def replace_logged(s: Column, pattern: str, new: Callable[[Column], Column], via
     projections, each small enough to analyse.
     """
 
-    def put(parts: Column) -> Column:
-        changed = lambda x: x["new"] != x["old"]
-        starts = fold(parts, F.lit(0), lambda at, x: at + F.length(x["old"]), lambda at, x: F.when(changed(x), at))
-        found = F.zip_with(starts, F.filter(parts, changed), lambda at, x: F.struct(x["old"].alias("from"), x["new"].alias("to"), at.alias("st"), (at + F.length(x["old"])).alias("en"), F.lit(via).alias("via")))
-        return F.struct(F.array_join(F.transform(parts, lambda x: x["new"]), "").alias("text"), F.concat(s["changes"], found).alias("changes"))
-
     parts = F.transform(pieces(s["text"], pattern), lambda p, i: F.struct(p.alias("old"), F.when(i % 2 == 1, F.coalesce(new(p), p)).otherwise(p).alias("new")))
-    return F.when(s["text"].rlike(f"(?U){pattern}"), let(parts, put)).otherwise(s)
+    change = f"(st, x) -> named_struct('from', x.old, 'to', x.new, 'st', st, 'en', st + length(x.old), 'via', '{via}')"
+    changes = f"concat(v.changes, zip_with({_CHANGED}, filter(v.parts, x -> x.new != x.old), {change}))"
+    body = f"named_struct('text', array_join(transform(v.parts, x -> x.new), ''), 'changes', {changes})"
+    return F.when(s["text"].rlike(f"(?U){pattern}"), let_sql(F.struct(parts.alias("parts"), s["changes"].alias("changes")), "v", body)).otherwise(s)
 
 
 def logged(text: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import fold, let, pieces
+from ..functions.spans import fold_sql, let, let_sql, pieces
 from .masking import unmask
 
 _RAW = r"<!--.*?-->|<(?:script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript)\s*>"
@@ -35,6 +35,15 @@ def text_nodes(html: Column) -> Column:
     return F.transform(_texts(pieces(html, _MARKUP)), lambda x: x["p"])
 
 
+_TAGS = "filter(transform(parts, (p, i) -> named_struct('tag', lower(left(p, 7)), 'i', i)), x -> x.i % 2 = 1 AND (x.tag = '</table' OR startswith(x.tag, '<table')))"
+# A closing tag that closes nothing has level 0.
+_LEVELS = fold_sql("tags", "0", "CASE WHEN x.tag != '</table' THEN a.s + 1 ELSE greatest(a.s - 1, 0) END", "CASE WHEN x.tag != '</table' THEN a.s + 1 ELSE a.s END")
+_EVENTS = f"array_sort(zip_with({_LEVELS}, tags, (n, x) -> named_struct('level', n, 'i', x.i, 'opens', x.tag != '</table')))"
+_NEXT = "get(events, k + 1)"
+_PAIRS = f"transform(events, (e, k) -> CASE WHEN e.level > 0 AND e.opens AND NOT {_NEXT}.opens AND {_NEXT}.level = e.level THEN named_struct('i', e.i, 'j', {_NEXT}.i) END)"
+_PLACES = f"get(transform(array({_TAGS}), tags -> get(transform(array({_EVENTS}), events -> array_sort(filter({_PAIRS}, x -> x IS NOT NULL))), 0)), 0)"
+
+
 def table_places(parts: Column) -> Column:
     """array of struct(i, j) by i: the pieces that open and close a table, nested ones too.
 
@@ -44,25 +53,12 @@ def table_places(parts: Column) -> Column:
     closing tags alternate, so in order of level and place each closing tag
     stands right behind its own.
     """
-    tags = F.filter(F.transform(parts, lambda p, i: F.struct(F.lower(F.left(p, F.lit(7))).alias("tag"), i.alias("i"))), lambda x: (x["i"] % 2 == 1) & ((x["tag"] == "</table") | x["tag"].startswith("<table")))
-    opens = lambda x: x["tag"] != "</table"
-
-    def depth_after(depth: Column, x: Column) -> Column:
-        return F.when(opens(x), depth + 1).otherwise(F.greatest(depth - 1, F.lit(0)))
-
-    def paired(events: Column) -> Column:
-        def pair(e: Column, k: Column) -> Column:
-            after = F.get(events, k + 1)
-            return F.when((e["level"] > 0) & e["opens"] & ~after["opens"] & (after["level"] == e["level"]), F.struct(e["i"].alias("i"), after["i"].alias("j")))
-
-        return F.array_sort(F.filter(F.transform(events, pair), lambda x: x.isNotNull()))
+    return let_sql(parts, "parts", _PLACES)
 
-    def levelled(tags: Column) -> Column:
-        # a closing tag that closes nothing has level 0
-        levels = fold(tags, F.lit(0), depth_after, lambda depth, x: F.when(opens(x), depth + 1).otherwise(depth))
-        return let(F.array_sort(F.zip_with(levels, tags, lambda n, x: F.struct(n.alias("level"), x["i"].alias("i"), opens(x).alias("opens")))), paired)
 
-    return let(tags, levelled)
+# Tables that begin behind the end of all before them; numbers of the texts that aren't blank, 0 for the other pieces.
+_OUTER = fold_sql("named", "named_struct('k', 0, 'end', -1)", "named_struct('k', a.s.k + 1, 'end', greatest(a.s.end, x.j))", "CASE WHEN x.i > a.s.end THEN a.s.k END")
+_NUMBERS = fold_sql("marked", "0", "CASE WHEN x.text THEN a.s + 1 ELSE a.s END", "CASE WHEN x.text THEN a.s + 1 ELSE 0 END")
 
 
 def freeze(html: Column) -> Column:
@@ -80,7 +76,7 @@ def freeze(html: Column) -> Column:
             marked = F.transform(parts, lambda p, i: F.struct(((i % 2 == 0) & ~blank(p)).alias("text"), p.alias("p")))
 
             def numbered(marked: Column) -> Column:
-                numbers = fold(marked, F.lit(0), lambda n, x: F.when(x["text"], n + 1).otherwise(n), lambda n, x: F.when(x["text"], n + 1).otherwise(0))
+                numbers = let_sql(marked, "marked", _NUMBERS)
                 return let(F.zip_with(numbers, marked, lambda n, x: F.struct(F.when(n > 0, _numbered("TEXT", n)).alias("name"), x["p"].alias("p"))), told)
 
             def told(named: Column) -> Column:
@@ -103,9 +99,7 @@ def freeze(html: Column) -> Column:
             return let(F.transform(places, lambda t, k: F.struct(t["i"].alias("i"), t["j"].alias("j"), _numbered("TABLE", k + 1).alias("name"))), placed)
 
         def placed(named: Column) -> Column:
-            # tables that begin behind the end of all before them
-            state = F.struct(F.lit(0).alias("k"), F.lit(-1).alias("end"))
-            first = fold(named, state, lambda s, t: F.struct((s["k"] + 1).alias("k"), F.greatest(s["end"], t["j"]).alias("end")), lambda s, t: F.when(t["i"] > s["end"], s["k"]))
+            first = let_sql(named, "named", _OUTER)
             outer = F.transform(first, lambda k: F.get(named, k))
 
             def put(o: Column) -> Column:

@@ -109,13 +109,13 @@ def apply_spans(state: Column, spans, layer: str | None, prefix: str = "", first
     return let(state, body)
 
 
-def mask(text: Column, extra: bool = True) -> Column:
-    """All layers.  Null text: null text and no tokens."""
-    s = empty_state(text)
-    s = apply_spans(s, pii_spans, None, "pii_")
-    s = apply_spans(s, phone_spans, "phones_lib")
-    s = apply_spans(s, digit_spans, "phones_lib")
-    return apply_spans(s, lambda t: pattern_spans(t, extra), None, "regex_")
+def mask_layers(df: DataFrame, text: Column, extra: bool = True, state_col: str = "_m") -> DataFrame:
+    """Adds the state after all layers, each a projection of its own.  Null text: null text and no tokens."""
+    out = df.withColumn(state_col, empty_state(text))
+    steps = [(pii_spans, None, "pii_"), (phone_spans, "phones_lib", ""), (digit_spans, "phones_lib", ""), (lambda t: pattern_spans(t, extra), None, "regex_")]
+    for spans, layer, prefix in steps:
+        out = out.withColumn(state_col, apply_spans(F.col(state_col), spans, layer, prefix))
+    return out
 
 
 def layers(tokens: Column) -> Column:
@@ -130,7 +130,7 @@ def flat_map(tokens: Column) -> Column:
 
 def mask_documents(df: DataFrame, text_col: str = "text", extra: bool = True) -> DataFrame:
     """Adds masked, tokens, layers, layered_maps and the layers' order."""
-    out = df.withColumn("_m", mask(F.col(text_col), extra))
+    out = mask_layers(df, F.col(text_col), extra)
     out = out.withColumn("masked", F.col("_m.text")).withColumn("tokens", F.col("_m.tokens")).drop("_m")
     return out.withColumn("layers", layers(F.col("tokens"))).withColumn("layered_maps", flat_map(F.col("tokens"))).withColumn("order", F.transform("layers", lambda x: x["type"]))
 

@@ -21,7 +21,7 @@ def proofread(requests: DataFrame, cfg: Config | None = None, ner: backends.NerB
     frozen = html.freeze_documents(accepted.withColumn("_html", F.when(F.col("format") == "html", F.col("data")).otherwise("")), "_html").drop("_html")
     body = F.when(F.col("format") == "html", F.col("text_format")).otherwise(F.col("data"))
     rows = subjects.continue_documents(frozen.withColumn("body", body), "body")
-    rows = rows.withColumn("_m", masking.mask(F.col("body")))
+    rows = masking.mask_layers(rows, F.col("body"))
     rows = backends.mask_names(rows, ner)
     rows = rows.withColumns({"message_01": F.col("_m.text"), "tokens": F.col("_m.tokens")}).drop("_m")
     rows = rows.withColumns({"layers": masking.layers(F.col("tokens")), "layered_maps": masking.flat_map(F.col("tokens")), "order": F.array_distinct(F.transform("tokens", lambda t: t["layer"]))})
