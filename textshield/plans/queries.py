@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import catalog
 from ..functions.spans import find_spans, greedy
 from ..functions.tables import MONTHS_EN, MONTHS_FR, MONTHS_ID, calling_codes
-from ..operators import audit, backends, guards, html, language, masking, reformat, subjects, tokens
+from ..operators import audit, backends, guards, html, intervals, language, masking, payloads, reformat, subjects, tokens
 from ..sources.io import read_table
 from ..streaming.rate import rate_windows, rejected
 from .pipeline import proofread
@@ -191,6 +192,24 @@ def span_overlap_anti_join(spark, sf_dir):
     return s.join(e, (s.k == e.ek) & (s.st < e.een) & (e.est < s.en), "left_anti")
 
 
+@query(ORACLES["span_overlap_anti_join"])
+def span_overlap_by_bins(spark, sf_dir):
+    """The same rows, by an equi-join on order and bin."""
+    s = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("st"), (F.col("l_linenumber") + F.col("l_quantity").cast("int")).alias("en"))
+    e = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 30).cast("int").alias("st"), (F.col("o_orderkey") % 30 + 5).cast("int").alias("en"))
+    return intervals.apart(s, e, "k", 16)
+
+
+@query("""WITH s AS (SELECT l_orderkey AS k, l_linenumber AS st, l_linenumber + l_quantity::INTEGER AS en FROM lineitem),
+e AS (SELECT o_orderkey AS k, (o_orderkey % 30)::INTEGER AS st, (o_orderkey % 30 + 5)::INTEGER AS en FROM orders)
+SELECT s.k, s.st, s.en, least(s.en, e.en) - greatest(s.st, e.st) AS shared FROM s JOIN e ON e.k = s.k AND s.st < e.en AND e.st < s.en""")
+def span_overlap_lengths(spark, sf_dir):
+    s = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("st"), (F.col("l_linenumber") + F.col("l_quantity").cast("int")).alias("en"))
+    e = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 30).cast("int").alias("st"), (F.col("o_orderkey") % 30 + 5).cast("int").alias("en"))
+    met = intervals.overlapping(s, e, "k", 16)
+    return met.select("k", "a.st", "a.en", (F.least("a.en", "b.en") - F.greatest("a.st", "b.st")).alias("shared"))
+
+
 @query("""WITH RECURSIVE s AS (SELECT l_orderkey AS k, l_linenumber AS st, l_linenumber + floor(l_quantity / 10)::INTEGER + 1 AS en,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity DESC) AS i FROM lineitem),
 w AS (SELECT k, i, st, en, true AS took, en AS at FROM s WHERE i = 1
@@ -203,6 +222,39 @@ def greedy_intervals(spark, sf_dir):
     return g.select("k", F.size("s").alias("taken"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["en"] - x["st"]).alias("covered"))
 
 
+@query(ORACLES["greedy_intervals"])
+def sql_disjoint_spans(spark, sf_dir):
+    """The greedy choice by the table function, over rows."""
+    catalog.register(spark)
+    spans = read_table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS k", "l_linenumber AS st", "l_linenumber + cast(floor(l_quantity / 10) AS INT) + 1 AS en")
+    return spark.sql("SELECT k, cast(count(*) AS INT) AS taken, sum(en - st) AS covered FROM disjoint_spans(TABLE(SELECT * FROM {s}), 'k') GROUP BY k", s=spans)
+
+
+# Patterns that both sides can run, in the pattern table's order.
+_SQL_PATTERNS = [("EMAIL", r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"), ("URL", r"https?://\S+|www\.\S+"), ("NPWP", r"\d{2}\.\d{3}\.\d{3}\.\d-\d{3}\.\d{3}")]
+_SQL_FOUND = " UNION ALL ".join(f"SELECT doc_id, {i} AS o, '{cat}' AS cat, regexp_split_to_array(text, '(?i){p}') AS pieces, regexp_extract_all(text, '(?i){p}') AS vals FROM documents" for i, (cat, p) in enumerate(_SQL_PATTERNS))
+
+
+@query(f"""WITH RECURSIVE f AS ({_SQL_FOUND}),
+c AS (SELECT doc_id, o, cat, vals[i] AS val, (coalesce(list_sum([length(x) FOR x IN pieces[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN vals[1:i - 1]]), 0))::INTEGER AS st FROM f, unnest(range(1, len(vals) + 1)) AS r(i)),
+s AS (SELECT *, st + length(val)::INTEGER AS en, row_number() OVER (PARTITION BY doc_id ORDER BY st, length(val) DESC, o) AS k FROM c),
+w AS (SELECT doc_id, k, st, en, cat, val, true AS took, en AS at FROM s WHERE k = 1
+  UNION ALL SELECT s.doc_id, s.k, s.st, s.en, s.cat, s.val, s.st >= w.at, CASE WHEN s.st >= w.at THEN s.en ELSE w.at END FROM w JOIN s ON s.doc_id = w.doc_id AND s.k = w.k + 1)
+SELECT doc_id, st, en::INTEGER AS en, cat, val FROM w WHERE took""")
+def sql_pii_spans(spark, sf_dir):
+    """Spans of every document by the table function in SQL."""
+    catalog.register(spark)
+    return spark.sql("SELECT d.doc_id, s.st, s.en, s.cat, s.val FROM {d} d, LATERAL pii_spans(d.text, 'EMAIL,URL,NPWP') s", d=read_table(spark, sf_dir, "documents"))
+
+
+@query(r"""SELECT lang, count(*) FILTER (regexp_matches(text, '<[^>]+>') OR regexp_matches(text, '(?i)javascript:|<script\b|\bon\w+\s*='))::BIGINT AS markup,
+  count(*) FILTER (NOT regexp_matches(text, '\p{L}'))::BIGINT AS symbols, sum(greatest(1, length(text) // 4))::BIGINT AS tokens FROM documents GROUP BY lang""")
+def sql_guard_functions(spark, sf_dir):
+    """Guards called by name; they are part of the plan like other SQL."""
+    catalog.register(spark)
+    return spark.sql("SELECT lang, count_if(has_markup(text)) AS markup, count_if(symbol_only(text)) AS symbols, sum(token_estimate(text)) AS tokens FROM {d} GROUP BY lang", d=read_table(spark, sf_dir, "documents"))
+
+
 # Phones ---------------------------------------------------------------------
 
 
@@ -419,6 +471,26 @@ def payload_scan(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select("event_id", strict["error"]["message"].alias("message"), strict["data"].alias("data"), lax["data"].alias("stripped"))
 
 
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN '$.data.list[1].$where' WHEN 1 THEN '$.data.list[0].deep[0][1].note' WHEN 2 THEN '$.$or' WHEN 3 THEN '$.a[2]' ELSE '$.z' END AS path,
+  CASE event_id % 7 WHEN 0 THEN 'forbidden key: $where' WHEN 1 THEN 'html/xss' WHEN 2 THEN 'forbidden key: $or' WHEN 3 THEN 'sql-like' ELSE 'html/xss' END AS reason FROM events WHERE event_id % 7 < 5""")
+def payload_deep_scan(spark, sf_dir):
+    """The first hit of nested payloads, depth first, with its path."""
+    e = read_table(spark, sf_dir, "events")
+    k, n = F.col("event_id") % 7, F.col("event_id").cast("string")
+    raw = F.concat(
+        F.when(k == 0, '{"data": {"list": [{"q": "$fine"}, {"$where": "<b>", "x": {"$y": 1}}]}, "z": "<i>')
+        .when(k == 1, '{"data": {"list": [{"deep": [[1, {"note": "<b>x</b>"}, "drop"]]}]}, "z": "<i>')
+        .when(k == 2, '{"$or": [{"$and": 1}], "data": "<b>')
+        .when(k == 3, '{"b": "<b>x</b>", "a": [1, null, "drop table", "')
+        .when(k == 4, '{"y": {"ok": [true, 1.5, "fine"]}, "z": "<u>')
+        .when(k == 5, '{"a": "$price {[", "b": [[[]]], "c": {}, "d": "')
+        .otherwise('not json <b> {"$x": "'),
+        n,
+        F.when(k == 3, F.lit('"]}')).otherwise(F.lit('"}')),
+    )
+    return payloads.scan(e.select("event_id", raw.alias("raw")), "event_id", "raw")
+
+
 @query("""SELECT c_custkey, ['TEXT_TOO_SHORT', 'TEXT_TOO_FEW_WORDS', 'TEXT_NOT_MEANINGFUL', 'TEXT_INVALID_SEMANTIC', NULL][c_custkey % 5 + 1] AS error FROM customer""")
 def semantic_errors(spark, sf_dir):
     """The four classes of texts that can't be checked, and one that can."""
@@ -474,6 +546,25 @@ def html_tables(spark, sf_dir):
     return f.select("c_custkey", "skeleton", "text_format", F.col("table_map")["[TABLE_01]"].alias("table_html"), back.alias("back"))
 
 
+@query("""WITH p AS (SELECT page_id, '<table id=' || page_id || '>' AS o, (page_id % 5)::INTEGER AS depth, (page_id % 3)::INTEGER AS more FROM pages),
+n AS (SELECT page_id, depth, more, repeat(o || '<tr><td>', depth + 1) || 'x' || repeat('</td></tr></table>', depth + 1) AS nested FROM p)
+SELECT page_id, '<p>[TEXT_01]</p>[TABLE_01]' || CASE WHEN more > 0 THEN '<!-- <table> -->' ELSE '' END
+    || array_to_string([CASE WHEN depth + i < 8 THEN '[TABLE_0' ELSE '[TABLE_' END || (depth + 1 + i) || ']' FOR i IN range(1, more + 1)], '') AS skeleton,
+  (depth + 1 + more)::INTEGER AS tables, nested AS first, substr(nested, length(nested) - length('x' || repeat('</td></tr></table>', depth + 1)) + 1 - length('<table id=' || page_id || '><tr><td>'),
+    length('<table id=' || page_id || '><tr><td>x</td></tr></table>')) AS innermost FROM n""")
+def html_nested_tables(spark, sf_dir):
+    """Up to five tables within each other, then some side by side: all numbered, the outermost frozen."""
+    k = F.col("page_id")
+    open_, close = F.concat(F.lit("<table id="), k.cast("string"), F.lit("><tr><td>")), F.lit("</td></tr></table>")
+    depth, more = (k % 5).cast("int"), (k % 3).cast("int")
+    nested = F.concat(F.repeat(open_, depth + 1), F.lit("x"), F.repeat(close, depth + 1))
+    rest = F.when(more > 0, F.concat(F.lit("<!-- <table> -->"), F.repeat(F.lit("<table>y</table>"), more))).otherwise("")
+    page = F.concat(F.lit("<p>t</p>"), nested, rest)
+    f = html.freeze_documents(read_table(spark, sf_dir, "pages").select("page_id", page.alias("html")))
+    name = F.format_string("[TABLE_%02d]", depth + 1)
+    return f.select("page_id", "skeleton", F.size("table_map").alias("tables"), F.col("table_map")["[TABLE_01]"].alias("first"), F.col("table_map")[name].alias("innermost"))
+
+
 # Language ---------------------------------------------------------------------
 
 _WORDS_SQL = ", ".join(f"('{w}', '{lang}')" for lang, words in language.WORDS.items() for w in sorted(set(words)))
@@ -489,6 +580,24 @@ def lang_detect_confusion(spark, sf_dir):
     return d.select("doc_id", "lang").join(found, F.col("doc_id") == F.col("id")).groupBy("lang", "detected").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PROFILES_SQL = ", ".join(f"('{lang}', '{gram}', {rank})" for lang, gram, rank in language.profiles())
+
+
+@query(rf"""WITH p(lang, gram, rank) AS (VALUES {_PROFILES_SQL}),
+w AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(substr(text, 1, {language.SNIPPET})), '[^\p{{L}}]+', ' ', 'g')), ' ')) AS word FROM documents),
+g AS (SELECT doc_id, substr(' ' || word || ' ', i::INTEGER, n) AS gram FROM w, (VALUES (1), (2), (3)) s(n), unnest(range(1, length(word) + 4 - n)) r(i) WHERE word <> ''),
+c AS (SELECT doc_id, gram, count(*) AS n FROM g WHERE gram <> ' ' GROUP BY 1, 2),
+o AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS own FROM c QUALIFY own <= {language.RANKS}),
+v AS (SELECT doc_id, lang, sum({language.RANKS} - abs(own - rank)) AS worth FROM o JOIN p USING (gram) GROUP BY 1, 2),
+b AS (SELECT doc_id, lang, worth, row_number() OVER (PARTITION BY doc_id ORDER BY worth DESC, lang DESC) AS k FROM v)
+SELECT doc_id, max(lang) FILTER (k = 1) AS detected, round(max(worth) FILTER (k = 1) / (max(worth) FILTER (k = 1) + coalesce(max(worth) FILTER (k = 2), 0)), 6)::DOUBLE AS confidence
+FROM b GROUP BY doc_id HAVING max(worth) > 0""")
+def lang_profile_detect(spark, sf_dir):
+    """Every document's language by ranks of its character runs."""
+    found = language.detect_by_profile(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "detected", F.round("confidence", 6).alias("confidence"))
+
+
 # Persistence and rates ----------------------------------------------------------
 
 
