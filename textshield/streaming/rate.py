@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _FOLDED = "key string, us long, count long, end_us long, allowed boolean"
 
@@ -94,3 +95,65 @@ def rate_stream(events: DataFrame, key_col: str = "key", ts_col: str = "ts", sec
         yield out
 
     return _shown(rows.groupBy("key").applyInPandasWithState(run, _FOLDED, "end_us long, count long", "append", "EventTimeTimeout"))
+
+
+class _Window(StatefulProcessor):
+    """A key's open window as one value: its end and how many events it has had."""
+
+    def __init__(self, seconds: int, limit: int, ttl_ms: int | None, late: str):
+        self.width, self.limit, self.ttl_ms, self.late = seconds * 1_000_000, limit, ttl_ms, late
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "end_us long, count long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        end, count = self.window.get() if self.window.exists() else (None, 0)
+        pdf = pd.concat(list(rows)).sort_values("us")  # a key's rows of one micro-batch
+        if self.late == "reject" and end is not None:
+            # before the open window began: no longer counted, and not allowed
+            early = pdf["us"] < end - self.width
+            if early.any():
+                gone = pdf.loc[early, ["key", "us"]]
+                yield gone.assign(count=0, end_us=end - self.width, allowed=False)
+                pdf = pdf.loc[~early]
+        if len(pdf):
+            out, _, end, count = _fold(pdf, key[0], end, count, self.limit, self.width)
+            self.window.update((end, count))
+            if self.ttl_ms is None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+                self.handle.registerTimer(-(-end // 1000))
+            yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.window.clear()
+        yield pd.DataFrame({"key": [], "us": [], "count": [], "end_us": [], "allowed": []}).astype({"us": "int64", "count": "int64", "end_us": "int64", "allowed": bool})
+
+    def close(self) -> None:
+        pass
+
+
+def rate_state(events: DataFrame, key_col: str = "key", ts_col: str = "ts", seconds: int = 60, limit: int = 20, lateness: str | None = "1 hour", ttl_seconds: int | None = None, late: str = "count") -> DataFrame:
+    """``rate_stream`` on value state that lapses by itself.
+
+    With ``ttl_seconds`` a key's state is dropped that long after its last
+    event by the clock of the machine, as a store with expiring rows does it; no
+    watermark is needed, but batches without data should be off
+    (``spark.sql.streaming.noDataMicroBatches.enabled``) where a run is to end
+    with its input.  Without, a timer drops it when the watermark,
+    ``lateness`` behind the latest event, has passed the window's end.
+
+    ``late`` says what becomes of an event of a later micro-batch that is older
+    than the open window: ``count`` counts it in that window, ``reject`` turns
+    it down with a count of 0.  The session needs RocksDB as its state store.
+    """
+    if late not in ("count", "reject"):
+        raise ValueError("late must be count or reject")
+    rows = _timed(events, key_col, ts_col)
+    if ttl_seconds is None:
+        rows = rows.withWatermark("ts", lateness or "0 seconds")
+    rows = rows.withColumn("us", F.unix_micros("ts"))
+    processor = _Window(seconds, limit, None if ttl_seconds is None else ttl_seconds * 1000, late)
+    mode = "EventTime" if ttl_seconds is None else "ProcessingTime"
+    return _shown(rows.groupBy("key").transformWithStateInPandas(processor, _FOLDED, "Append", mode))
