@@ -1,5 +1,7 @@
 """Very long runs of one kind: no pattern may recurse in Java's matcher, which would end the JVM."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +47,16 @@ def test_phone_passes_take_a_long_run_whole(long_texts):
     rows = {r["kind"]: r for r in long_texts.select("kind", F.length(F.regexp_substr("text", F.lit(f"(?U){plus}"))).alias("plus"), F.length(F.regexp_substr("text", F.lit(f"(?U){spaced}"))).alias("spaced")).collect()}
     assert rows["plus digits"]["plus"] == 2 * N + 1
     assert rows["spaced digits"]["spaced"] == 2 * N + 4 and rows["digits"]["spaced"] == N
+
+
+def test_a_million_characters(spark):
+    """No document blocks a job: each function takes all of these in a minute on a small machine."""
+    n = 1_000_000
+    kinds = ["1" * n, "\n" * n, "." * n, "<b>x</b> " * (n // 9), "1.2.3.4 " * (n // 8), "0812 3456 789, " * (n // 15)]
+    df = spark.createDataFrame([(k, "id", "reference_check", len(k)) for k in kinds], "text string, locale string, type_of_check string, n int").repartition(len(kinds)).cache()
+    df.count()
+    for run in (masking.mask_documents, reformat.reformat_documents, subjects.continue_documents, lambda d: html.freeze_documents(d, "text")):
+        out, began = run(df), time.time()
+        out.write.format("noop").mode("overwrite").save()
+        assert time.time() - began < 60
+    df.unpersist()

@@ -15,7 +15,8 @@ from ..config import Config
 from ..functions import catalog
 from ..functions.spans import find_spans, greedy
 from ..functions.tables import MONTHS_EN, MONTHS_FR, MONTHS_ID, calling_codes
-from ..operators import audit, backends, guards, html, intervals, language, masking, payloads, reformat, subjects, tokens
+from ..operators import audit, backends, guards, html, intervals, language, masking, models, payloads, reformat, subjects, tokens
+from ..sources import store
 from ..sources.io import read_table
 from ..streaming.rate import rate_windows, rejected
 from .pipeline import proofread
@@ -627,6 +628,17 @@ def summary_upsert(spark, sf_dir):
     return audit.upsert_summary(rows, ["kind", "value"])
 
 
+@query(ORACLES["summary_upsert"])
+def stored_upsert(spark, sf_dir):
+    """The same summary, kept as a table that two halves of the events update one after the other."""
+    e = read_table(spark, sf_dir, "events")
+    rows = e.select(F.col("user_id").alias("report_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("kind"), F.when(F.col("value") > 50, F.col("value")).alias("value"), F.col("event_id").alias("created_at"))
+    path = store.scratch(spark)
+    for part in (1, 0):
+        store.upsert(rows.where(F.col("seq") % 2 == part), path, ["kind", "value"], buckets=16)
+    return store.stored_rows(spark, path, ["kind", "value"])
+
+
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_per_key(spark, sf_dir):
     e = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
@@ -679,6 +691,55 @@ def ner_masking(spark, sf_dir):
     return backends.mask_names(df).select("c_custkey", F.col("_m.text").alias("masked"))
 
 
+def _place_model():
+    """A tagger that stands for a model: places by their names."""
+    import re
+
+    return lambda texts: [[(m.start(), m.end(), "LOC") for m in re.finditer("Jakarta|Bandung", t)] for t in texts]
+
+
+@query("SELECT c_custkey, 'From [LOC_0] to [LOC_1], ' || c_custkey AS masked FROM customer")
+def ner_model(spark, sf_dir):
+    """A Python model in batches on the executors, its spans one more layer."""
+    text = F.concat(F.lit("From Jakarta to Bandung, "), F.col("c_custkey").cast("string"))
+    df = read_table(spark, sf_dir, "customer").select("c_custkey", masking.empty_state(text).alias("_m"))
+    return models.mask_names(df, "places", _place_model).select("c_custkey", F.col("_m.text").alias("masked"))
+
+
+def _rewriting_model():
+    """A rewriter that stands for a model: it fails for some texts and loses a token in others."""
+
+    def model(texts):
+        if any("fails" in t for t in texts):
+            raise RuntimeError("no answer")
+        return [t.replace("[EMAIL_0]", "nobody") if "loses" in t else t.replace("wrote", "has written") for t in texts]
+
+    return model
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '[EMAIL_0] has written well ' || c_custkey WHEN 1 THEN '[EMAIL_0] wrote, loses ' || c_custkey ELSE '[EMAIL_0] wrote, fails ' || c_custkey END AS message_02, c_custkey % 3 = 0 AS token_ok FROM customer""")
+def rewriter_fallback(spark, sf_dir):
+    """What a model rewrote, and the masked text where it failed or lost a token."""
+    how = F.get(F.array(*map(F.lit, [" well ", ", loses ", ", fails "])), (F.col("c_custkey") % 3).cast("int"))
+    masked = F.concat(F.lit("[EMAIL_0] wrote"), how, F.col("c_custkey").cast("string"))
+    df = read_table(spark, sf_dir, "customer").select("c_custkey", masked.alias("masked"))
+    return backends.rewrite(df, rewriter=models.rewriter("rewriting", _rewriting_model)).select("c_custkey", "message_02", "token_ok")
+
+
+@query("""SELECT 'h' || page_id AS report_id, stage, sha256('h' || page_id) AS _id,
+  CASE stage WHEN 'html_freeze' THEN '<p>[TEXT_01]</p>[TABLE_01]' ELSE '<p>tulis surat ke kantor untuk keterangan yang lebih lengkap tentang laporan ini segera</p><table><tr><td>' || page_id || '</td></tr></table>' END AS html
+FROM pages, (VALUES ('html_freeze'), ('html_reverse')) s(stage)""")
+def stage_html_rows(spark, sf_dir):
+    """What the two HTML stages store: the skeleton, and the page put back together."""
+    p = read_table(spark, sf_dir, "pages")
+    page = F.concat(F.lit("<p>tulis surat ke kantor untuk keterangan yang lebih lengkap tentang laporan ini segera</p><table><tr><td>"), F.col("page_id").cast("string"), F.lit("</td></tr></table>"))
+    requests = p.select(F.lit("general").alias("type_of_check"), F.lit("indonesia").alias("tenant"), F.lit("id").alias("locale"), F.lit("html").alias("format"), page.alias("data"), F.concat(F.lit("h"), F.col("page_id").cast("string")).alias("report_id"))
+    accepted, _ = proofread(requests, Config(reformat=False))
+    tables = audit.stage_tables(accepted, F.timestamp_seconds(F.lit(0)))
+    freeze = tables["html_freeze"].select("report_id", F.lit("html_freeze").alias("stage"), "_id", F.col("skeleton").alias("html"))
+    return freeze.unionByName(tables["html_reverse"].select("report_id", F.lit("html_reverse").alias("stage"), "_id", F.col("html_final").alias("html")))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Visit [LOC_0] and [LOC_1], then [ORG_0] by ' ELSE 'Visit [LOC_0] and Chiang Mai, then [ORG_0] by ' END || c_custkey AS masked FROM customer")
 def ner_by_tenant(spark, sf_dir):
     """The English tagger, then the tenant's own on what it left."""

@@ -7,6 +7,7 @@ associative, so rows may come in any order and again: two updates are one.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -16,6 +17,16 @@ from pyspark.sql import functions as F
 BUCKET = "bucket"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; one of this machine's only where Spark runs on it alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-textshield-")
+    return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored table with its bookkeeping, or None where nothing is stored yet."""
     try:
