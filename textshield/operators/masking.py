@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import tables
+from ..functions import numbering, tables
 from ..functions.spans import SPAN, TOKEN, find_spans, greedy, let, pieces, replace_matches, splice
 
 TOKENS = "array<struct<layer:string,token:string,cat:string,val:string>>"
@@ -35,15 +35,29 @@ def pii_spans(text: Column) -> Column:
     return _all(F.when(text.contains("@"), find_spans(text, _EMAIL, "EMAIL")), cards)
 
 
-def phone_spans(text: Column) -> Column:
-    """Layer 2, numbers with a calling code in use; brackets around it belong to it."""
+def phone_spans(text: Column, region: Column | None = None) -> Column:
+    """Layer 2, numbers with a calling code in use; brackets around it belong to it.
+
+    Where the code's plan is known the number has to be a possible one of it.
+    With ``region``, numbers as dialled there count too.
+    """
     codes = F.split(F.lit(" ".join(tables.calling_codes())), " ")
+    planned = F.lit("^(?:" + "|".join(numbering.planned_codes()) + ")")
 
     def known(s: Column) -> Column:
-        d = F.regexp_replace(s["val"], r"\D", "")
-        return F.length(d).between(7, 15) & F.exists(F.array(*(F.left(d, F.lit(n)) for n in (1, 2, 3))), lambda c: F.array_contains(codes, c))
-
-    return F.filter(F.when(text.contains("+"), find_spans(text, _PHONE, "PHONE_NUMBER")), known)
+        def judged(d: Column) -> Column:
+            listed = F.exists(F.array(*(F.left(d, F.lit(n)) for n in (1, 2, 3))), lambda c: F.array_contains(codes, c))
+            plain = F.length(d).between(7, 15) & listed
+            return F.when(F.regexp_like(d, planned), F.coalesce(numbering.lookup(d)["possible"], F.lit(False))).otherwise(plain)
+
+        return let(F.regexp_replace(s["val"], r"\D", ""), judged)
+
+    found = F.filter(F.when(text.contains("+"), find_spans(text, _PHONE, "PHONE_NUMBER")), known)
+    if region is None:
+        return found
+    dialled = F.when(text.rlike("[0-9]"), find_spans(text, r"(?<![\d+])\d(?:[ .()-]{0,2}\d){5,13}(?!\d)", "PHONE_NUMBER"))
+    own = F.filter(dialled, lambda s: F.coalesce(numbering.lookup(numbering.international(s["val"], region))["possible"], F.lit(False)))
+    return _all(found, own)
 
 
 def digit_spans(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions import catalog
+from ..functions import catalog, numbering
 from ..functions.spans import find_spans, greedy
 from ..functions.tables import MONTHS_EN, MONTHS_FR, MONTHS_ID, calling_codes
 from ..operators import audit, backends, guards, html, intervals, language, masking, models, payloads, reformat, subjects, tokens
@@ -342,6 +342,37 @@ def phones_normalised(spark, sf_dir):
     return c.select("c_custkey", masking.normalise_phones(text, F.lit("ID")).alias("e164"), masking.normalise_phones(text, F.lit("ID"), e164=False).alias("national"))
 
 
+# Region, calling code, first national digits, fewest and most national digits, kind.
+_NUMBERS = [("ID", "62", "81", 9, 12, "mobile"), ("MY", "60", "3", 9, 9, "fixed"), ("SG", "65", "6", 8, 8, "fixed"), ("TH", "66", "9", 9, 9, "mobile"), ("PH", "63", "2", 8, 9, "fixed"), ("US", "1", "415", 10, 10, "fixed or mobile"), ("GB", "44", "20", 10, 10, "fixed"), ("FR", "33", "6", 9, 9, "mobile"), ("DE", "49", "170", 10, 11, "mobile"), ("AU", "61", "4", 9, 9, "mobile")]
+_NUMBERS_SQL = ", ".join(f"({i}, '{r}', '{c}', '{n}', {a}, {b}, '{k}')" for i, (r, c, n, a, b, k) in enumerate(_NUMBERS))
+
+
+@query(f"""WITH p(i, region, code, nat, least, most, kind) AS (VALUES {_NUMBERS_SQL}),
+n AS (SELECT c_custkey, p.*, (c_custkey // 10) % 4 AS v, CASE (c_custkey // 10) % 4 WHEN 0 THEN least WHEN 1 THEN most WHEN 2 THEN least - 1 ELSE most + 1 END AS len FROM customer JOIN p ON p.i = c_custkey % 10)
+SELECT c_custkey, region, kind, nat || lpad(c_custkey::VARCHAR, (len - length(nat))::INTEGER, '5') AS national, v < 2 AS possible FROM n""")
+def numbering_plan(spark, sf_dir):
+    """Numbers of ten regions: of the fewest and most digits, one less and one more."""
+    k = F.col("c_custkey")
+    entry = F.get(F.array(*(F.struct(F.lit(c).alias("code"), F.lit(n).alias("nat"), F.lit(a).alias("least"), F.lit(b).alias("most")) for _, c, n, a, b, _ in _NUMBERS)), (k % 10).cast("int"))
+    df = read_table(spark, sf_dir, "customer").select("c_custkey", entry.alias("e"), (F.floor(k / 10) % 4).alias("v"))
+    length = F.when(F.col("v") == 0, F.col("e.least")).when(F.col("v") == 1, F.col("e.most")).when(F.col("v") == 2, F.col("e.least") - 1).otherwise(F.col("e.most") + 1)
+    digits = F.concat("e.code", "e.nat", F.lpad(F.col("c_custkey").cast("string"), length - F.length("e.nat"), F.lit("5")))
+    return numbering.classify(df.select("c_custkey", digits.alias("d")), "d").select("c_custkey", "number.region", "number.kind", "number.national", "number.possible")
+
+
+@query("""WITH c AS (SELECT c_custkey, lpad(c_custkey::VARCHAR, 6, '0') AS k FROM customer)
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Ring [PHONE_NUMBER_0] now' WHEN 1 THEN 'Ring (0161) 49' || k || '1234 now' ELSE 'Ring [PHONE_NUMBER_0] now' END AS masked FROM c""")
+def mask_regional_phones(spark, sf_dir):
+    """Numbers as dialled in Britain and Indonesia; one has too many digits."""
+    c = read_table(spark, sf_dir, "customer")
+    key = F.lpad(F.col("c_custkey").cast("string"), 6, "0")
+    k = F.col("c_custkey") % 3
+    text = F.when(k == 0, F.concat(F.lit("Ring 020 79"), key, F.lit(" now"))).when(k == 1, F.concat(F.lit("Ring (0161) 49"), key, F.lit("1234 now"))).otherwise(F.concat(F.lit("Ring 0812-"), key, F.lit("12 now")))
+    region = F.when(k == 2, "ID").otherwise("GB")
+    df = c.select("c_custkey", masking.empty_state(text).alias("_m"), region.alias("region"))
+    return df.select("c_custkey", masking.apply_spans(F.col("_m"), lambda t: masking.phone_spans(t, F.col("region")), "phones_lib")["text"].alias("masked"))
+
+
 # Dates ----------------------------------------------------------------------
 
 
