@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions.spans import fold_sql, let_sql
 from ..functions.tables import MONTHS_ID
 from ..schema import MIRROR_COLUMNS, QA_COLUMNS
 
@@ -95,3 +96,21 @@ def qa_rows(final: DataFrame, order: list[str], start: int = 0, with_personal: b
 
 def qa_active(cfg: Config) -> bool:
     return cfg.qa_sheet
+
+
+# Depth behind each token of a JSON text.
+_DEPTHS = fold_sql("t", "0", "a.s + CASE WHEN x IN ('{', '[') THEN 1 WHEN x IN ('}', ']') THEN -1 ELSE 0 END", "a.s + CASE WHEN x IN ('{', '[') THEN 1 WHEN x IN ('}', ']') THEN -1 ELSE 0 END")
+_LINE = "concat('\n', repeat('  ', get(d, i)))"
+_SHOWN = f"""CASE WHEN x IN ('{{', '[') AND NOT coalesce(get(t, i + 1) IN ('}}', ']'), false) THEN concat(x, {_LINE})
+  WHEN x IN ('}}', ']') AND NOT coalesce(get(t, i - 1) IN ('{{', '['), false) THEN concat({_LINE}, x)
+  WHEN x = ',' THEN concat(x, {_LINE}) WHEN x = ':' THEN ': ' ELSE x END"""
+
+
+def pretty_json(text: Column) -> Column:
+    """A JSON text over lines, two blanks a level; what is no JSON stays as it is, null becomes empty.
+
+    Strings and numbers stay as they are written.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r'("(?:[^"\\]|\\.)*+"|[\[\]{},:]|[^\s\[\]{},:"]+)'), 1)
+    shown = let_sql(tokens, "t", f"get(transform(array({_DEPTHS}), d -> array_join(transform(t, (x, i) -> {_SHOWN}), '')), 0)")
+    return F.coalesce(F.when(F.try_parse_json(text).isNotNull(), shown).otherwise(text), F.lit(""))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import tables
-from ..functions.spans import TOKEN
+from ..functions.spans import TOKEN, pieces
 from . import language
 
 ERROR = "struct<message:string,error:string,status_code:int>"
@@ -87,6 +87,22 @@ def strip_markup(text: Column) -> Column:
     return F.replace(F.replace(bare, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
+def allow_tags(text: Column, tags: list[str]) -> Column:
+    """Only these tags stay, without their attributes; other tags go, texts stay with & and < written as entities.
+
+    Tags are not balanced: a closing tag without an opening one stays if allowed.
+    """
+    allowed = F.array(*(F.lit(t.lower()) for t in tags)).cast("array<string>")
+
+    def tag(p: Column) -> Column:
+        name = F.lower(F.regexp_extract(p, r"^</?\s*([A-Za-z][A-Za-z0-9]*)", 1))
+        shown = F.concat(F.when(p.startswith("</"), "</").otherwise("<"), name, F.lit(">"))
+        return F.when((name != "") & F.array_contains(allowed, name), shown).otherwise("")
+
+    plain = lambda p: F.replace(F.replace(p, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return F.array_join(F.transform(pieces(text, _HTML), lambda p, i: F.when(i % 2 == 1, tag(p)).otherwise(plain(p))), "")
+
+
 def clean(text: Column, tokens_too: bool = True) -> Column:
     """The first 4000 characters without tokens, addresses and long numbers, white space squeezed."""
     bare = F.regexp_replace(text, TOKEN, " ") if tokens_too else text

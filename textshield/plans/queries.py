@@ -17,7 +17,7 @@ from ..functions.spans import find_spans, greedy
 from ..functions.tables import MONTHS_EN, MONTHS_FR, MONTHS_ID, calling_codes
 from ..operators import audit, backends, guards, html, intervals, language, masking, models, payloads, reformat, subjects, tokens
 from ..sources import store
-from ..sources.io import read_table
+from ..sources.io import database_name, read_table
 from ..streaming.rate import rate_windows, rejected
 from .pipeline import proofread
 
@@ -862,3 +862,85 @@ def proofread_flagship(spark, sf_dir):
     accepted, _ = proofread(requests, Config(check_language=True))
     return accepted.select("doc_id", F.size("tokens").alias("n_tokens"), F.col("changed_count").alias("n_changes"), "token_ok", F.length("message_final").alias("n_chars"))
 
+
+
+# Helpers that other stages call ---------------------------------------------------
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'db' || page_id WHEN 1 THEN 'reports' WHEN 2 THEN 'a/b' ELSE 'fallback' END AS name FROM pages""")
+def store_database_names(spark, sf_dir):
+    """The database in a store's address: with options, several hosts, a longer path, none."""
+    n = F.col("page_id").cast("string")
+    uri = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("mongodb://u:p@host:27017/db"), n, F.lit("?retryWrites=true"))).when(F.col("page_id") % 4 == 1, "mongodb+srv://h.example.net/reports").when(F.col("page_id") % 4 == 2, "mongodb://h//a/b").otherwise(F.concat(F.lit("mongodb://host"), n))
+    return read_table(spark, sf_dir, "pages").select("page_id", database_name(uri, "fallback").alias("name"))
+
+
+@query("""SELECT page_id, '<b>bold</b> &amp; <i>x ' || page_id || '</i>alert(1) 1 &lt; 2' AS text FROM pages""")
+def sanitize_allowed_tags(spark, sf_dir):
+    n = F.col("page_id").cast("string")
+    text = F.concat(F.lit("<B class='x'>bold</B> & <p><i onclick=go()>x "), n, F.lit("</i></p><script>alert(1)</script> 1 < 2"))
+    return read_table(spark, sf_dir, "pages").select("page_id", guards.allow_tags(text, ["b", "i"]).alias("text"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'not {json' ELSE '{' || chr(10) || '  "id": ' || event_id || ',' || chr(10) || '  "list": [' || chr(10) || '    1,' || chr(10) || '    {},' || chr(10) || '    []' || chr(10) || '  ],' || chr(10) || '  "text": "a, {b}: [c]"' || chr(10) || '}' END AS shown FROM events""")
+def payload_pretty_json(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 3 == 0, "not {json").otherwise(F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(', "list" : [1,{ },[]],"text":"a, {b}: [c]"}')))
+    return read_table(spark, sf_dir, "events").select("event_id", audit.pretty_json(raw).alias("shown"))
+
+
+@query("SELECT c_custkey, 'by ' || c_name || ' of Acme ' || c_custkey || ' and [ORG_9]' AS text FROM customer")
+def unmask_by_layer(spark, sf_dir):
+    """The last layer first: its originals hold tokens of the one before."""
+    c = read_table(spark, sf_dir, "customer")
+    layer = lambda name, *kv: F.struct(F.lit(name).alias("type"), F.create_map(*kv).alias("map"))
+    acme = F.concat(F.lit("Acme "), F.col("c_custkey").cast("string"))
+    stack = F.array(layer("pii", F.lit("[NAME_0]"), F.col("c_name")), layer("ner", F.lit("[ORG_1]"), acme, F.lit("[PERSON_0]"), F.lit("[NAME_0]")))
+    return c.select("c_custkey", masking.unmask_layers(F.lit("by [PERSON_0] of [ORG_1] and [ORG_9]"), stack).alias("text"))
+
+
+@query("SELECT c_custkey, 'Call {{PHONE_3}} or {{PHONE_4}}' AS masked, 5::INTEGER AS next, '+62 812-' || lpad(c_custkey::VARCHAR, 6, '0') AS first FROM customer")
+def legacy_phone_masks(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer")
+    text = F.concat(F.lit("Call +62 812-"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.lit(" or +44 20 7946 0958"))
+    m = c.select("c_custkey", masking.mask_legacy(text, "PHONE", 3).alias("m"))
+    return m.select("c_custkey", F.col("m.text").alias("masked"), F.col("m.next").alias("next"), F.trim(F.col("m.map")["{{PHONE_3}}"]).alias("first"))
+
+
+@query("SELECT c_custkey, ['ID', 'MY', 'US', 'ID'][c_custkey % 4 + 1] AS region FROM customer")
+def locale_regions(spark, sf_dir):
+    locale = F.get(F.array(F.lit(" ID "), F.lit("ms"), F.lit("EN"), F.lit("xx")), (F.col("c_custkey") % 4).cast("int"))
+    return read_table(spark, sf_dir, "customer").select("c_custkey", masking.region_of(locale).alias("region"))
+
+
+@query("SELECT c_custkey, 'last: ' || c_custkey AS a, '' AS b, 'x: y' AS c, 3::INTEGER AS n FROM customer")
+def text_format_lines(spark, sf_dir):
+    text = F.concat(F.lit("[TEXT_01]: first\r\n\n [TEXT_02] \n[TEXT_03] : x: y\n[TEXT_01]: last: "), F.col("c_custkey").cast("string"))
+    m = read_table(spark, sf_dir, "customer").select("c_custkey", html.parse_text_format(text).alias("m"))
+    return m.select("c_custkey", F.col("m")["[TEXT_01]"].alias("a"), F.col("m")["[TEXT_02]"].alias("b"), F.col("m")["[TEXT_03]"].alias("c"), F.size("m").alias("n"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'v' || c_custkey WHEN 1 THEN 'w' || c_custkey END AS answer FROM customer""")
+def rewriter_json_replies(spark, sf_dir):
+    """A reply that is JSON, one that has it within, and one without."""
+    n = F.col("c_custkey").cast("string")
+    k = F.col("c_custkey") % 3
+    reply = F.when(k == 0, F.concat(F.lit('{"answer": "v'), n, F.lit('"}'))).when(k == 1, F.concat(F.lit('Here it is:\n{"answer": "w'), n, F.lit('"}\nBye'))).otherwise("no object here")
+    return read_table(spark, sf_dir, "customer").select("c_custkey", backends.json_reply(reply)["answer"].alias("answer"))
+
+
+@query("""SELECT c_custkey, ['English', 'Indonesian', 'Malay'][c_custkey % 3 + 1] || '/' || ['en', 'id', 'ms'][c_custkey % 3 + 1] || ': [EMAIL_0], [ORG_1] | To [EMAIL_0] of [ORG_1] ' || c_custkey AS prompt FROM customer""")
+def prompt_rendering(spark, sf_dir):
+    locale = F.get(F.array(*map(F.lit, ["en", "id", "ms"])), (F.col("c_custkey") % 3).cast("int"))
+    text = F.concat(F.lit("To [EMAIL_0] of [ORG_1] "), F.col("c_custkey").cast("string"))
+    prompt = backends.render_prompt(F.lit("{{LOCALE_LANG_NAME}}/{{LOCALE_CODE}}: {{token_list}} | {{text}}"), text, locale)
+    return read_table(spark, sf_dir, "customer").select("c_custkey", F.element_at(F.split(prompt, "\n\n"), -1).alias("prompt"))
+
+
+@query(r"""WITH n AS (SELECT c_custkey, 'N' || translate(c_custkey::VARCHAR, '0123456789', 'abcdefghij') AS n FROM customer)
+SELECT c_custkey, n AS by_verb, n || ' Abc' AS by_words, n AS dominant FROM n""")
+def subject_openings(spark, sf_dir):
+    """The name that a paragraph opens with, before a verb or as capitalised words, and the one that it has most."""
+    n = F.concat(F.lit("N"), F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij"))
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", n.alias("n"))
+    lead = lambda *parts: subjects.lead_name(F.concat(*parts))
+    return c.select("c_custkey", lead(F.lit(" "), F.col("n"), F.lit(" menyatakan hal itu")).alias("by_verb"), lead(F.col("n"), F.lit(" Abc datang")).alias("by_words"), subjects.dominant_name(F.concat(F.lit("Kemudian "), F.col("n"), F.lit(" datang. Budi dan "), F.col("n"), F.lit(" pulang. Kemudian Kemudian."))).alias("dominant"))

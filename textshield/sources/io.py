@@ -31,6 +31,13 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("name"), F.col("value").alias("template"))
 
 
+def database_name(uri: Column, default: str) -> Column:
+    """The database that a store's address names in its path, else the default."""
+    path = F.try_parse_url(uri, F.lit("PATH"))
+    name = F.trim(F.regexp_replace(path, "^/+", ""))
+    return F.coalesce(F.nullif(name, F.lit("")), F.lit(default))
+
+
 def append(df: DataFrame, path: str, cfg: Config, forced: bool = False, partition_by: list[str] | None = None) -> bool:
     """Append a stage table if the configuration lets this kind of write run."""
     if not writes(cfg)["forced" if forced else "guarded"]:
