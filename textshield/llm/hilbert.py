@@ -3,7 +3,8 @@
 Several columns are quantised to 2 ** ``bits`` steps each; the cell so found
 has a place on the Hilbert curve.  Rows in curve order are cut into runs, one
 for each shard, so that a shard covers a compact region in all dimensions and
-its files' minima and maxima rule them out in range queries on any of them.
+its files' minima and maxima rule them out in range queries on any of them
+(``write_shards``, ``read_range``).
 
 Places are counted, not sorted in one task: rows are counted for each cell and
 a hash slot within it, the counts add up along the curve (there are at most
@@ -13,7 +14,10 @@ together.  A cell with a third of all rows spreads over its slots.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,22 +83,28 @@ def hilbert_index(axes: Column, n_dims: int, bits: int) -> Column:
     return F.aggregate(places, F.lit(0).cast("long"), lambda p, b: F.aggregate(x, p, lambda r, v: r * 2 + F.call_function("getbit", v.bitwiseXOR(turn), b).cast("long")))
 
 
-def shard(docs: DataFrame, n_shards: int = 40, dims: list[str] | None = None, bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def default_dims(docs: DataFrame, id_col: str = "doc_id") -> list[str]:
+    return [d for d in (id_col, "lang", "source", "n_chars") if d in docs.columns]
+
+
+def shard(docs: DataFrame, n_shards: int = 40, dims: list[str] | None = None, bits: int = 3, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """(id, size, text_crc32, shard, slot, curve) of every row; shards' row counts differ by one at most.
 
     Null texts have no bytes and count as size 16.  Null metadata falls in the
     first step.  Repeated rows get places of their own; an empty table gives no
     rows.  ``dims`` default to doc_id, lang, source and n_chars, as far as the
-    table has them; other columns are ignored.
+    table has them; other columns are ignored, or with ``whole`` come along as
+    the struct ``row``.
     """
-    dims = dims or [d for d in (id_col, "lang", "source", "n_chars") if d in docs.columns]
+    dims = dims or default_dims(docs, id_col)
+    row = ["row"] if whole else []
     text = text_or_empty(text_col)
-    slim = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *(F.col(d).alias(f"_d{i}") for i, d in enumerate(dims)))
+    slim = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *([F.struct("*").alias("row")] if whole else []), *(F.col(d).alias(f"_d{i}") for i, d in enumerate(dims)))
     slim, axes = quantised(slim, [f"_d{i}" for i in range(len(dims))], bits)
     cell = sum((F.col(a) * (1 << (bits * i)) for i, a in enumerate(axes)), F.lit(0))
     total = docs.count()
     slots = max(16, -(-total // SLOT_ROWS))
-    slim = slim.select("id", "size", "text_crc32", cell.alias("cell"), F.pmod(F.xxhash64("id", "text_crc32", "size"), F.lit(slots)).cast("int").alias("part"))
+    slim = slim.select("id", "size", "text_crc32", *row, cell.alias("cell"), F.pmod(F.xxhash64("id", "text_crc32", "size"), F.lit(slots)).cast("int").alias("part"))
     counts = slim.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"))
     steps = F.array(*(F.shiftright("cell", bits * i).bitwiseAND((1 << bits) - 1) for i in range(len(axes))))
     cells = counts.groupBy("cell").agg(F.sum("n").alias("m")).withColumn("curve", hilbert_index(steps, len(axes), bits))
@@ -106,4 +116,43 @@ def shard(docs: DataFrame, n_shards: int = 40, dims: list[str] | None = None, bi
     # shard s takes places [s * total / n, (s + 1) * total / n), rounded down
     shard_of = F.expr(f"((place + 1) * {n_shards} - 1) div {max(total, 1)}")
     first = F.expr(f"(shard * {max(total, 1)}L) div {n_shards}")
-    return ranked.withColumn("shard", shard_of).withColumn("slot", (F.col("place") - first).cast("long")).select("id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot", "curve")
+    return ranked.withColumn("shard", shard_of).withColumn("slot", (F.col("place") - first).cast("long")).select("id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot", "curve", *row)
+
+
+def write_shards(docs: DataFrame, path: str, n_shards: int = 40, dims: list[str] | None = None, bits: int = 3, rows_per_file: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the rows as one folder for each shard, and what each dimension's least and greatest values are.
+
+    Rows lie in curve order, ``rows_per_file`` to a file at most, so a file of a
+    large shard is a compact region too.  Returns the table of bounds: shard, n,
+    and ``<dim>_min`` and ``<dim>_max``; null where a shard has nulls only.
+    Columns come back as they were; one of the name ``shard`` can't be written.
+    """
+    dims = dims or default_dims(docs, id_col)
+    placed = shard(docs, n_shards, dims, bits, id_col, text_col, whole=True)
+    file = F.floor(F.col("slot") / rows_per_file)
+    dealt = placed.withColumn("_file", file).repartition("shard", "_file").sortWithinPartitions("shard", "slot")
+    dealt.select("row.*", "shard").write.partitionBy("shard").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/rows")
+    spark = docs.sparkSession
+    stored = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType())])
+    spark.createDataFrame([(stored.json(),)], "schema string").coalesce(1).write.parquet(f"{path}/schema")
+    rows = spark.read.schema(stored).parquet(f"{path}/rows")
+    bounds = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), *(f(d).alias(f"{d}_{name}") for d in dims for name, f in (("min", F.min), ("max", F.max))))
+    bounds.coalesce(1).write.parquet(f"{path}/bounds")  # a row for each shard
+    return spark.read.parquet(f"{path}/bounds")
+
+
+def read_range(spark: SparkSession, path: str, ranges: dict[str, tuple[Any, Any]]) -> DataFrame:
+    """The rows whose dimensions lie within all ranges (both ends included), from the shards that may hold some.
+
+    Nulls lie in no range.  The driver gets the numbers of the shards.
+    """
+    bounds = spark.read.parquet(f"{path}/bounds")
+    within, inside = F.lit(True), F.lit(True)
+    for d, (low, high) in ranges.items():
+        within &= (F.col(f"{d}_max") >= F.lit(low)) & (F.col(f"{d}_min") <= F.lit(high))
+        inside &= F.col(d).between(low, high)
+    wanted = sorted(r["shard"] for r in bounds.where(within).select("shard").collect())
+    schema = T.StructType.fromJson(json.loads(spark.read.parquet(f"{path}/schema").first()[0]))
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(*(f"{path}/rows/shard={s}" for s in wanted)).where(inside)
