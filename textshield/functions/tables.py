@@ -29,7 +29,8 @@ def calling_codes() -> list[str]:
 
 _ID, _ID3 = "(?:" + "|".join(MONTHS_ID) + ")", "(?:" + "|".join(MONTHS_ID_SHORT) + ")"
 _EN, _EN3 = "(?:" + "|".join(MONTHS_EN) + ")", "(?:" + "|".join(MONTHS_EN_SHORT) + ")"
-_EN3T = _EN3.replace("Sep", "Sep(?:t)?")
+# Fixed values. English months in short, where Sept counts too.
+_EN3T = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep(?:t)?|Oct|Nov|Dec)"
 _TO = "(?:to|–|-)"
 
 #: The first of the third-layer patterns (one fixed value: name, at, domain

@@ -1,5 +1,6 @@
 """Row types of inputs, stages and reports."""
 
+# Column names and types of requests, stages and reports, in order.
 REQUEST = "type_of_check string, tenant string, locale string, format string, data string, report_id string"
 SPAN = "st int, en int, cat string, val string"
 MASKING = "_id string, report_id string, toc_type string, tenant string, locale string, body string, message_01 string, layers array<struct<type:string,map:map<string,string>>>, order array<string>, created_at string, created_at2 string"
