@@ -235,6 +235,48 @@ def test_vectors_in_a_dense_label(spark):
     assert got == {i: (int(near[i].sum()), int(root[i])) for i in range(len(y))}
 
 
+def brute_links(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    y = x.astype(float)
+    near = ((y @ y.T) / np.outer(np.sqrt((y * y).sum(1)), np.sqrt((y * y).sum(1))) >= 0.98) & (labels[:, None] == labels)
+    np.fill_diagonal(near, False)
+    return near
+
+
+@pytest.mark.parametrize("kind", ["scattered", "around one mean", "one dense group", "chains"])
+def test_vector_passes_find_links(spark, kind, monkeypatch):
+    """The passes alone: at least 0.9 of the link ends, no link or component that brute force lacks."""
+    monkeypatch.setattr(projections, "SWEEP_ROWS", 256)
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((4000, 32))
+    labels = np.zeros(len(x), int)
+    if kind == "scattered":
+        labels = rng.integers(0, 3, len(x))
+        x[2000:] = x[:2000] + rng.uniform(0.02, 0.21, (2000, 1)) * rng.standard_normal((2000, 32))
+        labels[2000:] = labels[:2000]
+    elif kind == "around one mean":
+        x = rng.standard_normal(32) + 0.3 * x
+        x[2000:] = x[:2000] + 0.15 * rng.standard_normal((2000, 32))
+    elif kind == "one dense group":
+        x[:1500] = x[0] + 0.12 * rng.standard_normal((1500, 32))
+    else:
+        for i in range(1, 1000):
+            x[i] = x[i - 1] + 0.14 * rng.standard_normal(32)
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), int(g)) for i, (v, g) in enumerate(zip(x, labels))], "vec_id long, embedding array<float>, label int").repartition(5)
+    near = brute_links(x, labels)
+    root = simhash.spanning(len(x), iter([np.nonzero(near)]))
+    got = {r["id"]: (r["n_links"], r["component"]) for r in projections.near_duplicates(df, exact=False).collect()}
+    n = np.array([got[i][0] for i in range(len(x))])
+    assert near.sum() > 1500 and (n <= near.sum(1)).all()
+    assert n.sum() >= 0.9 * near.sum()
+    assert all(root[got[i][1]] == root[i] and got[i][1] <= i for i in range(len(x)))
+
+
+def test_passes_grow_with_the_rows():
+    some = [projections.passes_for(n, 32, 0.98) for n in (0, 1, 10**4, 10**9, 10**12)]
+    assert some == sorted(some) and some[0] == projections.PASSES < some[-1] < 100
+
+
 @pytest.mark.parametrize("most", [500, 1])
 def test_repeats(docs, empty, most, monkeypatch):
     monkeypatch.setattr(repeats, "DICTIONARY_PHRASES", most)

@@ -84,7 +84,7 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = projections.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    found = projections.near_duplicates(_table(spark, sf_dir, "embeddings"), exact=False)
     return found.select(
         F.col("id").alias("vec_id"),
         "n_links",
