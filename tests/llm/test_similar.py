@@ -104,3 +104,25 @@ def test_trie_join_leaves_known_components_and_forest():
     want = components(range(len(p)), [x for x in brute if x[0] < x[1]])
     assert components(range(len(p)), list(zip(i.tolist(), j.tolist()))) == want
     assert len(i) == len(p) - len(set(want.values()))
+
+
+def test_tiles_meet_unless_common_bits_rule_links_out(spark):
+    rng = np.random.default_rng(3)
+    tops = rng.integers(-(1 << 63), (1 << 63) - 1, 40, dtype=np.int64)
+    rows = []
+    for t, top in enumerate(tops.tolist()):
+        free = int(rng.integers(0, 65))
+        mask = (1 << free) - 1
+        base = (top if t % 3 else int(tops[0])) & ~mask
+        held = sorted({(base & ((1 << 64) - 1) | (int(r) & mask)) for r in rng.integers(0, 1 << 63, 5)})
+        rows.append((0, 1, t, False, sorted((h + (1 << 63)) % (1 << 64) - (1 << 63) for h in held)))
+    cut = spark.createDataFrame(rows, "choice int, key long, tile_id long, whole boolean, orders array<long>")
+    got = {tuple(r) for r in simhash._meeting(cut, ["choice", "key"], 4).collect()}
+    want = set()
+    for *_, i, _, p in rows:
+        for *_, j, _, q in rows:
+            if i < j:
+                free = max((p[0] ^ p[-1]) % (1 << 64), (q[0] ^ q[-1]) % (1 << 64)).bit_length()
+                if (((p[0] ^ q[0]) % (1 << 64)) >> free).bit_count() <= 4:
+                    want.add((i, j))
+    assert got == want and 0 < len(want) < 780

@@ -273,6 +273,19 @@ def _common(sorted_fps: np.ndarray) -> int:
     return BITS - int(sorted_fps[0] ^ sorted_fps[-1]).bit_length()
 
 
+def _meeting(cut: DataFrame, key: list[str], budget: int) -> DataFrame:
+    """(tile_a, tile_b) of a key's tiles whose common leading bits leave room for a link.
+
+    Only first and last fingerprints are compared; no others are moved.
+    """
+    ends = cut.where(~F.col("whole")).select(*key, "tile_id", F.get("orders", F.lit(0)).alias("low"), F.element_at("orders", -1).alias("high"))
+    # bits behind those that all rows of the tile share
+    ends = materialise(ends.select(*key, "tile_id", "low", F.expr("CASE WHEN low = high THEN 0 ELSE length(bin(low ^ high)) END").alias("free")))
+    a, b = (ends.withColumnsRenamed({"tile_id": f"tile_{s}", "low": f"low_{s}", "free": f"free_{s}"}) for s in "ab")
+    spent = F.expr("CASE WHEN greatest(free_a, free_b) = 64 THEN 0 ELSE bit_count(shiftrightunsigned(low_a ^ low_b, greatest(free_a, free_b))) END")
+    return a.join(b, key).where("tile_a < tile_b").where(spent <= budget).select("tile_a", "tile_b")
+
+
 def links(classes: DataFrame, budget: int = 4) -> DataFrame:
     """Edges (a, b) between ``rep`` ids that connect just what the links connect.
 
@@ -295,10 +308,10 @@ def links(classes: DataFrame, budget: int = 4) -> DataFrame:
     spread = materialise(spread)
     cut = materialise(tiles(spread, ["choice", "key", "width"], "p", "rep", partitions_for(spark, rows * len(orders), 500_000)))
     within = cut.where("n > 1").select("width", "orders", "payloads").mapInArrow(_tile_links(budget), "a long, b long")
-    pairs = materialise(tile_pairs(cut, ["choice", "key", "width"]))
+    pairs = materialise(_meeting(cut, ["choice", "key", "width"], budget))
     left = cut.select(F.col("tile_id").alias("tile_a"), "orders", "payloads")
     right = cut.select(F.col("tile_id").alias("tile_b"), F.col("orders").alias("orders_b"), F.col("payloads").alias("payloads_b"))
-    across = pairs.select("tile_a", "tile_b").join(left, "tile_a").join(right, "tile_b").mapInArrow(_pair_links(budget), "a long, b long")
+    across = pairs.join(left, "tile_a").join(right, "tile_b").mapInArrow(_pair_links(budget), "a long, b long")
     return within.unionByName(across)
 
 
