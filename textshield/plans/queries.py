@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import catalog, numbering
 from ..functions.spans import find_spans, greedy
-from ..functions.tables import MONTHS_EN, MONTHS_FR, MONTHS_ID, calling_codes
+from ..functions.tables import MONTHS_EN, MONTHS_FR, MONTHS_ID, NAME_STOPWORDS, SUBJECT_TITLES, calling_codes
 from ..operators import audit, backends, guards, html, intervals, language, masking, models, payloads, reformat, subjects, tokens
 from ..sources import store
 from ..sources.io import database_name, read_table
@@ -944,3 +944,53 @@ def subject_openings(spark, sf_dir):
     c = read_table(spark, sf_dir, "customer").select("c_custkey", n.alias("n"))
     lead = lambda *parts: subjects.lead_name(F.concat(*parts))
     return c.select("c_custkey", lead(F.lit(" "), F.col("n"), F.lit(" menyatakan hal itu")).alias("by_verb"), lead(F.col("n"), F.lit(" Abc datang")).alias("by_words"), subjects.dominant_name(F.concat(F.lit("Kemudian "), F.col("n"), F.lit(" datang. Budi dan "), F.col("n"), F.lit(" pulang. Kemudian Kemudian."))).alias("dominant"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(left(regexp_replace(line, '\[[A-Z][A-Z_]*_\d+\]', ' ', 'g'), 4000), 'https?://\S+|www\.\S+', ' ', 'g'), '\d{3,}', ' ', 'g') AS b FROM l),
+c AS (SELECT doc_id, trim(regexp_replace(b, '\s+', ' ', 'g')) AS c FROM b),
+n AS (SELECT doc_id, length(c) AS chars, len(list_filter(string_split(c, ' '), lambda w: w <> '')) AS words FROM c)
+SELECT doc_id, CASE WHEN chars < 40 THEN 'TEXT_TOO_SHORT' WHEN words < 10 THEN 'TEXT_TOO_FEW_WORDS' ELSE '' END AS error,
+  count(*)::BIGINT AS n, sum(chars)::BIGINT AS chars, sum(words)::BIGINT AS words FROM n GROUP BY 1, 2""")
+def semantic_lines(spark, sf_dir):
+    """Each line of the documents judged as a text of its own."""
+    lines = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    judged = lines.select("doc_id", guards.semantic(F.col("line")).alias("v"))
+    error = F.coalesce(guards.semantic_error(F.col("v"))["error"], F.lit("")).alias("error")
+    return judged.groupBy("doc_id", error).agg(F.count(F.lit(1)).alias("n"), F.sum("v.chars").alias("chars"), F.sum("v.words").alias("words"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+') AS ws FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, unnest(ws) AS name, generate_subscripts(ws, 1) AS i FROM w),
+c AS (SELECT doc_id, name, count(*) AS n, min(i) AS i FROM x WHERE regexp_full_match(name, '[A-Z][a-z]+') AND name NOT IN (SELECT unnest(""" + _list([*NAME_STOPWORDS, *SUBJECT_TITLES]) + r""")) GROUP BY 1, 2),
+b AS (SELECT doc_id, arg_max(name, n * 10000000 - i) AS name, max(n) AS n FROM c GROUP BY 1)
+SELECT w.doc_id, CASE WHEN b.n >= 2 THEN b.name END AS name FROM w LEFT JOIN b ON w.doc_id = b.doc_id""")
+def dominant_names(spark, sf_dir):
+    """The name that a document has most, the first of equals."""
+    d = read_table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", subjects.dominant_name(F.col("text")).alias("name"))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_name, c_nationkey, c_custkey % 3 AS a, c_nationkey % 4 AS b FROM customer)
+SELECT c_custkey, '[A_' || a || ']' || '[NAME_0]' || CASE WHEN a = b THEN '' ELSE '[A_' || b || ']' END AS tokens,
+  CASE WHEN a = b THEN 'late ' || c_nationkey ELSE 'early ' || c_custkey END AS first, c_name AS name, 'late ' || c_nationkey AS last FROM c""")
+def token_maps_united(spark, sf_dir):
+    """Maps of each row united: a later map wins, tokens stay where they came first."""
+    token = lambda n: F.concat(F.lit("[A_"), n.cast("string"), F.lit("]"))
+    a, b = token(F.col("c_custkey") % 3), token(F.col("c_nationkey") % 4)
+    maps = F.array(F.create_map(a, F.concat(F.lit("early "), F.col("c_custkey").cast("string")), F.lit("[NAME_0]"), F.col("c_name")), F.create_map(b, F.concat(F.lit("late "), F.col("c_nationkey").cast("string"))))
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", a.alias("a"), b.alias("b"), masking.flatten_maps(maps).alias("m"))
+    return c.select("c_custkey", F.array_join(F.map_keys("m"), "").alias("tokens"), F.col("m")[F.col("a")].alias("first"), F.col("m")["[NAME_0]"].alias("name"), F.col("m")[F.col("b")].alias("last"))
+
+
+@query("""WITH d AS (SELECT c_custkey, (9 + c_custkey % 5)::INTEGER AS n, '08' || substr(repeat(lpad(c_custkey::VARCHAR, 7, '1'), 2), 1, (7 + c_custkey % 5)::INTEGER) AS d FROM customer)
+SELECT c_custkey, CASE n WHEN 11 THEN d[1:4] || ' ' || d[5:8] || ' ' || d[9:11] WHEN 12 THEN d[1:4] || ' ' || d[5:8] || ' ' || d[9:12]
+  WHEN 10 THEN d[1:4] || ' ' || d[5:7] || ' ' || d[8:10] WHEN 9 THEN d[1:4] || ' ' || d[5:7] || ' ' || d[8:9] ELSE d[1:4] || ' ' || d[5:7] || ' ' || d[8:11] || ' ' || d[12:13] END AS mobile,
+  '(021) ' || CASE n WHEN 9 THEN d[3:5] || ' ' || d[6:7] || ' ' || d[8:9] WHEN 10 THEN d[3:6] || ' ' || d[7:10] WHEN 11 THEN d[3:5] || ' ' || d[6:7] || ' ' || d[8:9] || ' ' || d[10:11]
+  WHEN 12 THEN d[3:5] || ' ' || d[6:8] || ' ' || d[9:11] || ' ' || d[12:12] ELSE d[3:5] || ' ' || d[6:8] || ' ' || d[9:11] || ' ' || d[12:13] END AS landline FROM d""")
+def phone_groups(spark, sf_dir):
+    """Indonesian mobile and landline numbers of seven to thirteen digits in groups."""
+    k = F.col("c_custkey")
+    rest = F.substring(F.repeat(F.lpad(k.cast("string"), 7, "1"), 2), F.lit(1), (7 + k % 5).cast("int"))
+    d = read_table(spark, sf_dir, "customer").select("c_custkey", rest.alias("rest"))
+    return d.select("c_custkey", reformat.id_mobile(F.concat(F.lit("08"), F.col("rest"))).alias("mobile"), reformat.id_landline(F.lit("021"), F.col("rest")).alias("landline"))
