@@ -272,6 +272,16 @@ def test_vector_passes_find_links(spark, kind, monkeypatch):
     assert all(root[got[i][1]] == root[i] and got[i][1] <= i for i in range(len(x)))
 
 
+def test_vector_passes_with_odd_rows(spark):
+    """Nulls, zeros, other lengths, repeated rows, an empty table: as with all pairs compared."""
+    rows = [(i, [1.0, 0.001 * i], "a", "clash") for i in range(5)] + [(7, [1.0, 0.0], "a", ""), (7, [1.0, 0.0], "a", ""), (None, [1.0, 0.0], "a", "")]
+    rows += [(10, None, "a", ""), (11, [], "a", ""), (12, [0.0, 0.0], "a", ""), (13, [1.0, None], "a", ""), (14, [float("inf"), 0.0], "a", ""), (15, [1.0], "a", ""), (16, [1.0, 0.0], None, "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, root string")
+    both = [sorted(map(repr, projections.near_duplicates(df, exact=e).collect())) for e in (True, False)]
+    assert both[0] == both[1] and len(both[0]) == len(rows)
+    assert projections.near_duplicates(df.limit(0), exact=False).count() == 0
+
+
 def test_passes_grow_with_the_rows():
     some = [projections.passes_for(n, 32, 0.98) for n in (0, 1, 10**4, 10**9, 10**12)]
     assert some == sorted(some) and some[0] == projections.PASSES < some[-1] < 100
