@@ -126,3 +126,58 @@ def test_tiles_meet_unless_common_bits_rule_links_out(spark):
                 if (((p[0] ^ q[0]) % (1 << 64)) >> free).bit_count() <= 4:
                     want.add((i, j))
     assert got == want and 0 < len(want) < 780
+
+
+def chains(rng, number, length):
+    """Rows of texts each some 0.82 alike to the one before, so that only neighbours link."""
+    rows = []
+    for k in range(number):
+        text = " ".join(f"w{rng.randrange(3000)}" for _ in range(150))
+        for step in range(length):
+            rows.append((1000 * k + step, text))
+            text = changed(rng, text, 0.82)
+    return rows
+
+
+def brute(rows):
+    sets = [(i, shingles(t)) for i, t in rows]
+    where = {}
+    for i, s in sets:
+        for x in s:
+            where.setdefault(x, []).append(i)
+    texts = dict(sets)
+    pairs = {(a, b) for ids in where.values() for a in ids for b in ids if a < b}
+    linked = [(a, b) for a, b in pairs if len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])]
+    return components([i for i, _ in rows], linked)
+
+
+def found(spark, rows, **how):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    return {r["id"]: r["component"] for r in simhash.similar_documents(docs, **how).collect()}
+
+
+def test_chains(spark):
+    rows = chains(random.Random(8), 30, 6)
+    want, got = brute(rows), found(spark, rows)
+    assert found(spark, rows, exact=True) == want
+    neighbours = [(a, b) for (a, _), (b, _) in zip(rows, rows[1:]) if want[a] == want[b]]
+    assert len(neighbours) > 120
+    assert sum(got[a] == got[b] for a, b in neighbours) >= 0.9 * len(neighbours)
+    assert all(want[i] == want[c] for i, c in got.items())
+
+
+def test_refused_edges_hide_no_other_pair(spark):
+    """Short texts whose fingerprints tell little: nearest candidates are often refused."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+
+    def edited():
+        w = list(words)
+        for at in rng.sample(range(40), rng.randrange(5)):
+            w[at] = f"n{rng.randrange(3)}"
+        return " ".join(w)
+
+    rows = [(i, edited()) for i in range(1, 1300)]
+    want = brute(rows)
+    assert found(spark, rows, exact=True) == want
+    assert len(set(want.values())) > 20

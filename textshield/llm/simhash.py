@@ -26,9 +26,15 @@ bits takes the place of the block choices.  The choice's first bits are the
 root of a trie, the others are joined below it within an error budget, and what
 is left must keep the whole fingerprint's.  The number of choices grows with
 the rows so that pairs at the very edge are met with ``RECALL``, nearer ones
-almost surely.  A tile yields the nearest spanning forest of what is left, whose
-edges are then held against the shingle sets.  Tiles whose leaves are one
-component already don't meet.
+almost surely.  With ``exact`` the keys are the shingles of each text's prefix
+in order of rarity instead: of two texts as alike as that one shares a key, so
+no link is missed.
+
+Rounds.  A tile yields the nearest spanning forest of its candidates, whose edges
+are then held against the shingle sets.  Tiles of which an edge was refused are
+taken again, without what is refused or connected by now, and yield twice as
+many forests each time, until no tile has a candidate left: a refused edge never
+hides another pair.  Tiles whose leaves are one component already don't meet.
 """
 
 from __future__ import annotations
@@ -353,14 +359,13 @@ def _leaf_columns(tile: pa.RecordBatch, suffix: str = "") -> tuple[np.ndarray, n
     return p, node.field("rep").to_numpy(), wide
 
 
-def _kruskal(i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Those edges that a spanning forest of the least differing bits takes."""
-    order = np.argsort(apart, kind="stable")
-    nodes, ends = np.unique(np.concatenate([i[order], j[order]]), return_inverse=True)
-    u, v = ends[: len(i)], ends[len(i) :]
+def _kruskal(order: np.ndarray, i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Of the edges, taken in ``order``, those of a spanning forest over the leaves' labels."""
+    nodes, ends = np.unique(np.concatenate([label[i[order]], label[j[order]]]), return_inverse=True)
+    u, v = ends[: len(order)], ends[len(order) :]
     root, taken = np.arange(len(nodes)), []
-    step = max(4096, len(i) // 32)
-    for at in range(0, len(i), step):
+    step = max(4096, len(order) // 32)
+    for at in range(0, len(order), step):
         part = np.flatnonzero(root[u[at : at + step]] != root[v[at : at + step]]) + at
         up: dict[int, int] = {}
 
@@ -373,144 +378,258 @@ def _kruskal(i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> tuple[np.ndarra
             x, y = top(x), top(y)
             if x != y:
                 up[x] = y
-                taken.append(order[e])
+                taken.append(e)
         if up:
             move = np.arange(len(nodes))
             move[list(up)] = [top(x) for x in up]
             root = move[root]
-    keep = np.array(taken, np.int64)
-    return i[keep], j[keep], apart[keep]
+    return np.array(taken, np.int64)
 
 
-def nearest_forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a minimum spanning forest of the pairs whose wide fingerprints differ in at most ``most`` bits.
+def _forests(i: np.ndarray, j: np.ndarray, apart: np.ndarray, label: np.ndarray, number: int) -> list[np.ndarray]:
+    """Edges of the nearest spanning forest, of the nearest one of the rest, and so on."""
+    order, taken = np.argsort(apart, kind="stable"), []
+    while len(order) and len(taken) < number:
+        at = _kruskal(order, i, j, label)
+        taken.append(order[at])
+        order = np.delete(order, at)
+    keep = np.concatenate(taken) if taken else np.empty(0, np.int64)
+    return [i[keep], j[keep], apart[keep]]
+
+
+def nearest_forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], a: np.ndarray, b: np.ndarray, most: int, label: np.ndarray | None = None, number: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of ``number`` disjoint minimum spanning forests of the pairs whose wide fingerprints differ in at most ``most`` bits.
 
     ``pairs`` are indexes into ``a`` and ``b``; those into ``b`` come back
-    raised by len(a) where b is another tile's.  At most some two million
-    pairs are held at once.
+    raised by len(a) where b is another tile's.  ``label``: which leaves count
+    as one node.  At most some two million pairs are held at once, or the
+    forests where those are more.
     """
     base = 0 if a is b else len(a)
-    held, size = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))], 0
+    label = np.arange(base + len(b)) if label is None else label
+    held, size, room = [[np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)]], 0, FRONTIER
     for i, j in pairs:
         apart = np.bitwise_count(a[i] ^ b[j]).sum(axis=1)
         near = apart <= most
-        held.append((i[near], j[near] + base, apart[near]))
+        held.append([i[near], j[near] + base, apart[near]])
         size += int(near.sum())
-        if size > FRONTIER:
-            held, size = [_kruskal(*(np.concatenate(c) for c in zip(*held, strict=True)))], 0
-    i, j, _ = _kruskal(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        if size > room:
+            held = [_forests(*(np.concatenate(c) for c in zip(*held, strict=True)), label, number)]
+            size = len(held[0][0])
+            room = max(FRONTIER, 2 * size)
+    i, j, _ = _forests(*(np.concatenate(c) for c in zip(*held, strict=True)), label, number)
     return i, j
 
 
-def _edges(pair: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids[pair[0]]), pa.array(ids[pair[1]])], names=["a", "b"])
+def _named(tile: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One value for each (tile, lesser id, greater id)."""
+    rows = np.stack([tile, np.minimum(a, b), np.maximum(a, b)], 1).astype(np.int64)
+    return np.ascontiguousarray(rows).view([("t", "<i8"), ("a", "<i8"), ("b", "<i8")]).reshape(-1)
 
 
-def _similar_in_tiles(width: int, budget: int, most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p, ids, wide = _leaf_columns(b)
-            ends = np.cumsum(np.diff(b.column("orders").offsets.to_numpy()))
-            lo = np.concatenate([[0], ends[:-1]])
-            nodes = np.stack([lo, ends, lo, ends], 1)
-            found = trie_join(p, None, nodes, np.full(len(nodes), width), np.zeros(len(nodes)), budget)
-            yield _edges(nearest_forest(found, wide, wide, most), ids)
+def _candidates(width: int, budget: int, most: int, number: int):
+    """Edges to test: of each tile with itself, or of each row's two tiles.
 
-    return run
+    Pairs in one component (``known``) and refused ones are left out.
+    """
 
+    def edges(b: pa.RecordBatch) -> pa.RecordBatch:
+        two = "orders_b" in b.schema.names
+        p, ids, wide = _leaf_columns(b)
+        known = b.column("known").flatten().to_numpy()
+        ends = np.cumsum(np.diff(b.column("orders").offsets.to_numpy()))
+        lo = np.concatenate([[0], ends[:-1]])
+        tile = np.repeat(np.arange(len(b)), ends - lo)
+        q, ids_b, wide_b, known_b = None, ids, wide, known
+        if two:
+            q, ids_b, wide_b = _leaf_columns(b, "_b")
+            known_b = b.column("known_b").flatten().to_numpy()
+            fixed = max(width, min(_common(p), _common(q)))
+            spent = int(np.bitwise_count((p[0] ^ q[0]) >> np.uint64(BITS - fixed))) if fixed else 0
+            node = np.array([[0, len(p), 0, len(q)]])
+            found = trie_join(p, q, node, np.array([fixed]), np.array([spent]), budget, (known, known_b)) if spent <= budget else iter(())
+        else:
+            nodes = np.stack([lo, ends, lo, ends], 1)
+            found = trie_join(p, None, nodes, np.full(len(nodes), width), np.zeros(len(nodes)), budget, (known, known))
+        refused = np.empty(0, np.int64)
+        if "refused" in b.schema.names:
+            pairs = b.column("refused")
+            of = np.repeat(np.arange(len(b)), np.diff(pairs.offsets.to_numpy()))
+            refused = _named(of, pairs.flatten().field("a").to_numpy(), pairs.flatten().field("b").to_numpy())
+
+        def still_open() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for i, j in found:
+                ok = known[i] != known_b[j]
+                i, j = i[ok], j[ok]
+                if len(refused) and len(i):
+                    ok = ~np.isin(_named(tile[i], ids[i], ids_b[j]), refused)
+                    i, j = i[ok], j[ok]
+                yield i, j
+
+        if two:
+            leaf_ids, leaf_known, leaf_tile = np.concatenate([ids, ids_b]), np.concatenate([known, known_b]), np.zeros(len(p) + len(q), np.int64)
+        else:
+            leaf_ids, leaf_known, leaf_tile = ids, known, tile
+        # a component is a node of its own in each of the batch's tiles
+        values = np.unique(leaf_known, return_inverse=True)[1]
+        label = leaf_tile * (values.max(initial=0) + 1) + values
+        i, j = nearest_forest(still_open(), wide, wide_b, most, label, number)
+        of, x, y = pa.array(leaf_tile[i]), leaf_ids[i], leaf_ids[j]
+        return pa.RecordBatch.from_arrays([b.column("tile_a").take(of), b.column("tile_b").take(of), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["tile_a", "tile_b", "a", "b"])
 
-def _similar_across(width: int, budget: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in range(len(b)):
-                one = b.slice(r, 1)
-                (p, ids, wide), (q, ids_b, wide_b) = _leaf_columns(one), _leaf_columns(one, "_b")
-                known = tuple(one.column(c).flatten().to_numpy() for c in ("known", "known_b"))
-                fixed = max(width, min(_common(p), _common(q)))
-                spent = int(np.bitwise_count((p[0] ^ q[0]) >> np.uint64(BITS - fixed)))
-                if spent > budget:
-                    continue
-                node = np.array([[0, len(p), 0, len(q)]])
-                pairs = trie_join(p, q, node, np.array([fixed]), np.array([spent]), budget, known)
-                yield _edges(nearest_forest(pairs, wide, wide_b, most), np.concatenate([ids, ids_b]))
+            if "orders_b" in b.schema.names:
+                yield from (edges(b.slice(r, 1)) for r in range(len(b)))
+            else:
+                yield edges(b)
 
     return run
 
 
-def alike(edges: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those edges (a, b) between ids whose texts' sets of shingles are ``similarity`` alike or more.
-
-    ``docs``: id, text.  Only texts at an edge are hashed; of an id with several
-    texts any may do.
-    """
-    edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    ends = edges.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+def shingle_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(end, shingles): the set of shingles of the texts of ``ids`` (end); of an id with several texts, of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["end", "shingles"])
 
-    texts = docs.join(ends, docs.id == ends.end, "left_semi").select("id", "text")
-    sets = materialise(texts.mapInArrow(run, "end long, shingles array<long>").distinct())
+    texts = docs.join(ids, docs.id == ids.end, "left_semi").select("id", "text")
+    return materialise(texts.mapInArrow(run, "end long, shingles array<long>").distinct())
+
+
+def tested(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, good): whether the ids' sets of shingles are ``similarity`` alike or more."""
     a, b = (sets.select(F.col("end").alias(n), F.col("shingles").alias(f"set_{n}")) for n in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     whole = F.size("set_a") + F.size("set_b") - both
-    return edges.join(a, "a").join(b, "b").where(both >= whole * similarity).select("a", "b")
+    # of an id with several texts any may do
+    found = edges.join(a, "a").join(b, "b").groupBy("a", "b").agg(F.max(both >= whole * similarity).alias("good"))
+    return materialise(found)
+
+
+def _settle(tasks: DataFrame, cut: DataFrame, roots: DataFrame | None, docs: DataFrame, limits: tuple[int, int, int], shingle: int, similarity: float) -> DataFrame:
+    """(id, root) once no candidate of the tasks is left that is neither refused nor connected.
+
+    ``tasks``: tile_a, tile_b, both the same tile in all rows or different ones
+    in all; ``roots``: the components before, none to begin with.
+    """
+    alone = roots is None
+    refused = sets = None
+    number = 1
+    while True:
+        whole = cut.select("tile_id", "orders", "payloads")
+        if roots is None:
+            whole = whole.withColumn("known", F.col("payloads.rep"))
+        else:
+            whole = whole.join(_known(cut, roots, tasks).select("tile_id", "known"), "tile_id")
+        rows = tasks.join(whole.withColumnRenamed("tile_id", "tile_a"), "tile_a")
+        if not alone:
+            rows = rows.join(whole.select(F.col("tile_id").alias("tile_b"), *(F.col(c).alias(f"{c}_b") for c in ("orders", "payloads", "known"))), "tile_b")
+        if refused is not None:
+            rows = rows.join(refused.groupBy("tile_a", "tile_b").agg(F.collect_list(F.struct("a", "b")).alias("refused")), ["tile_a", "tile_b"])
+        edges = materialise(rows.mapInArrow(_candidates(*limits, number), "tile_a long, tile_b long, a long, b long"))
+        ends = edges.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+        if sets is None:
+            sets = shingle_sets(ends, docs, shingle)
+        elif not (new := materialise(ends.join(sets, "end", "left_anti"))).isEmpty():
+            sets = sets.unionByName(shingle_sets(new, docs, shingle))
+        found = tested(edges.select("a", "b").distinct(), sets, similarity)
+        linked = found.where("good").select("a", "b")
+        if roots is not None:
+            linked = linked.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        roots = materialise(connected_components(linked))
+        bad = edges.join(found.where("not good").select("a", "b"), ["a", "b"]).select("tile_a", "tile_b", "a", "b")
+        now = bad if refused is None else bad.unionByName(refused)
+        root_a, root_b = (roots.select(F.col("id").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")
+        now = now.join(root_a, "a", "left").join(root_b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("tile_a", "tile_b", "a", "b")
+        # a tile without a refused edge in this round has no candidate left
+        refused = materialise(now.join(bad.select("tile_a", "tile_b").distinct(), ["tile_a", "tile_b"], "left_semi"))
+        if refused.isEmpty():
+            return roots
+        tasks = refused.select("tile_a", "tile_b").distinct()
+        number *= 2
+
+
+def _known(cut: DataFrame, roots: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+    """(tile_id, known, least, most): the components of each tile's leaves, in their order."""
+    leaves = cut
+    if tasks is not None:
+        used = tasks.select(F.explode(F.array("tile_a", "tile_b")).alias("tile_id")).distinct()
+        leaves = cut.join(used, "tile_id", "left_semi")
+    leaves = leaves.select("tile_id", F.posexplode("payloads.rep").alias("at", "id"))
+    known = leaves.join(roots, "id", "left").select("tile_id", "at", F.coalesce("root", "id").alias("root"))
+    return materialise(known.groupBy("tile_id").agg(F.sort_array(F.collect_list(F.struct("at", "root")))["root"].alias("known"), F.min("root").alias("least"), F.max("root").alias("most")))
 
 
-def similar_roots(classes: DataFrame, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 48) -> DataFrame:
+def rare_shingles(classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(choice, key, p, node): each class under the shingles of its prefix that others have too.
+
+    A prefix is so long that two sets as alike as ``similarity`` share one of
+    its shingles, the rarest coming first.
+    """
+    sets = shingle_sets(classes.select(F.col("rep").alias("end")), docs, shingle)
+    each = sets.select("end", F.xxhash64("shingles").alias("of"), F.explode("shingles").alias("key"))
+    counts = materialise(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    ordered = each.join(counts, "key").groupBy("end", "of").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    size = F.size("keys")
+    prefix = ordered.select("end", F.explode(F.slice("keys", F.lit(1), size - F.ceil(size * similarity - 1e-9).cast("int") + 1)).alias("k")).where("k.n > 1").select("end", "k.key").distinct()
+    node = F.struct("rep", *_WIDE_FIELDS).alias("node")
+    return classes.join(prefix, classes.rep == prefix.end).select(F.lit(0).alias("choice"), "key", F.col("f0").alias("p"), node)
+
+
+def similar_roots(classes: DataFrame, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 48, exact: bool = False) -> DataFrame:
     """(id, root) of the classes that connect to others: root is the least ``rep`` reachable.
 
     ``classes``: rep long and the wide fingerprint's words; ``docs``: id, text.
     """
     spark = classes.sparkSession
     rows = classes.count()
-    width, budget, choices = bit_choices(rows, most)
-
-    def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = np.stack([b.column(f).to_numpy() for f in _WIDE_FIELDS], 1)
-            bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
-            node = pa.StructArray.from_arrays([b.column(c) for c in ("rep", *_WIDE_FIELDS)], names=["rep", *_WIDE_FIELDS])
-            for t, order in enumerate(choices):
-                p = np.packbits(bits[:, order], axis=1, bitorder="big").copy().view(">u8").reshape(-1).astype(np.uint64)
-                signed = (p ^ np.uint64(1 << 63)).view(np.int64)
-                key = (p >> np.uint64(BITS - width)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), t, np.int32)), pa.array(key), pa.array(signed), node], names=["choice", "key", "p", "node"])
-
-    spread = classes.select("rep", *_WIDE_FIELDS).mapInArrow(permute, f"choice int, key long, p long, node {_NODE}")
-    cut = materialise(tiles(spread, ["choice", "key"], "p", "node", partitions_for(spark, rows * len(choices), 500_000)))
-    edges = cut.where("n > 1").select("orders", "payloads").mapInArrow(_similar_in_tiles(width, budget, most), "a long, b long")
-    roots = materialise(connected_components(alike(edges, docs, shingle, similarity)))
-    # tiles of one trie meet unless all their leaves are one component by now
-    leaves = cut.where(~F.col("whole")).select("tile_id", F.posexplode("payloads.rep").alias("at", "id"))
-    known = leaves.join(roots, "id", "left").select("tile_id", "at", F.coalesce("root", "id").alias("root"))
-    known = materialise(known.groupBy("tile_id").agg(F.sort_array(F.collect_list(F.struct("at", "root")))["root"].alias("known"), F.min("root").alias("least"), F.max("root").alias("most")))
+    if exact:
+        spread = materialise(rare_shingles(classes, docs, shingle, similarity))
+        keyed, limits = spread.count(), (0, BITS, BITS * WIDE)
+    else:
+        width, budget, choices = bit_choices(rows, most)
+        keyed, limits = rows * len(choices), (width, budget, most)
+
+        def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                words = np.stack([b.column(f).to_numpy() for f in _WIDE_FIELDS], 1)
+                bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+                node = pa.StructArray.from_arrays([b.column(c) for c in ("rep", *_WIDE_FIELDS)], names=["rep", *_WIDE_FIELDS])
+                for t, order in enumerate(choices):
+                    p = np.packbits(bits[:, order], axis=1, bitorder="big").copy().view(">u8").reshape(-1).astype(np.uint64)
+                    signed = (p ^ np.uint64(1 << 63)).view(np.int64)
+                    key = (p >> np.uint64(BITS - width)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), t, np.int32)), pa.array(key), pa.array(signed), node], names=["choice", "key", "p", "node"])
+
+        spread = classes.select("rep", *_WIDE_FIELDS).mapInArrow(permute, f"choice int, key long, p long, node {_NODE}")
+    cut = materialise(tiles(spread, ["choice", "key"], "p", "node", partitions_for(spark, keyed, 500_000)))
+    within = cut.where("n > 1").select(F.col("tile_id").alias("tile_a"), F.col("tile_id").alias("tile_b"))
+    roots = _settle(within, cut, None, docs, limits, shingle, similarity)
+    # tiles of one key meet unless all their leaves are one component by now
+    open_tiles = cut.where(~F.col("whole"))
+    known = _known(open_tiles, roots)
 
     def side(name: str) -> DataFrame:
         return known.select(F.col("tile_id").alias(f"tile_{name}"), F.struct("least", "most").alias(f"range_{name}"))
 
     meet = tile_pairs(cut, ["choice", "key"]).select("tile_a", "tile_b").join(side("a"), "tile_a").join(side("b"), "tile_b")
     meet = materialise(meet.where(~((F.col("range_a") == F.col("range_b")) & (F.col("range_a.least") == F.col("range_a.most")))).select("tile_a", "tile_b"))
-    if meet.isEmpty():
-        return roots
-    whole = cut.select("tile_id", "orders", "payloads").join(known.select("tile_id", "known"), "tile_id")
-    left = whole.withColumnRenamed("tile_id", "tile_a")
-    right = whole.select(F.col("tile_id").alias("tile_b"), *(F.col(c).alias(f"{c}_b") for c in ("orders", "payloads", "known")))
-    across = meet.join(left, "tile_a").join(right, "tile_b").mapInArrow(_similar_across(width, budget, most), "a long, b long")
-    return connected_components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(alike(across, docs, shingle, similarity)))
+    return roots if meet.isEmpty() else _settle(meet, cut, roots, docs, limits, shingle, similarity)
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 48) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 48, exact: bool = False) -> DataFrame:
     """(id, component) of every row: documents whose shingle sets are ``similarity`` alike or more connect.
 
     Candidates are texts whose 256-bit fingerprints differ in at most ``most``
     bits: at a similarity of 0.8 they differ in 39 on average, with a standard
-    deviation of 6.  Of the candidates in a tile the nearest spanning forest is
-    held against the sets themselves, so all links are right; a link may be
-    missed at the edge, where bits differ more than the similarity says.  Texts with one set of shingles always link; null and
-    wordless ones have the empty set.  Null ids never are a component's id,
+    deviation of 6.  All links are held against the sets themselves, so they are
+    right; a link may be missed at the edge, where bits differ more than the
+    similarity says.  With ``exact`` candidates are the texts that share a rare
+    shingle, and none is missed; that takes a row for each shingle.  Texts with
+    one set of shingles always link; null and wordless ones have the empty set.  Null ids never are a component's id,
     unless all of its ids are null (then null).  Repeated rows come back as
     often as they occur, and an id with several texts connects them; an empty
     table gives no rows; other columns are ignored.
@@ -528,6 +647,6 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     prints = materialise(docs.mapInArrow(run, f"id long, {fields}"))
     same = [*_WIDE_FIELDS, "shingles"]
     classes = materialise(prints.groupBy(*same).agg(F.min("id").alias("rep")))
-    roots = similar_roots(classes.where("rep is not null"), docs, shingle, similarity, most)
+    roots = similar_roots(classes.where("rep is not null"), docs, shingle, similarity, most, exact)
     named = materialise(classes.join(roots, classes.rep == roots.id, "left").select(*same, F.coalesce("root", "rep").alias("component")))
     return prints.join(named, same, "left").select("id", "component")
