@@ -32,8 +32,8 @@ no link is missed.
 
 Rounds.  A tile yields the nearest spanning forest of its candidates, whose edges
 are then held against the shingle sets.  Tiles of which an edge was refused are
-taken again, without what is refused or connected by now, and yield twice as
-many forests each time, until no tile has a candidate left: a refused edge never
+taken again, without what is refused or connected by now, and yield eight times
+as many forests each time, until no tile has a candidate left: a refused edge never
 hides another pair.  Tiles whose leaves are one component already don't meet.
 """
 
@@ -55,6 +55,8 @@ BITS = 64
 LEAF_PAIRS = 8
 #: Leaf or node pairs followed at once; bounds a task's memory.
 FRONTIER = 1 << 20
+#: A tile with a refused edge yields so many times as many forests in the next round.
+MORE_FORESTS = 8
 #: Words of 64 bits in the fingerprints that ``similar_documents`` compares.
 WIDE = 4
 #: Chance that the bit choices bring a pair together that differs in all bits allowed.
@@ -549,7 +551,7 @@ def _settle(tasks: DataFrame, cut: DataFrame, roots: DataFrame | None, docs: Dat
         if refused.isEmpty():
             return roots
         tasks = refused.select("tile_a", "tile_b").distinct()
-        number *= 2
+        number *= MORE_FORESTS
 
 
 def _known(cut: DataFrame, roots: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
