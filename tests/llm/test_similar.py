@@ -181,3 +181,60 @@ def test_refused_edges_hide_no_other_pair(spark):
     want = brute(rows)
     assert found(spark, rows, exact=True) == want
     assert len(set(want.values())) > 20
+
+
+def test_refused_pairs_are_no_rows(spark, monkeypatch):
+    """Texts of one source that mostly aren't 0.8 alike, but whose fingerprints are near: no table may have a row for each pair."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(110)]
+
+    def edited():
+        w = list(words)
+        for at in rng.sample(range(110), rng.randrange(3, 6)):
+            w[at] = f"n{rng.randrange(10**6)}"
+        return " ".join(w)
+
+    rows, most = [(i, edited()) for i in range(700)], []
+
+    def counted(df, path=None):
+        out = materialise(df, path)
+        most.append((out.count(), out.columns))
+        return out
+
+    materialise = simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", counted)
+    want, got = brute(rows), found(spark, rows)
+    # forests have up to a row for each leaf of a tile; there are 17 choices or so
+    choices = len(simhash.bit_choices(len(rows), 48)[2])
+    assert max(n for n, columns in most if "tile_a" in columns) <= 700 * choices
+    assert 1 < len(set(want.values())) and all(want[i] == want[c] for i, c in got.items())
+    assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+
+
+def test_each_candidate_is_tested_in_one_choice():
+    rng = np.random.default_rng(2)
+    width, budget, orders = simhash.bit_choices(5000, 48)
+    masks = simhash._choice_masks(orders, width)
+    differ = np.packbits(rng.random((4000, 256)) < rng.choice([0.02, 0.1, 0.17], (4000, 1)), axis=1, bitorder="little").view(np.uint64)
+    bits = np.unpackbits(differ.view(np.uint8), axis=1, bitorder="little")
+    met = np.array([(bits[:, o[:width]].sum(axis=1) == 0) & (bits[:, o].sum(axis=1) <= budget) for o in orders])
+    before = np.array([simhash._met_before(differ, np.full(len(differ), t), masks, budget) for t in range(len(orders))])
+    assert ((met & ~before).sum(axis=0) == met.any(axis=0)).all() and 0 < met.any(axis=0).sum() < len(differ)
+
+
+def test_all_links_by_products_and_one_by_one(monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 40, 60)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(50, 61), replace=False), rng.integers(1 << 41, 1 << 42, rng.integers(0, 8))])) for _ in range(90)]
+    sets += [np.empty(0, np.int64), np.empty(0, np.int64)]
+    n = len(sets)
+    wide, known, right = np.zeros((n, 4), np.uint64), np.arange(n), np.arange(n) % 2 == 1
+    for side in (None, right):
+        pairs = [(i, j) for i in range(n) for j in range(n) if (i < j if side is None else not side[i] and side[j])]
+        alike_ = [(i, j) for i, j in pairs if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
+        want = components(range(n), alike_)
+        for few in (0, 10**6):
+            monkeypatch.setattr(simhash, "FEW_PAIRS", few)
+            root = simhash.all_links(sets, wide, known, side, 0, (0, 64, 256), simhash._choice_masks([], 0), 0.8)
+            assert dict(enumerate(root.tolist())) == want
+        assert 20 < len(alike_) < 0.9 * len(pairs) and len(set(want.values())) > 1

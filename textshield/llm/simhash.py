@@ -30,11 +30,13 @@ almost surely.  With ``exact`` the keys are the shingles of each text's prefix
 in order of rarity instead: of two texts as alike as that one shares a key, so
 no link is missed.
 
-Rounds.  A tile yields the nearest spanning forest of its candidates, whose edges
-are then held against the shingle sets.  Tiles of which an edge was refused are
-taken again, without what is refused or connected by now, and yield eight times
-as many forests each time, until no tile has a candidate left: a refused edge never
-hides another pair.  Tiles whose leaves are one component already don't meet.
+Tests.  A tile yields the nearest spanning forest of its candidates, whose edges
+are then held against the shingle sets.  Of a tile with a refused edge whose ends
+nothing else connects, the leaves with a candidate in another component are sent
+once more, with their sets, and all these candidates are tested in the tile's
+task: a refused edge never hides another pair, and no pair is a row of a table.
+A pair that several bit choices bring together is tested in the first of them.
+Tiles whose leaves are one component already don't meet.
 """
 
 from __future__ import annotations
@@ -55,8 +57,8 @@ BITS = 64
 LEAF_PAIRS = 8
 #: Leaf or node pairs followed at once; bounds a task's memory.
 FRONTIER = 1 << 20
-#: A tile with a refused edge yields so many times as many forests in the next round.
-MORE_FORESTS = 8
+#: Up to so many pairs of a tile are tested one by one, more of them by products of blocks.
+FEW_PAIRS = 2000
 #: Words of 64 bits in the fingerprints that ``similar_documents`` compares.
 WIDE = 4
 #: Chance that the bit choices bring a pair together that differs in all bits allowed.
@@ -388,24 +390,20 @@ def _kruskal(order: np.ndarray, i: np.ndarray, j: np.ndarray, label: np.ndarray)
     return np.array(taken, np.int64)
 
 
-def _forests(i: np.ndarray, j: np.ndarray, apart: np.ndarray, label: np.ndarray, number: int) -> list[np.ndarray]:
-    """Edges of the nearest spanning forest, of the nearest one of the rest, and so on."""
-    order, taken = np.argsort(apart, kind="stable"), []
-    while len(order) and len(taken) < number:
-        at = _kruskal(order, i, j, label)
-        taken.append(order[at])
-        order = np.delete(order, at)
-    keep = np.concatenate(taken) if taken else np.empty(0, np.int64)
+def _forest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
+    """Edges of the nearest spanning forest."""
+    order = np.argsort(apart, kind="stable")
+    keep = order[_kruskal(order, i, j, label)]
     return [i[keep], j[keep], apart[keep]]
 
 
-def nearest_forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], a: np.ndarray, b: np.ndarray, most: int, label: np.ndarray | None = None, number: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of ``number`` disjoint minimum spanning forests of the pairs whose wide fingerprints differ in at most ``most`` bits.
+def nearest_forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], a: np.ndarray, b: np.ndarray, most: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the minimum spanning forest of the pairs whose wide fingerprints differ in at most ``most`` bits.
 
     ``pairs`` are indexes into ``a`` and ``b``; those into ``b`` come back
     raised by len(a) where b is another tile's.  ``label``: which leaves count
     as one node.  At most some two million pairs are held at once, or the
-    forests where those are more.
+    forest where that is more.
     """
     base = 0 if a is b else len(a)
     label = np.arange(base + len(b)) if label is None else label
@@ -416,23 +414,37 @@ def nearest_forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], a: np.ndarray
         held.append([i[near], j[near] + base, apart[near]])
         size += int(near.sum())
         if size > room:
-            held = [_forests(*(np.concatenate(c) for c in zip(*held, strict=True)), label, number)]
+            held = [_forest(*(np.concatenate(c) for c in zip(*held, strict=True)), label)]
             size = len(held[0][0])
             room = max(FRONTIER, 2 * size)
-    i, j, _ = _forests(*(np.concatenate(c) for c in zip(*held, strict=True)), label, number)
+    i, j, _ = _forest(*(np.concatenate(c) for c in zip(*held, strict=True)), label)
     return i, j
 
 
-def _named(tile: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One value for each (tile, lesser id, greater id)."""
-    rows = np.stack([tile, np.minimum(a, b), np.maximum(a, b)], 1).astype(np.int64)
-    return np.ascontiguousarray(rows).view([("t", "<i8"), ("a", "<i8"), ("b", "<i8")]).reshape(-1)
+def _choice_masks(orders: list[list[int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each choice's key bits, and of all its bits."""
+    masks = np.zeros((2, len(orders), WIDE), np.uint64)
+    for t, order in enumerate(orders):
+        for at, bit in enumerate(order):
+            masks[int(at >= width), t, bit // BITS] |= np.uint64(1) << np.uint64(bit % BITS)
+    return masks[0], masks[0] | masks[1]
 
 
-def _candidates(width: int, budget: int, most: int, number: int):
+def _met_before(differ: np.ndarray, choice: np.ndarray, masks: tuple[np.ndarray, np.ndarray], budget: int) -> np.ndarray:
+    """Whether a choice before its own brings a pair together whose fingerprints differ in the bits ``differ``."""
+    met = np.zeros(len(differ), bool)
+    for t in range(min(len(masks[0]), int(choice.max(initial=0)))):
+        rest = np.flatnonzero(~met & (choice > t))
+        rest = rest[~(differ[rest] & masks[0][t]).any(axis=1)]
+        met[rest[np.bitwise_count(differ[rest] & masks[1][t]).sum(axis=1) <= budget]] = True
+    return met
+
+
+def _candidates(width: int, budget: int, most: int, masks: tuple[np.ndarray, np.ndarray], leaves: bool):
     """Edges to test: of each tile with itself, or of each row's two tiles.
 
-    Pairs in one component (``known``) and refused ones are left out.
+    Pairs in one component (``known``) are left out.  With ``leaves``: not the
+    forest's edges, but each leaf that has a candidate no earlier choice meets.
     """
 
     def edges(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -442,7 +454,7 @@ def _candidates(width: int, budget: int, most: int, number: int):
         ends = np.cumsum(np.diff(b.column("orders").offsets.to_numpy()))
         lo = np.concatenate([[0], ends[:-1]])
         tile = np.repeat(np.arange(len(b)), ends - lo)
-        q, ids_b, wide_b, known_b = None, ids, wide, known
+        ids_b, wide_b, known_b = ids, wide, known
         if two:
             q, ids_b, wide_b = _leaf_columns(b, "_b")
             known_b = b.column("known_b").flatten().to_numpy()
@@ -450,32 +462,29 @@ def _candidates(width: int, budget: int, most: int, number: int):
             spent = int(np.bitwise_count((p[0] ^ q[0]) >> np.uint64(BITS - fixed))) if fixed else 0
             node = np.array([[0, len(p), 0, len(q)]])
             found = trie_join(p, q, node, np.array([fixed]), np.array([spent]), budget, (known, known_b)) if spent <= budget else iter(())
+            leaf_ids, leaf_known, leaf_wide, leaf_tile = np.concatenate([ids, ids_b]), np.concatenate([known, known_b]), np.concatenate([wide, wide_b]), np.zeros(len(p) + len(q), np.int64)
         else:
             nodes = np.stack([lo, ends, lo, ends], 1)
             found = trie_join(p, None, nodes, np.full(len(nodes), width), np.zeros(len(nodes)), budget, (known, known))
-        refused = np.empty(0, np.int64)
-        if "refused" in b.schema.names:
-            pairs = b.column("refused")
-            of = np.repeat(np.arange(len(b)), np.diff(pairs.offsets.to_numpy()))
-            refused = _named(of, pairs.flatten().field("a").to_numpy(), pairs.flatten().field("b").to_numpy())
-
-        def still_open() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for i, j in found:
-                ok = known[i] != known_b[j]
-                i, j = i[ok], j[ok]
-                if len(refused) and len(i):
-                    ok = ~np.isin(_named(tile[i], ids[i], ids_b[j]), refused)
-                    i, j = i[ok], j[ok]
-                yield i, j
-
-        if two:
-            leaf_ids, leaf_known, leaf_tile = np.concatenate([ids, ids_b]), np.concatenate([known, known_b]), np.zeros(len(p) + len(q), np.int64)
-        else:
-            leaf_ids, leaf_known, leaf_tile = ids, known, tile
+            leaf_ids, leaf_known, leaf_wide, leaf_tile = ids, known, wide, tile
+        still_open = ((i[ok], j[ok]) for i, j in found for ok in [known[i] != known_b[j]])
+        if leaves:
+            base, used = len(p) if two else 0, np.zeros(len(leaf_ids), bool)
+            choice = b.column("choice").to_numpy()[leaf_tile]
+            for i, j in still_open:
+                differ = wide[i] ^ wide_b[j]
+                near = np.flatnonzero(np.bitwise_count(differ).sum(axis=1) <= most)
+                near = near[~_met_before(differ[near], choice[i[near]], masks, budget)]
+                used[i[near]] = used[j[near] + base] = True
+            at = np.flatnonzero(used)
+            of, words = pa.array(leaf_tile[at]), leaf_wide[at].view(np.int64)
+            right = pa.array(at >= len(p)) if two else pa.nulls(len(at), pa.bool_())
+            columns = [*(b.column(c).take(of) for c in ("tile_a", "tile_b", "choice")), right, pa.array(leaf_ids[at]), pa.array(leaf_known[at]), *(pa.array(words[:, k]) for k in range(WIDE))]
+            return pa.RecordBatch.from_arrays(columns, names=["tile_a", "tile_b", "choice", "right", "id", "known", *_WIDE_FIELDS])
         # a component is a node of its own in each of the batch's tiles
         values = np.unique(leaf_known, return_inverse=True)[1]
         label = leaf_tile * (values.max(initial=0) + 1) + values
-        i, j = nearest_forest(still_open(), wide, wide_b, most, label, number)
+        i, j = nearest_forest(still_open, wide, wide_b, most, label)
         of, x, y = pa.array(leaf_tile[i]), leaf_ids[i], leaf_ids[j]
         return pa.RecordBatch.from_arrays([b.column("tile_a").take(of), b.column("tile_b").take(of), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["tile_a", "tile_b", "a", "b"])
 
@@ -489,6 +498,94 @@ def _candidates(width: int, budget: int, most: int, number: int):
     return run
 
 
+def common_shingles(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many shingles the sets i and j have in common, pair by pair."""
+    if len(i) <= FEW_PAIRS:
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    rows, cols = np.unique(i), np.unique(j)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, word, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[word] > 1
+    owner, word = owner[shared], (np.cumsum(counts > 1) - 1)[word[shared]]
+    order = np.argsort(word, kind="stable")
+    owner, word = owner[order], word[order]
+    both = np.zeros((len(rows), len(cols)), np.float64)
+    step = max(256, (1 << 22) // len(sets))
+    for low in range(0, int(word.max(initial=-1)) + 1, step):
+        part = slice(*np.searchsorted(word, [low, low + step]))
+        has = np.zeros((len(sets), step), np.float32)
+        has[owner[part], word[part] - low] = 1
+        both += has[rows] @ has[cols].T
+    return both[np.searchsorted(rows, i), np.searchsorted(cols, j)].astype(np.int64)
+
+
+def all_links(sets: list[np.ndarray], wide: np.ndarray, known: np.ndarray, right: np.ndarray | None, choice: int, limits: tuple[int, int, int], masks: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Index of the least leaf each leaf connects to, once all candidates are tested that no earlier choice meets.
+
+    ``right``: which leaves are the second tile's; none where there is one tile.
+    """
+    n, (_, budget, most) = len(sets), limits
+    sizes = np.array([len(s) for s in sets])
+
+    def linked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max(1, FRONTIER // max(1, n))
+        for low in range(0, n, step):
+            own = np.arange(low, min(low + step, n))
+            may = known[own][:, None] != known[None, :]
+            may &= (own[:, None] < np.arange(n)[None, :]) if right is None else (~right[own][:, None] & right[None, :])
+            i, j = np.nonzero(may)
+            i = own[i]
+            # sets of too different sizes can't be alike
+            ok = np.minimum(sizes[i], sizes[j]) >= np.maximum(sizes[i], sizes[j]) * similarity
+            i, j = i[ok], j[ok]
+            differ = wide[i] ^ wide[j]
+            near = np.flatnonzero(np.bitwise_count(differ).sum(axis=1) <= most)
+            near = near[~_met_before(differ[near], np.full(len(near), choice), masks, budget)]
+            i, j = i[near], j[near]
+            if len(i):
+                both = common_shingles(sets, i, j)
+                good = both >= (sizes[i] + sizes[j] - both) * similarity
+                yield i[good], j[good]
+
+    return spanning(n, linked())
+
+
+def _test_all(limits: tuple[int, int, int], masks: tuple[np.ndarray, np.ndarray], similarity: float):
+    """Rows come sorted by tiles; each pair of tiles' leaves are tested together, and a spanning forest of the links comes back."""
+
+    def settle(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(held)
+        sets = [np.array(s.values.to_numpy()) for b in held for s in b.column("shingles")]
+        wide = np.stack([t[f].to_numpy().view(np.uint64) for f in _WIDE_FIELDS], 1)
+        right = None if t["right"].null_count else t["right"].to_numpy()
+        ids = t["id"].to_numpy()
+        root = all_links(sets, wide, t["known"].to_numpy(), right, t["choice"][0].as_py(), limits, masks, similarity)
+        own = np.flatnonzero(root != np.arange(len(ids)))
+        return ids[own], ids[root[own]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def links(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b"])
+
+        for b in batches:
+            tiles_of = np.stack([b.column(c).to_numpy() for c in ("tile_a", "tile_b")], 1)
+            starts = [0, *(np.flatnonzero((tiles_of[1:] != tiles_of[:-1]).any(axis=1)) + 1).tolist()] if len(b) else []
+            for at, end in zip(starts, [*starts[1:], len(b)]):
+                key = tuple(tiles_of[at].tolist())
+                if key != now and held:
+                    yield links(settle(held))
+                    held = []
+                now = key
+                held.append(b.slice(at, end - at))
+        if held:
+            yield links(settle(held))
+
+    return run
+
+
 def shingle_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """(end, shingles): the set of shingles of the texts of ``ids`` (end); of an id with several texts, of each."""
 
@@ -511,47 +608,53 @@ def tested(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return materialise(found)
 
 
-def _settle(tasks: DataFrame, cut: DataFrame, roots: DataFrame | None, docs: DataFrame, limits: tuple[int, int, int], shingle: int, similarity: float) -> DataFrame:
-    """(id, root) once no candidate of the tasks is left that is neither refused nor connected.
+def _with_leaves(tasks: DataFrame, cut: DataFrame, roots: DataFrame) -> DataFrame:
+    """The tasks' tiles with their leaves and these leaves' components; those of ``tile_b``, where it is another tile, as ``_b``."""
+    known = _known(cut, roots, tasks).select("tile_id", "known")
+    whole = cut.select("tile_id", "choice", "orders", "payloads").join(known, "tile_id")
+    alone, two = tasks.where("tile_a = tile_b"), tasks.where("tile_a <> tile_b")
+    if two.isEmpty():
+        return alone.join(whole.withColumnRenamed("tile_id", "tile_a"), "tile_a")
+    right = whole.select(F.col("tile_id").alias("tile_b"), *(F.col(c).alias(f"{c}_b") for c in ("orders", "payloads", "known")))
+    return two.join(whole.withColumnRenamed("tile_id", "tile_a"), "tile_a").join(right, "tile_b")
 
-    ``tasks``: tile_a, tile_b, both the same tile in all rows or different ones
-    in all; ``roots``: the components before, none to begin with.
+
+def _settle(tasks: DataFrame | None, cut: DataFrame, roots: DataFrame | None, docs: DataFrame, limits: tuple[int, int, int], masks: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float) -> DataFrame:
+    """(id, root) once all candidates of the tasks are refused or connected.
+
+    ``tasks``: tile_a, tile_b, different ones in all rows; none: each tile with
+    itself; ``roots``: the components before, none to begin with.
     """
-    alone = roots is None
-    refused = sets = None
-    number = 1
-    while True:
-        whole = cut.select("tile_id", "orders", "payloads")
-        if roots is None:
-            whole = whole.withColumn("known", F.col("payloads.rep"))
-        else:
-            whole = whole.join(_known(cut, roots, tasks).select("tile_id", "known"), "tile_id")
-        rows = tasks.join(whole.withColumnRenamed("tile_id", "tile_a"), "tile_a")
-        if not alone:
-            rows = rows.join(whole.select(F.col("tile_id").alias("tile_b"), *(F.col(c).alias(f"{c}_b") for c in ("orders", "payloads", "known"))), "tile_b")
-        if refused is not None:
-            rows = rows.join(refused.groupBy("tile_a", "tile_b").agg(F.collect_list(F.struct("a", "b")).alias("refused")), ["tile_a", "tile_b"])
-        edges = materialise(rows.mapInArrow(_candidates(*limits, number), "tile_a long, tile_b long, a long, b long"))
-        ends = edges.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-        if sets is None:
-            sets = shingle_sets(ends, docs, shingle)
-        elif not (new := materialise(ends.join(sets, "end", "left_anti"))).isEmpty():
-            sets = sets.unionByName(shingle_sets(new, docs, shingle))
-        found = tested(edges.select("a", "b").distinct(), sets, similarity)
-        linked = found.where("good").select("a", "b")
-        if roots is not None:
-            linked = linked.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        roots = materialise(connected_components(linked))
-        bad = edges.join(found.where("not good").select("a", "b"), ["a", "b"]).select("tile_a", "tile_b", "a", "b")
-        now = bad if refused is None else bad.unionByName(refused)
-        root_a, root_b = (roots.select(F.col("id").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")
-        now = now.join(root_a, "a", "left").join(root_b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("tile_a", "tile_b", "a", "b")
-        # a tile without a refused edge in this round has no candidate left
-        refused = materialise(now.join(bad.select("tile_a", "tile_b").distinct(), ["tile_a", "tile_b"], "left_semi"))
-        if refused.isEmpty():
-            return roots
-        tasks = refused.select("tile_a", "tile_b").distinct()
-        number *= MORE_FORESTS
+    if tasks is None:
+        own = F.col("tile_id")
+        rows = cut.where("n > 1").select(own.alias("tile_a"), own.alias("tile_b"), "choice", "orders", "payloads", F.col("payloads.rep").alias("known"))
+    else:
+        rows = _with_leaves(tasks, cut, roots)
+    edges = materialise(rows.mapInArrow(_candidates(*limits, masks, False), "tile_a long, tile_b long, a long, b long"))
+    sets = shingle_sets(edges.select(F.explode(F.array("a", "b")).alias("end")).distinct(), docs, shingle)
+    roots = _united(tested(edges.select("a", "b").distinct(), sets, similarity).where("good").select("a", "b"), roots)
+    # a tile without a refused edge, or with all of their ends connected, has no candidate left
+    root_a, root_b = (roots.select(F.col("id").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")
+    refused = edges.join(root_a, "a", "left").join(root_b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    tasks = materialise(refused.select("tile_a", "tile_b").distinct())
+    if tasks.isEmpty():
+        return roots
+    fields = ", ".join(f"{f} long" for f in _WIDE_FIELDS)
+    leaves = materialise(_with_leaves(tasks, cut, roots).mapInArrow(_candidates(*limits, masks, True), f"tile_a long, tile_b long, choice int, right boolean, id long, known long, {fields}"))
+    new = materialise(leaves.select(F.col("id").alias("end")).distinct().join(sets, "end", "left_anti"))
+    if not new.isEmpty():
+        sets = sets.unionByName(shingle_sets(new, docs, shingle))
+    tile = ["tile_a", "tile_b"]
+    parts = partitions_for(docs.sparkSession, leaves.count(), 10_000)
+    dealt = leaves.join(sets, leaves.id == sets.end).drop("end").repartition(parts, *tile).sortWithinPartitions(*tile)
+    return _united(materialise(dealt.mapInArrow(_test_all(limits, masks, similarity), "a long, b long")), roots)
+
+
+def _united(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(id, root) of the components that the links make of those before."""
+    if roots is not None:
+        links = links.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    return materialise(connected_components(links))
 
 
 def _known(cut: DataFrame, roots: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
@@ -590,10 +693,10 @@ def similar_roots(classes: DataFrame, docs: DataFrame, shingle: int = 5, similar
     rows = classes.count()
     if exact:
         spread = materialise(rare_shingles(classes, docs, shingle, similarity))
-        keyed, limits = spread.count(), (0, BITS, BITS * WIDE)
+        keyed, limits, masks = spread.count(), (0, BITS, BITS * WIDE), _choice_masks([], 0)
     else:
         width, budget, choices = bit_choices(rows, most)
-        keyed, limits = rows * len(choices), (width, budget, most)
+        keyed, limits, masks = rows * len(choices), (width, budget, most), _choice_masks(choices, width)
 
         def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -608,8 +711,7 @@ def similar_roots(classes: DataFrame, docs: DataFrame, shingle: int = 5, similar
 
         spread = classes.select("rep", *_WIDE_FIELDS).mapInArrow(permute, f"choice int, key long, p long, node {_NODE}")
     cut = materialise(tiles(spread, ["choice", "key"], "p", "node", partitions_for(spark, keyed, 500_000)))
-    within = cut.where("n > 1").select(F.col("tile_id").alias("tile_a"), F.col("tile_id").alias("tile_b"))
-    roots = _settle(within, cut, None, docs, limits, shingle, similarity)
+    roots = _settle(None, cut, None, docs, limits, masks, shingle, similarity)
     # tiles of one key meet unless all their leaves are one component by now
     open_tiles = cut.where(~F.col("whole"))
     known = _known(open_tiles, roots)
@@ -619,7 +721,7 @@ def similar_roots(classes: DataFrame, docs: DataFrame, shingle: int = 5, similar
 
     meet = tile_pairs(cut, ["choice", "key"]).select("tile_a", "tile_b").join(side("a"), "tile_a").join(side("b"), "tile_b")
     meet = materialise(meet.where(~((F.col("range_a") == F.col("range_b")) & (F.col("range_a.least") == F.col("range_a.most")))).select("tile_a", "tile_b"))
-    return roots if meet.isEmpty() else _settle(meet, cut, roots, docs, limits, shingle, similarity)
+    return roots if meet.isEmpty() else _settle(meet, cut, roots, docs, limits, masks, shingle, similarity)
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 48, exact: bool = False) -> DataFrame:
