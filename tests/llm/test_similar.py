@@ -204,7 +204,7 @@ def test_refused_pairs_are_no_rows(spark, monkeypatch):
     materialise = simhash.materialise
     monkeypatch.setattr(simhash, "materialise", counted)
     want, got = brute(rows), found(spark, rows)
-    # forests have up to a row for each leaf of a tile; there are 17 choices or so
+    # up to a row for each leaf and choice
     choices = len(simhash.bit_choices(len(rows), 48)[2])
     assert max(n for n, columns in most if "tile_a" in columns) <= 700 * choices
     assert 1 < len(set(want.values())) and all(want[i] == want[c] for i, c in got.items())
